@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Where shared files go if the session names no folder (tests on one machine).
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: Entries that a worker's word cache holds before it starts afresh.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,7 +103,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8_000_000):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
     """Parts of a batch with about so many bytes of text at most, a single row at least."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends, total, start = [], 0, 0
@@ -135,29 +135,47 @@ class WordEncoder(dict):
     """A white-space chunk's bytes -> its ids as little-endian 32-bit integers.
 
     The tokenizer's rules never join characters across white space, so a text's
-    ids are those of its chunks in turn; the library encodes each new chunk once.
+    ids are those of its chunks in turn; the library encodes each new chunk once,
+    many in a text, with MARK between them. ASCII capitals are lower-cased first, and a
+    stop at a chunk's end after an ASCII letter has ids of its own, as the tokenizer has it.
     """
 
+    MARK, STOPS = "\u2605", (b".", b",")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
 
-    def learn(self, chunks) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self) + len(chunks) > CACHE_ENTRIES:
             self.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, encoded, strict=True):
-                self[c] = np.asarray(e.ids, "<u4").tobytes()
+        new = chunks.difference(self)
+        stopped = [c for c in new if c[-1:] in self.STOPS and c[-2:-1].isalpha()]
+        new.difference_update(stopped)
+        new.update({c[:-1] for c in stopped}.difference(self), self.STOPS)
+        mark = self.MARK.encode()
+        between = b" " + mark + b" "
+        alone = [c for c in new if mark in c or b"<|" in c] if self.mark_id is not None else list(new)
+        new.difference_update(alone)
+        for c in alone:
+            self[c] = np.asarray(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        new = list(new)
+        parts = [new[at : at + 500] for at in range(0, len(new), 500)]
+        joined = [between.join(part).decode("utf-8", "replace") for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            data = ids.tobytes()
+            self.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
+        self.update((c, self[c[:-1]] + self[c[-1:]]) for c in stopped)
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         """For each text its ids and the end id."""
-        split = [(t or b"").split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
         self.learn(set().union(*split))
         end, get = np.asarray([end_id], "<u4").tobytes(), self.__getitem__
         return [b"".join(map(get, words)) + end for words in split]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import crc, encoder, new_path, slices, table, texts_of, tokenizer_path
 
 END_ID = 1
-FILE_SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, part_end long, ids array<int>"
 #: Rows between two entries of ORC's row index, and the stripes' size in bytes.
 INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
 
@@ -42,9 +42,9 @@ def encode_batches(path: str, end_id: int):
                 ends = np.cumsum(sizes)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-                starts = start + ends - sizes
-                start += int(ends[-1]) if len(ends) else 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), lists], names=["doc_id", "part", "part_start", "ids"])
+                ends = start + ends
+                start = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends), lists], names=["doc_id", "part", "part_end", "ids"])
 
     return run
 
@@ -76,7 +76,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         lists = batch.column("ids")
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
         crcs = np.fromiter((crc(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])), np.int64, len(lists))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("part_start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs)], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("part_end"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs)], names=["doc_id", "part", "part_end", "n_tokens", "ids_crc32"])
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -85,14 +85,14 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     The parts' starts come from one count for each file: as many rows as files
     were written, whatever the number of documents.
     """
-    rows = read_token_files(spark, path).mapInArrow(digest_batches, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
-    totals = sorted((r["part"], r["n"]) for r in read_token_files(spark, path).groupBy("part").agg(F.max(F.col("part_start") + F.size("ids")).alias("n")).collect())
+    rows = read_token_files(spark, path).mapInArrow(digest_batches, "doc_id long, part int, part_end long, n_tokens long, ids_crc32 long")
+    totals = sorted((r["part"], r["n"]) for r in read_token_files(spark, path).groupBy("part").agg(F.max("part_end").alias("n")).collect())
     starts, at = [], 0
     for part, n in totals:
         starts.append((part, at))
         at += n
     parts = spark.createDataFrame(starts, "part int, before long")
-    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("part_end") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

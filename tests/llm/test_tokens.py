@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from marginalia.llm import packing, token_output
 from marginalia.llm.common import encoder, new_path, tokenizer_path
@@ -13,10 +14,11 @@ from marginalia.llm.common import encoder, new_path, tokenizer_path
 DOCS = [(3, "Hello  world\nthe cat's <|endoftext|> Ünïcode"), (1, None), (2, ""), (2, "tie"), (None, "no id"), (9, "word " * 5000), (4, "a b  c"), (3, "Hello  world\nthe cat's <|endoftext|> Ünïcode")]
 
 
-def plain_ids(text):
-    from tokenizers import Tokenizer
+PLAIN = Tokenizer.from_file(tokenizer_path())
+
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [1]
+def plain_ids(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def crc(ids):
@@ -29,7 +31,7 @@ def frame(spark, rows):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
+@given(st.one_of(st.text(max_size=60), st.text("aZ.,'s!& \n\u2605<|\u0301\u00a0", max_size=40)))
 def test_chunks_encode_as_whole_text(text):
     got = encoder(tokenizer_path()).encode([text.encode("utf-8", "replace")], 1)[0]
     assert np.frombuffer(got, "<u4").tolist() == plain_ids(text.encode("utf-8", "replace").decode())
