@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, language_id, near_dedup, packing, quality_rules, token_output, url_filter
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, ngram_lm, packing, quality_rules, token_output, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_output": token_output.op2_token_output,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_ngram_lm": ngram_lm.op7_ngram_lm,
     "op8_packing": packing.op8_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
