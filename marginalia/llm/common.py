@@ -7,6 +7,7 @@ form feed and carriage return (`bytes.split()` splits UTF-8 at exactly these).
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -135,43 +136,56 @@ class WordEncoder(dict):
     """A white-space chunk's bytes -> its ids as little-endian 32-bit integers.
 
     The tokenizer's rules never join characters across white space, so a text's
-    ids are those of its chunks in turn; the library encodes each new chunk once,
-    many in a text, with MARK between them. ASCII capitals are lower-cased first, and a
-    stop at a chunk's end after an ASCII letter has ids of its own, as the tokenizer has it.
+    ids are those of its chunks in turn; the library encodes each new chunk once. A chunk
+    of Latin-1 letters and then marks of TAIL is two pieces to the tokenizer, whose
+    NFC and lower case are plain, so these are encoded with normalisation and splitting left out, and cut behind
+    the word-end ids. All other chunks are encoded one by one under the full rules.
     """
 
-    MARK, STOPS = "\u2605", (b".", b",")
+    SIMPLE = re.compile(r"^([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,*&%$#!?;:|]*)$", re.M)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        ids = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark_id = ids[0] if len(ids) == 1 else None
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.pieces.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.again: dict[bytes, bytes] = {}
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        parts = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
+        for part, e in zip(parts, self.pieces.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            out += map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+        if len(out) != len(pieces):
+            raise ValueError("the tokenizer doesn't end every word with a word-end token")
+        return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > CACHE_ENTRIES:
+        if len(self) + len(chunks) > CACHE_ENTRIES:  # keep what came again
             self.clear()
+            if len(self.again) < CACHE_ENTRIES // 2:
+                self.update(self.again)
+            self.again = {}
         new = chunks.difference(self)
-        stopped = [c for c in new if c[-1:] in self.STOPS and c[-2:-1].isalpha()]
-        new.difference_update(stopped)
-        new.update({c[:-1] for c in stopped}.difference(self), self.STOPS)
-        mark = self.MARK.encode()
-        between = b" " + mark + b" "
-        alone = [c for c in new if mark in c or b"<|" in c] if self.mark_id is not None else list(new)
-        new.difference_update(alone)
-        for c in alone:
-            self[c] = np.asarray(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        new = list(new)
-        parts = [new[at : at + 500] for at in range(0, len(new), 500)]
-        joined = [between.join(part).decode("utf-8", "replace") for part in parts]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            data = ids.tobytes()
-            self.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
-        self.update((c, self[c[:-1]] + self[c[-1:]]) for c in stopped)
+        self.again.update((c, self[c]) for c in chunks.difference(new))
+        simple = self.SIMPLE.findall(b"\n".join(new).decode("utf-8", "replace"))
+        words = list({w.lower() for w, _ in simple} | {t for _, t in simple if t})
+        ids = dict(zip(words, self.encode_pieces(words), strict=True))
+        ids[""] = b""
+        found = {(w + t).encode(): ids[w.lower()] + ids[t] for w, t in simple}
+        rest = list(new.difference(found))
+        self.update(found)
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
+                self[c] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         """For each text its ids and the end id."""
