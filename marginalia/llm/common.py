@@ -154,34 +154,33 @@ class WordEncoder(dict):
         vocabulary = self.pieces.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.again: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def learn_pieces(self, pieces: list[bytes]) -> None:
+        """Adds pieces that the tokenizer neither changes nor splits."""
         parts = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
-        for part, e in zip(parts, self.pieces.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, self.pieces.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             cuts, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
-            out += map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
-        if len(out) != len(pieces):
-            raise ValueError("the tokenizer doesn't end every word with a word-end token")
-        return out
+            self.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self) + len(chunks) > CACHE_ENTRIES:  # keep what came again
+            kept = {c: self[c] for c in self.again} if len(self.again) < CACHE_ENTRIES // 2 else {}
             self.clear()
-            if len(self.again) < CACHE_ENTRIES // 2:
-                self.update(self.again)
-            self.again = {}
+            self.update(kept)
+            self.again = set()
         new = chunks.difference(self)
-        self.again.update((c, self[c]) for c in chunks.difference(new))
+        self.again |= chunks.difference(new)
+        plain = [c for c in new if c.isalpha() and c.islower()]  # ASCII
+        self.learn_pieces(plain)
+        new.difference_update(plain)
         simple = self.SIMPLE.findall(b"\n".join(new).decode("utf-8", "replace"))
-        words = list({w.lower() for w, _ in simple} | {t for _, t in simple if t})
-        ids = dict(zip(words, self.encode_pieces(words), strict=True))
-        ids[""] = b""
-        found = {(w + t).encode(): ids[w.lower()] + ids[t] for w, t in simple}
-        rest = list(new.difference(found))
+        lower = [(w.lower().encode(), t.encode()) for w, t in simple]
+        self.learn_pieces(list({x for pair in lower for x in pair if x and x not in self}))
+        found = {(w + t).encode(): self[b] + self[m] if m else self[b] for (w, t), (b, m) in zip(simple, lower)}
         self.update(found)
+        rest = list(new.difference(found))
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
