@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: Entries that a worker's word cache holds before it starts afresh.
 CACHE_ENTRIES = 400_000
+ENCODER_ENTRIES, ENCODER_BYTES = 800_000, 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -165,8 +166,8 @@ class WordEncoder(dict):
             self.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > CACHE_ENTRIES:  # keep what came again
-            kept = {c: self[c] for c in self.again} if len(self.again) < CACHE_ENTRIES // 2 else {}
+        if len(self) + len(chunks) > ENCODER_ENTRIES:  # keep what came again
+            kept = {c: self[c] for c in self.again} if len(self.again) < ENCODER_ENTRIES // 2 else {}
             self.clear()
             self.update(kept)
             self.again = set()

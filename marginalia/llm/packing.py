@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, slices, table, texts_of, tokenizer_path
+from .common import ENCODER_BYTES, crc, encoder, slices, table, texts_of, tokenizer_path
 
 WINDOW, END_ID = 2048, 1
 #: Documents that are packed together, on average.
@@ -99,7 +99,7 @@ def pieces_batches(tokenizer: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", ENCODER_BYTES):
                 out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch, "text"), end_id), strict=True):
                     n = len(ids) // 4

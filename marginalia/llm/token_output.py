@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, encoder, new_path, slices, table, texts_of, tokenizer_path
+from .common import ENCODER_BYTES, crc, encoder, new_path, slices, table, texts_of, tokenizer_path
 
 END_ID = 1
 FILE_SCHEMA = "doc_id long, part int, part_end long, ids array<int>"
@@ -36,7 +36,7 @@ def encode_batches(path: str, end_id: int):
         part, start = TaskContext.get().partitionId(), 0
         encode = encoder(path).encode
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", ENCODER_BYTES):
                 ids = encode(texts_of(batch, "text"), end_id)
                 sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 ends = np.cumsum(sizes)
