@@ -1,4 +1,254 @@
 """Queries and SQL of the document engine."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import text as T
+from marginalia.operators import grounding as G
+from marginalia.operators import notes as N
+from marginalia.operators import pages as P
+from marginalia.sources import reports as R
+from marginalia.sources.tables import pages, read_reports, table
+from marginalia.streaming import jobs as J
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+PAGE_SQL = "p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, text, doc_id FROM documents)"
+NORM_SQL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_%.$]+', ' ', 'g'))"
+QUALITY_SQL = r"""list_filter(string_split_regex({0}, '\s+'), lambda t: t <> '')"""
+GOOD_SQL = rf"""lambda t: length(regexp_replace(t, '[^\p{{{{L}}}}]', '', 'g')) >= 2 AND length(regexp_replace(t, '[^\p{{{{L}}}}]', '', 'g')) * 10 >= length(t) * 7 AND regexp_matches(t, '[{T.VOWELS}]') AND regexp_matches(t, '\p{{{{L}}}}{{{{2,}}}}')"""
+SCORE_SQL = f"CASE WHEN len({QUALITY_SQL}) = 0 THEN 0.0 ELSE len(list_filter({QUALITY_SQL}, {GOOD_SQL})) / CAST(len({QUALITY_SQL}) AS DOUBLE) END"
+EDGE_SHARE = 0.1
+
+# Small literal tables for what the driver's tables never hold.
+BLOCKS = [("a", 1, 0, 50.0, 40.0, 550.0, 60.0, "Title across the page"), ("a", 1, 1, 50.0, 300.0, 290.0, 320.0, "left lower"), ("a", 1, 2, 310.0, 100.0, 550.0, 120.0, "right upper"), ("a", 1, 3, 50.0, 100.0, 290.0, 120.0, "left upper"), ("a", 1, 4, 50.0, 400.0, 550.0, 420.0, "middle across"), ("a", 1, 5, 310.0, 500.0, 550.0, 520.0, "right end"), ("a", 1, 6, 50.0, 500.0, 290.0, 520.0, "left end"), ("b", 1, 0, 50.0, 80.2, 550.0, 90.0, "second"), ("b", 1, 1, 50.0, 20.0, 550.0, 30.0, "first")]
+LINES = [("a", 1, 1, 18.0, "Main Title Here", False), ("a", 1, 2, 10.0, "Body text that goes on and on.", False), ("a", 1, 3, 12.0, "Methods", False), ("a", 1, 4, 10.0, "Bold lead", True), ("a", 1, 5, 10.0, "Bold sentence.", True), ("a", 2, 1, 10.0, "More body text", False), ("a", 2, 2, 10.0, "Even more body text", False), ("a", 2, 3, 12.0, "123", False), ("a", 2, 4, 10.0, "last body text", False)]
+DELAYS = [(1, "7", ""), (2, None, "Rate limit: try again in 1m2.5s please"), (3, None, "try again in 3.2s"), (4, None, "try again in 250ms"), (5, None, "no hint"), (6, "900", "x"), (7, "soon", "Try again in 20s")]
+QUOTES = [("a", 1, 1, "the result was 87.5% in all trials"), ("a", 1, 2, "result was 87.5%"), ("a", 1, 3, "The RESULT was 87.5% in all trials."), ("a", 1, 4, "result was 87.5%"), ("a", 2, 1, "result was 87.5%"), ("b", 1, 1, "result was 87.5% in all")]
+COERCE = [(1, '[1, 2.0, "p. 3", "2-4", true, 99, null]'), (2, "3"), (3, '"pp 1–2"'), (4, None), (5, '["4-2", "x", 1.5]'), (6, "[]"), (7, "null")]
+REPORT = """{"overview":{"title":"A | B","title_source":"filename","authors":["Ann","Bo"],"date":null,"document_type":"Paper","page_count":4,"filename":"a.pdf","size_bytes":20480},"sections":[{"key":"key_findings","heading":"Key Findings","basis":"document","body_markdown":" Found *it*. ","pages":[1,2,4],"evidence":[{"page":2,"quote":"q one"}],"supported":true},{"key":"other","heading":"Other","basis":"mixed","body_markdown":"Text","pages":[],"evidence":[],"supported":false}],"metrics":[{"label":"Rate","value":"87.5%","pages":[2],"verified":true},{"label":"No","value":"9","pages":[],"verified":false}],"references":[{"page":2,"quotes":["q one"],"used_in":["Key Findings"]}],"not_stated":["Date / year"],"validation_notes":[],"warnings":["one page had no text"],"meta":{"model":"m","strategy":"single-pass"}}"""
+
+
+def values(rows: list[tuple]) -> str:
+    """Rows as an SQL VALUES list."""
+    cell = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with SQL if it can be written so."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return add
+
+
+@query(f"SELECT doc_id, md5({NORM_SQL.format('text')}) AS norm_md5 FROM documents")
+def text_match_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.match_form(F.col("text"))).alias("norm_md5"))
+
+
+@query(f"SELECT doc_id, round({SCORE_SQL.format('text')}, 9) AS quality FROM documents")
+def text_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.text_quality(F.col("text")), 9).alias("quality"))
+
+
+@query(f"SELECT lang, count(*) AS n_docs, round(avg({SCORE_SQL.format('text')}), 6) AS mean_quality FROM documents GROUP BY lang")
+def text_quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg(T.text_quality(F.col("text"))), 6).alias("mean_quality"))
+
+
+SCORED_SQL = f"WITH {PAGE_SQL}, s AS (SELECT doc, page_no, length(trim(text)) AS n_chars, {SCORE_SQL.format('text')} AS quality FROM p), m AS (SELECT doc, list_sort(list(quality))[CAST(floor(count(*) / 2) AS INT) + 1] AS doc_quality FROM s WHERE n_chars >= {P.MIN_CHARS} GROUP BY doc)"
+
+
+@query(f"{SCORED_SQL} SELECT doc, page_no, n_chars FROM s LEFT JOIN m USING (doc) WHERE n_chars < {P.MIN_CHARS} OR quality < {P.GARBLED_PAGE} OR coalesce(doc_quality, 0) < {P.GARBLED_DOC}")
+def unreadable_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scored(pages(spark, sf_dir)).filter("not readable").select("doc", "page_no", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+@query(f"{SCORED_SQL} SELECT doc, round(doc_quality, 9) AS doc_quality FROM m")
+def doc_garbled_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scored(pages(spark, sf_dir)).filter("doc_quality is not null").groupBy("doc").agg(F.round(F.max("doc_quality"), 9).alias("doc_quality"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '', 'g') AS text FROM documents)")
+def clean_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_page_text(F.col("text"))).alias("clean_md5"))
+
+
+EDGE_SQL = rf"""WITH {PAGE_SQL}, l AS (SELECT doc, page_no, unnest(range(0, len(x))) AS pos, unnest(x) AS line FROM (SELECT doc, page_no, string_split(text, chr(10)) AS x FROM p)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, page_no ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc, page_no ORDER BY pos DESC) AS b FROM l WHERE trim(line) <> ''),
+e AS (SELECT doc, page_no, pos, regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') AS key FROM k WHERE (a <= 2 OR b <= 2) AND length(trim(line)) <= 80),
+r AS (SELECT doc, key, count(DISTINCT page_no) AS n_pages FROM e JOIN (SELECT doc, count(*) AS n_all FROM p GROUP BY doc) USING (doc) GROUP BY doc, key, n_all HAVING n_all >= 4 AND count(DISTINCT page_no) >= greatest(3, floor(n_all * {EDGE_SHARE})))"""
+
+
+@query(f"{EDGE_SQL} SELECT doc, key, n_pages FROM r")
+def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.repeated_edge_lines(pages(spark, sf_dir), EDGE_SHARE)
+
+
+@query(rf"{EDGE_SQL}, g AS (SELECT DISTINCT doc, page_no, pos FROM e SEMI JOIN r USING (doc, key)) SELECT p.doc, p.page_no, md5(regexp_replace(string_agg(l.line, chr(10) ORDER BY l.pos), '^\s+|\s+$', '', 'g')) AS text_md5 FROM p JOIN l USING (doc, page_no) WHERE (p.doc, p.page_no) IN (SELECT (doc, page_no) FROM g) AND (l.doc, l.page_no, l.pos) NOT IN (SELECT (doc, page_no, pos) FROM g) GROUP BY p.doc, p.page_no")
+def strip_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = pages(spark, sf_dir)
+    after = P.strip_repeated_lines(before, EDGE_SHARE)
+    changed = P.edge_lines(before).join(P.repeated_edge_lines(before, EDGE_SHARE), ["doc", "key"], "left_semi").select("doc", "page_no").distinct()
+    return after.join(changed, ["doc", "page_no"], "left_semi").filter("text != ''").select("doc", "page_no", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {PAGE_SQL}, f AS (SELECT doc, page_no, page_no - row_number() OVER (PARTITION BY doc ORDER BY page_no) AS g FROM p WHERE length(text) > 2000), r AS (SELECT doc, g, min(page_no) AS a, max(page_no) AS b, count(*) AS n FROM f GROUP BY doc, g) SELECT doc, (CASE WHEN sum(n) = 1 THEN 'Page ' ELSE 'Pages ' END) || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS label FROM r GROUP BY doc")
+def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = pages(spark, sf_dir).filter(F.length("text") > 2000).groupBy("doc").agg(F.collect_list("page_no").alias("pages"))
+    return long.select("doc", T.format_pages(F.col("pages")).alias("label"))
+
+
+@query(f"WITH {PAGE_SQL} SELECT doc, CAST(sum(length(text)) AS BIGINT) AS analysis_chars FROM p GROUP BY doc")
+def analysis_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.strategies(pages(spark, sf_dir)).select("doc", "analysis_chars")
+
+
+@query(f"WITH {PAGE_SQL} SELECT doc, CASE WHEN sum(length(text)) <= {P.SINGLE_PASS_CHARS} THEN 'single-pass' ELSE 'map-reduce' END AS strategy FROM p GROUP BY doc")
+def strategy_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.strategies(pages(spark, sf_dir)).select("doc", "strategy")
+
+
+@query()
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.chunks(pages(spark, sf_dir)).select("doc", "chunk_idx", T.chunk_label(F.col("pages")).alias("label"), F.length("text").alias("n_chars"))
+
+
+QUOTE_SQL = f"WITH {PAGE_SQL}, n AS (SELECT doc, page_no, {NORM_SQL.format('text')} AS norm FROM p), q AS (SELECT item_id, {NORM_SQL.format('text')} AS needle FROM benchmark), h AS (SELECT item_id AS quote_id, doc, min(page_no) AS page_no FROM q JOIN n ON contains(norm, needle) WHERE length(needle) >= {T.MIN_QUOTE} GROUP BY item_id, doc)"
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+
+
+@query(f"{QUOTE_SQL} SELECT * FROM h")
+def quote_locate_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.locate_quotes(G.page_index(pages(spark, sf_dir)), _quotes(spark, sf_dir))
+
+
+@query(f"{QUOTE_SQL} SELECT item_id AS quote_id FROM benchmark WHERE item_id NOT IN (SELECT quote_id FROM h)")
+def quote_anti_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = _quotes(spark, sf_dir)
+    return quotes.join(G.locate_quotes(G.page_index(pages(spark, sf_dir)), quotes), "quote_id", "left_anti").select("quote_id")
+
+
+@query(f"SELECT doc_id, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, regexp_extract_all(text, '({T.NUMBER})', 1) AS n FROM documents) WHERE len(n) > 0")
+def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", T.number_tokens(F.col("text")).alias("n"))
+    return found.filter(F.size("n") > 0).select("doc_id", F.array_join("n", " ").alias("numbers"))
+
+
+@query(rf"WITH {PAGE_SQL}, n AS (SELECT doc, page_no, {NORM_SQL.format('text')} AS norm FROM p), m AS (SELECT doc, page_no AS metric_id, regexp_extract(norm, '({T.NUMBER})', 1) AS value FROM n WHERE regexp_matches(norm, '[0-9]')) SELECT m.doc, metric_id, min(n.page_no) AS first_page FROM m JOIN n USING (doc) WHERE contains(norm, value) OR regexp_matches(norm, '(^|[^0-9.,])' || regexp_escape(value) || '($|[^0-9.,]|[.,]($|[^0-9]))') GROUP BY m.doc, metric_id")
+def metric_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = G.page_index(pages(spark, sf_dir))
+    metrics = index.filter(F.col("norm").rlike("[0-9]")).select("doc", F.col("page_no").alias("metric_id"), F.element_at(T.number_tokens(F.col("norm")), 1).alias("value"), F.array().cast("array<int>").alias("cited"))
+    return G.verify_metrics(index, metrics).filter("verified").select("doc", "metric_id", F.element_at("pages", 1).alias("first_page"))
+
+
+@query(f"WITH q(doc, page_no, ord, quote) AS (VALUES {values(QUOTES)}), f AS (SELECT doc, page_no, quote, min(ord) AS ord, {NORM_SQL.format('quote')} AS norm FROM q GROUP BY doc, page_no, quote) SELECT doc, page_no, ord, quote FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc = f.doc AND o.page_no = f.page_no AND o.quote <> f.quote AND contains(o.norm, f.norm))")
+def fragment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.drop_fragments(spark.createDataFrame(QUOTES, "doc string, page_no int, ord int, quote string"))
+
+
+@query(f"{QUOTE_SQL}, u AS (SELECT doc, page_no, quote_id FROM h) SELECT doc, page_no, string_agg('Section ' || quote_id, ', ' ORDER BY quote_id) AS used_in, count(*) AS n_used FROM u GROUP BY doc, page_no")
+def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = QUERIES["quote_locate_top1"](spark, sf_dir)
+    sections = found.select("doc", F.col("quote_id").cast("int").alias("ord"), F.concat(F.lit("Section "), F.col("quote_id").cast("string")).alias("heading"), F.array("page_no").alias("pages"), F.array().cast("array<struct<page:int,quote:string>>").alias("evidence"))
+    none = sections.select("doc", "pages", F.lit(False).alias("verified"))
+    return G.source_refs(sections, none).select("doc", "page_no", F.array_join("used_in", ", ").alias("used_in"), F.size("used_in").cast("long").alias("n_used"))
+
+
+@query("SELECT * FROM (VALUES (1, '1,2,3,4', 3), (2, '3', 0), (3, '1,2', 0), (4, '', 0), (5, '', 3), (6, '', 0), (7, '', 0)) t(id, pages, dropped)")
+def page_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(COERCE, "id int, raw string").withColumn("x", T.coerce_pages(F.parse_json("raw"), F.array(*map(F.lit, (1, 2, 3, 4)))))
+    return rows.select("id", F.array_join("x.pages", ",").alias("pages"), "x.dropped")
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<img\b[^>]*>', '', 'gi'), 'href="(https?://|#)', 'HREF="\1', 'g'), 'href="[^"]*"', 'href="#"', 'g'), 'HREF="', 'href="', 'g')) AS clean_md5 FROM pages""")
+def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.sanitized_html(F.col("html"))).alias("clean_md5"))
+
+
+@query(rf"WITH {PAGE_SQL} SELECT doc, page_no, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) >= 40)) AS n_sentences FROM p")
+def sentences_min_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.sentence_counts(pages(spark, sf_dir)).withColumn("n_sentences", F.col("n_sentences").cast("long"))
+
+
+@query(rf"WITH {PAGE_SQL}, w AS (SELECT doc, page_no, unnest(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{{5,}}$'))) AS term FROM p), c AS (SELECT doc, page_no, term, count(*) AS n FROM w GROUP BY ALL) SELECT doc, page_no, term, n FROM c QUALIFY row_number() OVER (PARTITION BY doc, page_no ORDER BY n DESC, term) = 1")
+def top_concept_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.top_concepts(pages(spark, sf_dir))
+
+
+def _report(spark: SparkSession) -> DataFrame:
+    return read_reports(spark.createDataFrame([("a", REPORT)], "doc string, body string"))
+
+
+@query()
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rendered(_report(spark), "md")
+
+
+@query()
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rendered(_report(spark), "txt")
+
+
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rendered(_report(spark), "json")
+
+
+@query()
+def chunk_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.reduced(N.annotate(P.chunks(pages(spark, sf_dir))))
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) > 2 AS over FROM events")
+def sliding_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.rate_windows(table(spark, sf_dir, "events"), 2)
+
+
+@query()
+def rate_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.admissions(table(spark, sf_dir, "events"), 2)
+
+
+@query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w < 150000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM n) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n_events, min(t) AS started, max(t) AS ended FROM s GROUP BY user_id, session")
+def heartbeat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.heartbeat_sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position FROM events")
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.queue_positions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 1, 'Main Title Here', 1), ('a', 1, 3, 'Methods', 2), ('a', 1, 4, 'Bold lead', 3)) t(doc, page_no, line_no, text, level)")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.headings(spark.createDataFrame(LINES, "doc string, page_no int, line_no int, size double, text string, bold boolean"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 0, 1), ('a', 1, 3, 2), ('a', 1, 1, 3), ('a', 1, 2, 4), ('a', 1, 4, 5), ('a', 1, 6, 6), ('a', 1, 5, 7), ('b', 1, 1, 1), ('b', 1, 0, 2)) t(doc, page_no, stream_pos, place)")
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = spark.createDataFrame(BLOCKS, "doc string, page_no int, stream_pos int, x0 double, y0 double, x1 double, y1 double, text string")
+    return P.column_order(blocks.withColumn("width", F.lit(600.0)))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT * FROM (VALUES (1, 7.0), (2, 63.0), (3, 3.7), (4, 0.75), (5, 10.0), (6, 65.0), (7, 20.5)) t(id, seconds)")
+def retry_delay_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(DELAYS, "id int, header string, message string")
+    return rows.select("id", T.retry_delay(F.col("header"), F.col("message")).alias("seconds"))
