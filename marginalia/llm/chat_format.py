@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,23 +97,27 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     ids = nodes.select("c", F.col("message").alias("parent"))
     real = nodes.join(ids.distinct(), ["c", "parent"], "left_semi").select("c", "message", "parent")
     nodes = nodes.drop("parent").join(real, ["c", "message"], "left")
-    # jump: the ancestor 2^k up, or null; n and total: messages and scores from here to just below it
-    level = kept_table(nodes.select("c", "message", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("n"), F.col("score").cast("double").alias("total")), "jumps")
-    levels = [level]
-    while level.filter("jump is not null").limit(1).count():
-        up = level.select("c", F.col("message").alias("jump"), F.col("jump").alias("next"), F.col("n").alias("n_up"), F.col("total").alias("total_up"))
-        level = kept_table(
-            level.join(up, ["c", "jump"], "left").select("c", "message", F.col("next").alias("jump"), (F.col("n") + F.coalesce("n_up", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("total_up", F.lit(0.0))).alias("total")),
-            "jumps",
-        )
-        levels.append(level)
-    parents = levels[0].filter("jump is not null").select("c", F.col("jump").alias("message")).distinct()
+    # jump: the ancestor 2^k up; n and total: messages and scores from here to just below it, or to the root where jump is null.
+    # Only messages with a jump take part in the next join.
+    step = nodes.select("c", "message", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("n"), F.col("score").cast("double").alias("total"))
+    ended, levels = [], []
+    while True:
+        step = kept_table(step, "jumps")
+        ended.append(step.filter("jump is null"))
+        levels.append(step.filter("jump is not null"))
+        if not levels[-1].limit(1).count():
+            break
+        state = reduce(DataFrame.unionByName, [*ended, levels[-1]])
+        up = state.select("c", F.col("message").alias("jump"), F.col("jump").alias("next"), F.col("n").alias("n_up"), F.col("total").alias("total_up"))
+        step = levels[-1].join(up, ["c", "jump"]).select("c", "message", F.col("next").alias("jump"), (F.col("n") + F.col("n_up")).alias("n"), (F.col("total") + F.col("total_up")).alias("total"))
+    level = reduce(DataFrame.unionByName, ended)
+    parents = levels[0].select("c", F.col("jump").alias("message")).distinct()
     leaves = level.join(parents, ["c", "message"], "left_anti")
     ranked = leaves.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("total") / F.col("n")).alias("mean"), "n", "message")), False), 1, best).alias("best")) if best > 1 else leaves.groupBy("c").agg(F.array(F.max(F.struct((F.col("total") / F.col("n")).alias("mean"), "n", "message"))).alias("best"))
     chosen = ranked.select("c", F.posexplode("best").alias("path_rank", "leaf")).select("c", "path_rank", (F.col("leaf.n") - 1).alias("position"), F.col("leaf.message").alias("message"))
     # every row below already stands for the ancestors between it and the next row; halving the step adds those in between
     for k in range(len(levels) - 2, -1, -1):
-        step = levels[k].filter("jump is not null").select("c", "message", "jump")
+        step = levels[k].select("c", "message", "jump")
         both = F.explode(F.array(F.struct("position", "message"), F.struct((F.col("position") - (1 << k)).alias("position"), F.col("jump").alias("message"))))
         chosen = chosen.join(step, ["c", "message"], "left").select("c", "path_rank", both.alias("x")).select("c", "path_rank", "x.position", "x.message").filter("message is not null")
     return chosen
