@@ -6,6 +6,9 @@ form feed and carriage return (`bytes.split()` splits UTF-8 at exactly these).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import uuid
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 #: Where shared files go if the session names no folder (tests on one machine).
 DEFAULT_SHARED = "/tmp/checkpoints"
 #: Entries that a worker's word cache holds before it starts afresh.
-CACHE_ENTRIES = 400_000
-ENCODER_ENTRIES, ENCODER_BYTES = 800_000, 8_000_000
+CACHE_ENTRIES = 300_000
+ENCODER_ENTRIES, ENCODER_BYTES = 600_000, 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +66,20 @@ def doc_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+_HELD: dict = {}
+
+
+def held(owner, make):
+    """What owner keeps between a worker's tasks. A worker holds one owner's things; another's are dropped first."""
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)  # else freed memory stays with the worker
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 class HashedWords(dict):
     """Maps a word's bytes to 64 bits, with a bounded memory."""
 
@@ -73,12 +90,9 @@ class HashedWords(dict):
         return h
 
 
-_WORDS = HashedWords()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held("words", HashedWords).__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,9 +144,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
-
-
 class WordEncoder(dict):
     """A white-space chunk's bytes -> its ids as little-endian 32-bit integers.
 
@@ -196,6 +207,4 @@ class WordEncoder(dict):
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
