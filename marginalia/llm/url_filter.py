@@ -108,7 +108,8 @@ class Lexicon:
 def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = Counter(t for host, path in zip(pdf["host"], pdf["path"]) for t in tokens(f"{host} {path}") if not t.isdigit())
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
 
 def fit_lexicon(pages: DataFrame) -> Lexicon:
