@@ -248,7 +248,7 @@ def sha_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT * FROM (VALUES (1, 7.0), (2, 63.0), (3, 3.7), (4, 0.75), (5, 10.0), (6, 65.0), (7, 20.5)) t(id, seconds)")
+@query("SELECT id, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES (1, 7.0), (2, 63.0), (3, 3.7), (4, 0.75), (5, 10.0), (6, 65.0), (7, 20.5)) t(id, seconds)")
 def retry_delay_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(DELAYS, "id int, header string, message string")
     return rows.select("id", T.retry_delay(F.col("header"), F.col("message")).alias("seconds"))

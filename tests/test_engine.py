@@ -1,0 +1,59 @@
+"""The document engine: queries against SQL on the small tables, and units on literals."""
+
+import duckdb
+import pytest
+
+from marginalia.functions import text as T
+from marginalia.operators import notes as N
+from marginalia.operators import pages as P
+from marginalia.plans import catalogue
+
+TABLES = ("documents", "benchmark", "pages", "events")
+
+
+def norm(rows):
+    value = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    return sorted(tuple(map(value, r)) for r in rows)
+
+
+# sf0.001 has 10 pages a document
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_query(spark, sf_dir, name):
+    got = catalogue.QUERIES[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    rows = [tuple(r) for r in got.select(columns).collect()]
+    if name not in catalogue.ORACLE:
+        assert rows
+        return
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    con.execute(f"CREATE TABLE want AS {catalogue.ORACLE[name]}")
+    assert norm(rows) == norm(con.execute("SELECT " + ", ".join(columns) + " FROM want").fetchall())
+
+
+def test_exact_text_functions():
+    assert T.tidy("informa-\ntion  and\t more \n\n\n\nﬁn\u00ad") == "information and more\n\nfin"
+    assert T.comparable("STRASSE, Straße!") == "strasse strasse"
+    assert T.unify("D ́epartement “x” – y") == "Département \"x\" - y"
+
+
+def test_inline_pages(spark):
+    rows = spark.createDataFrame([("See page 2 and pp. 3-9, [[Page 1]].", [1, 2, 3])], "body string, valid array<int>")
+    r = rows.select(T.clean_inline_pages("body", "valid").alias("x")).first()["x"]
+    assert r["removed"] == 1 and r["body"] == "See page 2 and [unverified page reference removed], (p. 1)."
+
+
+def test_split_long_keeps_text_in_order():
+    text = "A first line. Second one.\n\n" + "word " * 100 + "\n\nEnd."
+    pieces = P.split_long(text, 60)
+    assert all(len(p) <= 60 for p in pieces)
+    assert "".join("".join(pieces).split()) == "".join(text.split())
+
+
+def test_notes_fit_and_groups():
+    note = {"summary": "s" * 900, "points": [{"text": "p" * 300}] * 60, "concepts": [{"term": "c" * 200}] * 30}
+    assert N.size(N.fit(note, 3000)) <= 3000
+    assert N.groups([5, 5, 5, 5, 5], 12) == [[0, 1], [2, 3, 4]]
+    clean = N.sanitize({"points": [{"text": "t", "pages": [1, 9, True], "quote": "not in the page at all"}, {"text": "no page"}]}, [1], {1: "some words"})
+    assert clean["points"] == [{"text": "t", "kind": "other", "pages": [1]}]
