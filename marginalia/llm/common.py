@@ -145,16 +145,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder(dict):
-    """A white-space chunk's bytes -> its ids as little-endian 32-bit integers.
+    """A piece's or chunk's bytes -> its ids as little-endian 32-bit integers.
 
-    The tokenizer's rules never join characters across white space, so a text's
-    ids are those of its chunks in turn; the library encodes each new chunk once. A chunk
-    of Latin-1 letters and then marks of TAIL is two pieces to the tokenizer, whose
-    NFC and lower case are plain, so these are encoded with normalisation and splitting left out, and cut behind
-    the word-end ids. All other chunks are encoded one by one under the full rules.
+    The tokenizer's rules never join characters across white space. A plain text (printable ASCII and Latin-1 letters,
+    no special token) is cut by PIECES as the tokenizer's own pattern cuts it; NFC changes nothing there and
+    lower case is plain, so new pieces are encoded with normalisation and splitting left out, many
+    at a time, and cut behind the word-end ids. In other texts each white-space chunk
+    that isn't plain is encoded under the full rules.
     """
 
-    SIMPLE = re.compile(r"^([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,*&%$#!?;:|]*)$", re.M)
+    PLAIN = bytes([*b"\t\n\v\f\r", *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3])
+    PIECES = re.compile(rb"[a-z\x80-\xbf\xc3]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -166,33 +167,45 @@ class WordEncoder(dict):
         vocabulary = self.pieces.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.again: set[bytes] = set()
 
-    def learn_pieces(self, pieces: list[bytes]) -> None:
-        """Adds pieces that the tokenizer neither changes nor splits."""
+    def plain(self, text: bytes) -> bool:
+        return not text.translate(None, self.PLAIN) and b"<|" not in text and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+
+    def cut(self, text: bytes) -> list[bytes] | None:
+        """The pieces of a plain text; None for others."""
+        if not self.plain(text):
+            return None
+        try:
+            return self.PIECES.findall(text.lower() if text.isascii() else text.decode().lower().encode())
+        except UnicodeDecodeError:  # bytes that are no UTF-8
+            return None
+
+    def units(self, text: bytes, whole: set[bytes]) -> list[bytes]:
+        """Pieces, and chunks that only the full rules can encode; the latter are added to `whole`."""
+        pieces = self.cut(text)
+        if pieces is not None:
+            return pieces
+        out: list[bytes] = []
+        for chunk in text.split():
+            pieces = self.cut(chunk)
+            if pieces is None:
+                whole.add(chunk)
+                out.append(chunk)
+            else:
+                out += pieces
+        return out
+
+    def learn(self, units: set[bytes], whole: set[bytes]) -> None:
+        """Adds what is new: `whole` under the full rules, the other units as pieces that the tokenizer neither changes nor splits."""
+        if len(self) + len(units) > ENCODER_ENTRIES:
+            self.clear()
+        pieces = list(units.difference(self, whole))
         parts = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
         for part, e in zip(parts, self.pieces.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             cuts, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             self.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > ENCODER_ENTRIES:  # keep what came again
-            kept = {c: self[c] for c in self.again} if len(self.again) < ENCODER_ENTRIES // 2 else {}
-            self.clear()
-            self.update(kept)
-            self.again = set()
-        new = chunks.difference(self)
-        self.again |= chunks.difference(new)
-        plain = [c for c in new if c.isalpha() and c.islower()]  # ASCII
-        self.learn_pieces(plain)
-        new.difference_update(plain)
-        simple = self.SIMPLE.findall(b"\n".join(new).decode("utf-8", "replace"))
-        lower = [(w.lower().encode(), t.encode()) for w, t in simple]
-        self.learn_pieces(list({x for pair in lower for x in pair if x and x not in self}))
-        found = {(w + t).encode(): self[b] + self[m] if m else self[b] for (w, t), (b, m) in zip(simple, lower)}
-        self.update(found)
-        rest = list(new.difference(found))
+        rest = list(whole.difference(self))
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
@@ -200,10 +213,11 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         """For each text its ids and the end id."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
-        self.learn(set().union(*split))
+        whole: set[bytes] = set()
+        split = [self.units(t or b"", whole) for t in texts]
+        self.learn(set().union(*split), whole)
         end, get = np.asarray([end_id], "<u4").tobytes(), self.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        return [b"".join(map(get, units)) + end for units in split]
 
 
 def encoder(path: str) -> WordEncoder:
