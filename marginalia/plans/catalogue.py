@@ -9,6 +9,7 @@ from marginalia.functions import text as T
 from marginalia.operators import grounding as G
 from marginalia.operators import notes as N
 from marginalia.operators import pages as P
+from marginalia.operators import validation as V
 from marginalia.sources import reports as R
 from marginalia.sources.tables import pages, read_reports, table
 from marginalia.streaming import jobs as J
@@ -31,6 +32,12 @@ QUOTES = [("a", 1, 1, "the result was 87.5% in all trials"), ("a", 1, 2, "result
 COERCE = [(1, '[1, 2.0, "p. 3", "2-4", true, 99, null]'), (2, "3"), (3, '"pp 1–2"'), (4, None), (5, '["4-2", "x", 1.5]'), (6, "[]"), (7, "null")]
 REPORT = """{"overview":{"title":"A | B","title_source":"filename","authors":["Ann","Bo"],"date":null,"document_type":"Paper","page_count":4,"filename":"a.pdf","size_bytes":20480},"sections":[{"key":"key_findings","heading":"Key Findings","basis":"document","body_markdown":" Found *it*. ","pages":[1,2,4],"evidence":[{"page":2,"quote":"q one"}],"supported":true},{"key":"other","heading":"Other","basis":"mixed","body_markdown":"Text","pages":[],"evidence":[],"supported":false}],"metrics":[{"label":"Rate","value":"87.5%","pages":[2],"verified":true},{"label":"No","value":"9","pages":[],"verified":false}],"references":[{"page":2,"quotes":["q one"],"used_in":["Key Findings"]}],"not_stated":["Date / year"],"validation_notes":[],"warnings":["one page had no text"],"meta":{"model":"m","strategy":"single-pass"}}"""
 
+PAPER = [("a", 1, "Slow Rivers of the North\nAnn Lund and Bo Frey, 2019\nWe measured eleven rivers in winter."), ("a", 2, "The mean flow fell by 41.2% against the year before."), ("a", 3, "Ice cover lasted for 87 days at the upper station."), ("b", 1, "Another text altogether, with 12 numbers.")]
+RAW = """{"overview":{"title":"Slow Rivers of the North","authors":["Ann Lund","Dr. Nobody"],"date":"2019","document_type":"Paper"},
+"sections":[{"key":"made_up","heading":"","basis":"sure","body_markdown":"Flow fell, see page 2 and pp. 900-901.","pages":["2-3",999,true],"evidence":[{"page":3,"quote":"mean flow fell by 41.2% against"},{"quote":"Ice cover lasted for 87 days"},{"page":1,"quote":"This sentence is in no page at all."}]},
+{"key":"methodology","heading":"Methods","basis":"document","body_markdown":"Nobody knows.","pages":[],"evidence":[]},{"key":"key_findings","heading":"Empty","body_markdown":" "}],
+"metrics":[{"label":"Fall","value":"41.2%","pages":[1]},{"label":"Made up","value":"99.987%","pages":[1]},{"label":"Days","value":"87","pages":[3]}],"not_stated":["Funding"]}"""
+
 
 def values(rows: list[tuple]) -> str:
     """Rows as an SQL VALUES list."""
@@ -192,6 +199,34 @@ def _report(spark: SparkSession) -> DataFrame:
     return read_reports(spark.createDataFrame([("a", REPORT)], "doc string, body string"))
 
 
+def _validated(spark: SparkSession) -> DataFrame:
+    index = G.page_index(spark.createDataFrame(PAPER, "doc string, page_no int, text string"))
+    docs = spark.createDataFrame([("a", "a.pdf", 2048, 3), ("b", "b.pdf", 10, 1)], "doc string, filename string, size_bytes long, page_count int")
+    docs = docs.withColumns({"metadata": F.lit(None).cast("map<string,string>"), "warnings": F.array().cast("array<string>"), "meta": F.lit(None).cast("map<string,string>")})
+    return V.validate_reports(index, spark.createDataFrame([("a", RAW), ("b", "no JSON")], "doc string, raw string"), docs)
+
+
+@query("""SELECT * FROM (VALUES ('a', 0, 'Removed 3 page reference(s) that do not exist in this 3-page PDF.'), ('a', 1, 'Removed author “Dr. Nobody”: not found in the PDF''s opening pages or metadata.'), ('a', 2, 'Corrected a quote''s page in “Other” from 3 to 2.'), ('a', 3, 'Added the correct page (3) to an uncited quote in “Other”.'), ('a', 4, 'Removed a quote in “Other” that does not appear in the PDF.'), ('a', 5, 'Section “Methods” makes document claims but cites no valid page; flagged as unsupported.'), ('a', 6, 'Corrected pages for metric “Fall” to [2].'), ('a', 7, 'Metric “Made up” (value 99.987%) could not be found in the PDF; marked unverified.')) t(doc, place, note)""")
+def validation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark).select("doc", F.posexplode("report.validation_notes").alias("place", "note"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'methodology', '', false, 0), ('a', 'other', '2,3', true, 2)) t(doc, key, pages, supported, n_quotes)")
+def validated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _validated(spark).select("doc", F.explode("report.sections").alias("s"))
+    return rows.select("doc", "s.key", F.array_join("s.pages", ",").alias("pages"), "s.supported", F.size("s.evidence").alias("n_quotes"))
+
+
+@query()
+def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, notes, draft and checked report of every document, as Markdown."""
+    every = pages(spark, sf_dir)
+    notes = N.reduced(N.annotate(P.chunks(every)))
+    docs = every.groupBy("doc").agg(F.count("*").cast("int").alias("page_count"), F.sum(F.octet_length("text")).alias("size_bytes"))
+    docs = docs.withColumns({"filename": F.concat("doc", F.lit(".pdf")), "metadata": F.lit(None).cast("map<string,string>"), "warnings": F.array().cast("array<string>"), "meta": F.create_map(F.lit("model"), F.lit("extractive"))})
+    return R.rendered(V.validate_reports(G.page_index(every), N.drafts(notes, every), docs).filter("report is not null"), "md")
+
+
 @query()
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rendered(_report(spark), "md")
