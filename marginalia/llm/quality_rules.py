@@ -7,9 +7,8 @@ document's source) and line the distinct documents are counted, and lines of mor
 documents than the host's limit are removed. A document that keeps fewer than
 `LEAST_KEPT` of its words' characters is depleted and rejected.
 
-Copies must not make each other's lines look like boilerplate, so documents are
-told apart by their longest word (ties: the greatest): copies share it, texts
-that differ rarely do. The limit is the greater of `LEAST_LIMIT` and `SHARE` of the host's
+Exact copies must not make each other's lines look like boilerplate, so documents
+are told apart by a hash of the whole text; near copies count each. The limit is the greater of `LEAST_LIMIT` and `SHARE` of the host's
 distinct documents.
 
 Counts are pre-aggregated before each shuffle, first by (host, line, mark), then
@@ -79,9 +78,8 @@ def split_texts(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_text": text, "_words": words_of(text), "_lines": lines})
 
 
-def mark_of_words() -> Column:
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return F.when(F.size("_words") > 0, F.xxhash64(longest))
+def mark_of_text() -> Column:
+    return F.when(F.size("_words") > 0, F.xxhash64("_text"))
 
 
 def hashed_lines() -> Column:
@@ -123,8 +121,8 @@ def keeps_enough() -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """Figures and verdict for every row of docs (doc_id, text, source)."""
     split = split_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
-    found = kept_table(split.select("doc_id", F.col("_host").alias("host"), *(c.alias(n) for n, c in figures().items()), mark_of_words().alias("mark"), hashed_lines().alias("lines")), "lines")
-    left = found.join(frequent_lines(found), "host", "left")
+    found = kept_table(split.select("doc_id", F.col("_host").alias("host"), *(c.alias(n) for n, c in figures().items()), mark_of_text().alias("mark"), hashed_lines().alias("lines")), "lines")
+    left = found.join(kept_table(frequent_lines(found), "frequent"), "host", "left")  # of a known size: a short list is broadcast, and no host meets in one task
     judged = left.withColumn("removed_chars", removed_chars(F.col("lines"))).withColumn("base_failed", base_failed())
     return judged.select("doc_id", *figures(), "base_failed", (~F.col("base_failed") & keeps_enough()).alias("kept"), "removed_chars")
 
@@ -136,7 +134,7 @@ def keep(docs: DataFrame) -> DataFrame:
     stored nor shuffled if the frequent lines are few enough for Spark to broadcast.
     """
     split = split_texts(docs)
-    lines = split.select(F.col("_host").alias("host"), mark_of_words().alias("mark"), hashed_lines().alias("lines"))
+    lines = split.select(F.col("_host").alias("host"), mark_of_text().alias("mark"), hashed_lines().alias("lines"))
     removed = kept_table(frequent_lines(lines), "frequent").withColumnRenamed("host", "_host")
     judged = split.join(removed.withColumnRenamed("removed", "_removed"), "_host", "left").withColumns({f"_{n}": c for n, c in figures().items()})
     gone = F.aggregate(F.filter(hashed_lines(), lambda x: F.array_contains("_removed", x["line"])), F.lit(0), lambda a, x: a + x["chars"])

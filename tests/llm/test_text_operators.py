@@ -95,6 +95,14 @@ def test_quality_rules(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in result)
 
 
+def test_documents_with_a_longest_word_in_common_are_counted(spark):
+    footer = "see https://example.org/terms-and-conditions-of-this-site for more"
+    texts = [f"{footer}\n" + " ".join("own" + chr(97 + i % 26) * (1 + i // 26) + chr(97 + k) for k in range(20)) for i in range(30)]
+    rows = [(i, t, "host") for i, t in enumerate(texts)] + [(100 + i, texts[0], "host") for i in range(30)] + [(200 + i, "copied words stand here in a row of ten again\n" + "tail", "host") for i in range(30)]
+    got = {r["doc_id"]: r["removed_chars"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(30)} == {len(footer.replace(" ", ""))} and {got[200 + i] for i in range(30)} == {0}
+
+
 # ------------------------------------------------------------------ HTML
 PAGE = """<html><head><title>T</title><script>x="<p>no</p>"</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies to make this site work.</p></div><article><h1>Big &amp; new</h1><p>First  paragraph of the story, which is long enough&nbsp;to read.
