@@ -110,6 +110,12 @@ def removed_chars(lines: Column) -> Column:
     return F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x["chars"])).cast("long")
 
 
+def text_left() -> Column:
+    """_text without the lines whose hashes are in _removed; blank lines stay."""
+    stays = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains("_removed", F.xxhash64(normalised(x))))
+    return F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n"))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
@@ -128,7 +134,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns.
+    """The rows of docs that judge() keeps, with all their columns; text is without its host's frequent lines, and
+    n_chars, where docs has it, is the length of a text that lost any.
 
     Lines are counted in one pass and texts judged in a second, so texts are neither
     stored nor shuffled if the frequent lines are few enough for Spark to broadcast.
@@ -137,10 +144,15 @@ def keep(docs: DataFrame) -> DataFrame:
     lines = split.select(F.col("_host").alias("host"), mark_of_text().alias("mark"), hashed_lines().alias("lines"))
     removed = kept_table(frequent_lines(lines), "frequent").withColumnRenamed("host", "_host")
     judged = split.join(removed.withColumnRenamed("removed", "_removed"), "_host", "left").withColumns({f"_{n}": c for n, c in figures().items()})
-    gone = F.aggregate(F.filter(hashed_lines(), lambda x: F.array_contains("_removed", x["line"])), F.lit(0), lambda a, x: a + x["chars"])
-    gone = F.when(F.col("_removed").isNull(), F.lit(0)).otherwise(gone)
     failed = (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
-    return judged.filter(~failed & (F.col("_word_chars") - gone >= LEAST_KEPT * F.col("_word_chars"))).select(*docs.columns)
+    # an array of the text, or of none if it is depleted: one evaluation serves the verdict and the text
+    enough = F.filter(F.array(text_left()), lambda x: F.length(F.translate(x, SPACE, "")) >= LEAST_KEPT * F.col("_word_chars"))
+    left = judged.filter(~failed).select(*docs.columns, "_word_chars", F.explode(enough).alias("_left"))
+    changed = {"text": F.col("_left")}
+    if "n_chars" in docs.columns:
+        lost = F.length("text") != F.length("_left")
+        changed["n_chars"] = F.when(lost, F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumns(changed).select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_documents_with_a_longest_word_in_common_are_counted(spark):
     assert {got[i] for i in range(30)} == {len(footer.replace(" ", ""))} and {got[200 + i] for i in range(30)} == {0}
 
 
+def test_kept_texts_lose_their_frequent_lines(spark):
+    def own(i):
+        return " ".join("own" + chr(97 + i % 26) * (1 + i // 26) + chr(97 + k) for k in range(20))
+
+    rows = [(i, f"All rights reserved {i}\n\n{own(i)}\n  all RIGHTS reserved 7\nend {own(i)[:9]}", "host", 5) for i in range(30)] + [(90, f"{own(40)}\n\nAll rights reserved 1\n", "other", 5), (91, own(41), None, 5)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality_rules.keep(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()}
+    want = {i: f"\n{own(i)}\nend {own(i)[:9]}" for i in range(30)}
+    assert got == {i: (t, len(t)) for i, t in want.items()} | {i: (t, n) for i, t, _, n in rows[30:]}
+
+
 # ------------------------------------------------------------------ HTML
 PAGE = """<html><head><title>T</title><script>x="<p>no</p>"</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies to make this site work.</p></div><article><h1>Big &amp; new</h1><p>First  paragraph of the story, which is long enough&nbsp;to read.
