@@ -12,7 +12,8 @@ on at most `TRAINING_DOCS` documents for each language (chosen by a hash of the
 id among the labelled training documents). The number of languages in the
 training rows must be at most `MOST_LANGUAGES`, else fitting raises.
 
-Words are split at ASCII white space; only letters count for features. A text
+Words are split at ASCII white space, and those of more than `LONGEST` letters into
+successive pieces of so many, each a word of its own; only letters count for features. A text
 is labelled whole, in segments of `SEGMENT` words that start from the uniform
 distribution, so a text of any length takes bounded memory.
 
@@ -41,7 +42,7 @@ TRAINING_DOCS, SEQUENCE, SEQUENCES = 300, 40, 6000
 MOST_LANGUAGES = 200
 #: Words labelled in one run of forward-backward.
 SEGMENT = 512
-#: Letters of a word that make features.
+#: Letters of a word; longer ones are cut into pieces.
 LONGEST = 40
 LEXICON_WORDS, HASH_BITS = 2000, 16
 EPOCHS, RATE, L2 = 4, 0.5, 1e-6
@@ -49,11 +50,25 @@ UNKNOWN = "und"
 #: The least share of a text that its language must have to pass keep().
 LEAST_SCORE = 0.4
 NO_LETTER = re.compile(r"[\W\d_]+")
+#: Up to LONGEST letters, with the other characters before the first and behind each.
+PIECE = re.compile(r"[\W\d_]*(?:[^\W\d_][\W\d_]*){1,%d}" % LONGEST)
+
+
+def words_of(text: str) -> list[str]:
+    """Words, the long ones in pieces."""
+    return [x for w in text.split() for x in ([w] if len(w) <= LONGEST else PIECE.findall(w) or [w])]
+
+
+def byte_words_of(text: bytes) -> list[bytes]:
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [p.encode() for p in PIECE.findall(w.decode("utf-8", "replace"))] or [w])]
 
 
 def word_features(words: list[str], lexicon: frozenset | set) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words: which word each belongs to, and the feature. A word without letters has none."""
-    letters = [NO_LETTER.sub("", w).lower()[:LONGEST] for w in words]
+    letters = [NO_LETTER.sub("", w).lower() for w in words]
     which = np.asarray([i for i, x in enumerate(letters) if x], np.int64)
     padded = [f"^{x}$" for x in letters if x]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -137,7 +152,7 @@ class Model:
     def _run(self, texts: list[bytes | None]) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
         out: list[tuple[list, list]] = [([], []) for _ in texts]
         pieces = []
-        split = [(text or b"").split() for text in texts]
+        split = [byte_words_of(text or b"") for text in texts]
         new = set().union(*split)
         if len(self.rows) + len(new) > CACHE_ENTRIES:
             self.forget()
@@ -179,14 +194,14 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     labels = sorted({lang for _, lang in samples})
     by_lang: dict[str, Counter] = defaultdict(Counter)
     for text, lang in samples:
-        by_lang[lang].update(NO_LETTER.sub("", w).lower() for w in text.split())
+        by_lang[lang].update(NO_LETTER.sub("", w).lower() for w in words_of(text))
     lexicon = frozenset(w for lang in labels for w, n in sorted(by_lang[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS] if w and n > 1)
     n = len(labels)
     weights, transition = np.zeros((1 << HASH_BITS, n)), np.zeros((n, n))
     if n < 2:
         return Model(labels, weights, transition, lexicon)
     rng = np.random.default_rng(5)
-    chunks = [(words[at : at + SEQUENCE], labels.index(lang)) for text, lang in samples for words in [text.split()] for at in range(0, len(words), SEQUENCE)]
+    chunks = [(words[at : at + SEQUENCE], labels.index(lang)) for text, lang in samples for words in [words_of(text)] for at in range(0, len(words), SEQUENCE)]
     chunks = [chunks[i] for i in rng.permutation(len(chunks))[:SEQUENCES]]
     # neighbouring sequences of two languages, joined, show how languages switch
     joined = [(a + b, [x] * len(a) + [y] * len(b)) for (a, x), (b, y) in zip(chunks[::8], chunks[1::8])]

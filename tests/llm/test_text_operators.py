@@ -61,6 +61,15 @@ def test_language_of_odd_rows_and_switched_text(spark, sf_dir):
     assert {r["lang_pred"] for r in language_id.label_documents(frame.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_text_without_spaces_is_labelled_whole(spark, sf_dir):
+    model = language_id.fit_on(table(spark, sf_dir, "documents"))
+    by = {r["lang"]: "".join(re.findall(r"[^\W\d_]+", r["text"]))[:640] for r in table(spark, sf_dir, "documents").filter("length(text) > 1500").collect()}
+    text = by["en"][:40] + "1.2" + by["de"]
+    assert "".join(language_id.words_of(text)) == text and b"".join(language_id.byte_words_of(text.encode())).decode() == text
+    assert model.predict([text.encode()])[0][0] == "de"
+    assert len(model.marginals([text.encode()])[0]) == 17 and language_id.words_of("1" * 99) == ["1" * 99]
+
+
 # ------------------------------------------------------------------ quality rules
 def base_figures(text):
     words, lines = WORD.findall(text or ""), (text or "").split("\n")
