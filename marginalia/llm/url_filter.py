@@ -8,7 +8,8 @@ then compares `allow` and `block` over the words of host and path, learnt from
 every row that a rule decides, plus fixed pseudo-counts for words that mark
 unwanted sites.
 
-The lexicon is counted over all rows and keeps words with at least
+The lexicon is counted over the paths and the hyphenated host labels of all rows: a whole label may be
+words run together, so it is no evidence that it is a word itself. It keeps words with at least
 `MIN_SHARE` of all tokens, so it has 1 / MIN_SHARE entries at most at any size
 of the input; it is what the workers get, with the counts for these words.
 
@@ -69,7 +70,8 @@ def tokens(text: str) -> list[str]:
 class Lexicon:
     """Unigram word costs and the split of least cost."""
 
-    def __init__(self, counts: dict[str, int], total: int):
+    def __init__(self, counts: dict[str, int], total: int, known: frozenset = frozenset()):
+        self.known = known.union(counts)  # with frequent tokens that take no part in splitting
         self.total = max(1, total)
         self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
         self._cached: dict[str, tuple[str, ...]] = {}
@@ -98,26 +100,35 @@ class Lexicon:
         while end:
             words.append(token[back[end] : end])
             end = back[end]
-        return tuple(w if w in self.cost else "?" for w in reversed(words))
+        return tuple(w if w in self.known else "?" for w in reversed(words))
 
     def words(self, host: str, path: str) -> list[str]:
         """The known words of host and path, marked by where they stand; `?` stands for others, `0` for numbers."""
         return [f"{place}:{w}" for place, text in (("h", host), ("p", path)) for t in tokens(text) for w in self.split(t)]
 
 
+def hyphenated(host: str) -> str:
+    """The labels of host that have a hyphen."""
+    return " ".join(x for x in host.split(".") if "-" in x)
+
+
 def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = Counter(t for host, path in zip(pdf["host"], pdf["path"]) for t in tokens(f"{host} {path}") if not t.isdigit())
+        words = Counter(t for host, path in zip(pdf["host"], pdf["path"]) for t in tokens(f"{hyphenated(host)} {path}") if not t.isdigit())
         if found:
-            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+            yield pd.DataFrame({"word": list(found), "n": list(found.values()), "n_word": [words[t] for t in found]})
 
 
 def fit_lexicon(pages: DataFrame) -> Lexicon:
     """From all rows of pages (host, path)."""
-    counts = pages.select("host", "path").mapInPandas(count_tokens, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = {r["word"]: r["n"] for r in counts.filter(F.col("n") >= F.lit(total * MIN_SHARE)).collect()}
-    return Lexicon(kept, total)
+    counts = pages.select("host", "path").mapInPandas(count_tokens, "word string, n long, n_word long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_word").alias("n_word"))
+    sums = counts.agg(F.sum("n"), F.sum("n_word")).first()
+    every, total = sums[0] or 0, sums[1] or 0
+    kept = {r["word"]: r["n_word"] for r in counts.filter((F.col("n_word") > 0) & (F.col("n_word") >= F.lit(total * MIN_SHARE))).collect()}
+    known = frozenset(r["word"] for r in counts.filter(F.col("n") >= F.lit(every * MIN_SHARE)).select("word").collect())
+    total = max(total, round(1 / MIN_SHARE))  # else short tables make unknown words cheap
+    return Lexicon(kept, total, known)
 
 
 class NaiveBayes:

@@ -188,6 +188,14 @@ def test_rules(spark, sf_dir, whole):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_a_hot_host_is_split(spark):
+    rows = [(i, "http://casinowin.net/x") for i in range(100)] + [(100 + i, f"http://site{i}.org/casino/win/page") for i in range(9)] + [(200, "http://best-winter.net/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    lexicon = url_filter.fit_lexicon(url_filter.with_host_and_path(pages))
+    assert lexicon.split("casinowin") == ("casino", "win") and lexicon.split("winter") == ("winter",)
+    assert lexicon.words("site1.org", "")[0] == "h:site"
+
+
 def test_segmentation_matches_brute_force():
     lexicon = url_filter.Lexicon({"casino": 30, "win": 20, "cas": 2, "in": 50, "o": 5, "best": 9}, 200)
 
