@@ -128,6 +128,8 @@ def fit_lexicon(pages: DataFrame) -> Lexicon:
     kept = {r["word"]: r["n_word"] for r in counts.filter((F.col("n_word") > 0) & (F.col("n_word") >= F.lit(total * MIN_SHARE))).collect()}
     known = frozenset(r["word"] for r in counts.filter(F.col("n") >= F.lit(every * MIN_SHARE)).select("word").collect())
     total = max(total, round(1 / MIN_SHARE))  # else short tables make unknown words cheap
+    # words with fixed pseudo-counts are in at any size, with the least share at least
+    kept |= {w: max(kept.get(w, 0), total * MIN_SHARE) for w in BLOCK_WORDS}
     return Lexicon(kept, total, known)
 
 

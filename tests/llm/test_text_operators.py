@@ -196,6 +196,14 @@ def test_a_hot_host_is_split(spark):
     assert lexicon.words("site1.org", "")[0] == "h:site"
 
 
+def test_block_words_count_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MIN_SHARE", 1e-2)  # as if the table were large
+    rows = [(i, f"http://site{i}.org/page") for i in range(400)] + [(500, "http://cheap-viagra.net/"), (501, "http://casinowin.net/")]
+    lexicon = url_filter.fit_lexicon(url_filter.with_host_and_path(spark.createDataFrame(rows, "page_id long, url string")))
+    assert lexicon.words("cheap-viagra.net", "") == ["h:?", "h:viagra", "h:?"]
+    assert lexicon.split("casinowin") == ("casino", "win")
+
+
 def test_segmentation_matches_brute_force():
     lexicon = url_filter.Lexicon({"casino": 30, "win": 20, "cas": 2, "in": 50, "o": 5, "best": 9}, 200)
 
