@@ -29,12 +29,16 @@ ENCODER_ENTRIES, ENCODER_BYTES = 600_000, 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a default is set only where it names none."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder, with its scheme. A default is set only where it names none and one machine does all the work."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(DEFAULT_SHARED)
         path = DEFAULT_SHARED
-    return path.rstrip("/")
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
@@ -44,17 +48,27 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 def kept_table(df: DataFrame, kind: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, kind).keep(df, "table")
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table of kept_table() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+class Scratch:
+    """Tables in a folder of their own below the shared folder."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.path, self.n = spark, new_path(spark, kind), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read again."""
+        self.n += 1
+        path = f"{self.path}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing may read them any more."""
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,12 +133,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+#: Rows of a part that slices() gives.
+SLICE_ROWS = 8192
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
-    """Parts of a batch with about so many bytes of text at most, a single row at least."""
+    """Parts of a batch with about so many bytes of text and SLICE_ROWS rows at most, a single row at least."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends, total, start = [], 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > most_bytes:
+        if total and total + n > most_bytes or i - start >= SLICE_ROWS:
             ends.append((start, i))
             start, total = i, 0
         total += int(n)
