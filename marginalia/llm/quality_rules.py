@@ -2,20 +2,18 @@
 
 Base figures come from each whole text by array functions inside its own row, so
 no word is ever shuffled. Then every non-blank line is normalised (ASCII letters
-lower-cased, runs of digits to `0`, white space runs to one space, trimmed) and hashed; for each host (the
-document's source) and line the distinct documents are counted, and lines of more
-documents than the host's limit are removed. A document that keeps fewer than
+lower-cased, runs of digits to `0`, white space runs to one space, trimmed) and hashed with its host (the
+document's source); for each host and line the distinct documents are counted, and lines of more
+than `LIMIT` documents of the host are removed, on a host of any size. A document that keeps fewer than
 `LEAST_KEPT` of its words' characters is depleted and rejected.
 
 Exact copies must not make each other's lines look like boilerplate, so documents
-are told apart by a hash of the whole text; near copies count each. The limit is the greater of `LEAST_LIMIT` and `SHARE` of the host's
-distinct documents.
+are told apart by a hash of the whole text; near copies count each.
 
-Counts are pre-aggregated before each shuffle, first by (host, line, mark), then
-by (host, line), so a host or a line with a third of all rows is spread. Only
-lines above the limit go back to the documents; each document's row keeps its
-own line hashes, and at most 1 / SHARE times a document's mean number of lines can
-be above a host's limit.
+Counts are pre-aggregated before each shuffle, first by (line, text), then
+by line, so a host or a line with a third of all rows is spread. Frequent lines go back to the texts that have them by
+the line's hash, and to the rows by (host, text): broadcast up to `BROADCAST_ENTRIES`, else by a join whose two sides are
+tables, so that Spark splits the shuffle of a key with many rows.
 
 Defined results: a null text has no words, so it fails the base rules; a null
 source is a host of its own; repeated rows get equal results; an empty table
@@ -28,15 +26,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_table, table
+from .common import Scratch, kept_table, table
 
 #: White space between words, and the characters that count as symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
-#: A line is removed on a host if more of its distinct documents than both of these have it.
-LEAST_LIMIT, SHARE = 20, 0.05
+#: A line is removed on a host if more of its distinct documents have it.
+LIMIT = 20
 #: A document that keeps less of its words' characters is rejected.
 LEAST_KEPT = 0.3
+#: Entries of a small table (its rows and what their arrays hold) that are broadcast; a larger one is joined by a shuffle.
+BROADCAST_ENTRIES = 500_000
 
 
 def bound(value: Column, use) -> Column:
@@ -71,19 +71,24 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(lower, "[0-9]+", "0"), r"[ \t\x0B\f\r]+", " "))
 
 
+def host_and_mark() -> dict[str, Column]:
+    """Hashes of a row's host and of its whole text."""
+    return {"_host": F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "_mark": F.xxhash64(F.coalesce("text", F.lit("")))}
+
+
 def split_texts(docs: DataFrame) -> DataFrame:
-    """All columns of docs, and _host, _text, _words and _lines (those with a word)."""
+    """All columns of docs, and _host, _mark, _text, _words and _lines (those with a word)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    return docs.withColumns({"_host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_text": text, "_words": words_of(text), "_lines": lines})
+    return docs.withColumns(host_and_mark() | {"_text": text, "_words": words_of(text), "_lines": lines})
 
 
-def mark_of_text() -> Column:
-    return F.when(F.size("_words") > 0, F.xxhash64("_text"))
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.col("_host"), normalised(line))
 
 
 def hashed_lines() -> Column:
-    return F.transform("_lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.length(F.translate(x, SPACE, "")).alias("chars")))
+    return F.transform("_lines", lambda x: F.struct(line_hash(x).alias("line"), F.length(F.translate(x, SPACE, "")).alias("chars")))
 
 
 def figures() -> dict[str, Column]:
@@ -97,12 +102,18 @@ def figures() -> dict[str, Column]:
     }
 
 
-def frequent_lines(figures: DataFrame) -> DataFrame:
-    """host, removed: the hashes of its lines above the limit. figures: host, mark, lines."""
-    documents = figures.filter("mark is not null").select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
-    occurrences = figures.filter("mark is not null").select("host", "mark", F.explode(F.array_distinct(F.col("lines")["line"])).alias("line")).distinct()
-    counts = occurrences.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LEAST_LIMIT)
-    return counts.join(documents, "host").filter(F.col("n") > SHARE * F.col("n_docs")).groupBy("host").agg(F.collect_list("line").alias("removed"))
+def sized(df: DataFrame, array: str | None = None) -> DataFrame:
+    """df, to be broadcast if it has few entries."""
+    entries = F.count("*") + (F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0))
+    return F.broadcast(df) if df.agg(entries).first()[0] <= BROADCAST_ENTRIES else df
+
+
+def frequent_lines(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """_host, _mark, removed: the texts with lines that are too frequent on their host, and these lines' hashes. found: _host, _mark, n_words, lines."""
+    lines = found.filter("n_words > 0").select("_host", "_mark", F.explode(F.array_distinct(F.col("lines")["line"])).alias("line"))
+    counts = lines.select("_mark", "line").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    frequent = scratch.keep(counts.filter(F.col("n") > LIMIT).select("line"), "frequent")
+    return scratch.keep(lines.join(sized(frequent), "line").groupBy("_host", "_mark").agg(F.collect_set("line").alias("removed")), "texts")
 
 
 def removed_chars(lines: Column) -> Column:
@@ -111,9 +122,8 @@ def removed_chars(lines: Column) -> Column:
 
 
 def text_left() -> Column:
-    """_text without the lines whose hashes are in _removed; blank lines stay."""
-    stays = F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains("_removed", F.xxhash64(normalised(x))))
-    return F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n"))
+    """The text without the lines whose hashes are in removed; blank lines stay."""
+    return F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", line_hash(x))), "\n")
 
 
 def base_failed() -> Column:
@@ -124,42 +134,45 @@ def keeps_enough() -> Column:
     return F.col("word_chars") - F.col("removed_chars") >= LEAST_KEPT * F.col("word_chars")
 
 
+def judged(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, _host, _mark, the figures, base_failed, kept, removed_chars and removed for every row of docs (text, source)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    split = split_texts(docs.select(*columns, "text", "source"))
+    found = scratch.keep(split.select(*columns, "_host", "_mark", *(c.alias(n) for n, c in figures().items()), hashed_lines().alias("lines")), "figures")
+    left = found.join(sized(frequent_lines(found, scratch), "removed"), ["_host", "_mark"], "left")
+    left = left.withColumn("removed_chars", removed_chars(F.col("lines"))).withColumn("base_failed", base_failed())
+    return left.withColumn("kept", ~F.col("base_failed") & keeps_enough()).drop("lines")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Figures and verdict for every row of docs (doc_id, text, source)."""
-    split = split_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
-    found = kept_table(split.select("doc_id", F.col("_host").alias("host"), *(c.alias(n) for n, c in figures().items()), mark_of_text().alias("mark"), hashed_lines().alias("lines")), "lines")
-    left = found.join(kept_table(frequent_lines(found), "frequent"), "host", "left")  # of a known size: a short list is broadcast, and no host meets in one task
-    judged = left.withColumn("removed_chars", removed_chars(F.col("lines"))).withColumn("base_failed", base_failed())
-    return judged.select("doc_id", *figures(), "base_failed", (~F.col("base_failed") & keeps_enough()).alias("kept"), "removed_chars")
+    rows = judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    return rows.select("doc_id", *figures(), "base_failed", "kept", "removed_chars")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns; text is without its host's frequent lines, and
     n_chars, where docs has it, is the length of a text that lost any.
 
-    Lines are counted in one pass and texts judged in a second, so texts are neither
-    stored nor shuffled if the frequent lines are few enough for Spark to broadcast.
+    Figures and lines come from one pass over the texts; the second only looks up what becomes of a text, by its hash.
     """
-    split = split_texts(docs)
-    lines = split.select(F.col("_host").alias("host"), mark_of_text().alias("mark"), hashed_lines().alias("lines"))
-    removed = kept_table(frequent_lines(lines), "frequent").withColumnRenamed("host", "_host")
-    judged = split.join(removed.withColumnRenamed("removed", "_removed"), "_host", "left").withColumns({f"_{n}": c for n, c in figures().items()})
-    failed = (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words"))
-    # an array of the text, or of none if it is depleted: one evaluation serves the verdict and the text
-    enough = F.filter(F.array(text_left()), lambda x: F.length(F.translate(x, SPACE, "")) >= LEAST_KEPT * F.col("_word_chars"))
-    left = judged.filter(~failed).select(*docs.columns, "_word_chars", F.explode(enough).alias("_left"))
-    changed = {"text": F.col("_left")}
+    verdicts = judged(docs.select("text", "source")).filter(~F.col("kept") | F.col("removed").isNotNull())
+    decided = kept_table(verdicts.groupBy("_host", "_mark").agg(F.first("kept").alias("_kept"), F.first("removed").alias("removed")), "decided")
+    own = F.struct(*docs.columns).alias("_row")
+    rows = docs.select(own, "text", "source").withColumns(host_and_mark()).join(sized(decided, "removed"), ["_host", "_mark"], "left").filter(F.coalesce("_kept", F.lit(True)))
+    left = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), text_left()))
+    changed = F.col("_left").isNotNull() & (F.length("_left") != F.length("text"))
+    new = {"text": F.coalesce("_left", F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        lost = F.length("text") != F.length("_left")
-        changed["n_chars"] = F.when(lost, F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumns(changed).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return left.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-#: The same rows by strings instead of hashes, over the view `documents`.
+#: The same rows by strings instead of hashes, over the view `documents`: lines of more than LIMIT different texts of a host.
 ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents
@@ -175,15 +188,13 @@ t AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1
 ), covered AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
-), marks AS (
-  SELECT r, max({{'n': length(w), 'w': w}}).w AS mark FROM (SELECT r, unnest(words) AS w FROM t) GROUP BY r
+), texts AS (
+  SELECT text, row_number() OVER () AS text_no FROM (SELECT DISTINCT text FROM t)
 ), ln AS (
-  SELECT r, host, mark, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS line, length(translate(line, s, '')) AS chars
-  FROM (SELECT r, host, mark, unnest(lines) AS line FROM t JOIN marks USING (r)), sp
-), hosts AS (
-  SELECT host, count(DISTINCT mark) AS n_docs FROM t JOIN marks USING (r) GROUP BY host
+  SELECT r, host, text_no, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS line, length(translate(line, s, '')) AS chars
+  FROM (SELECT r, host, text_no, unnest(lines) AS line FROM t JOIN texts USING (text)), sp
 ), frequent AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT mark) AS n FROM ln GROUP BY host, line) JOIN hosts USING (host) WHERE n > {LEAST_LIMIT} AND n > {SHARE} * n_docs
+  SELECT host, line FROM ln GROUP BY host, line HAVING count(DISTINCT text_no) > {LIMIT}
 ), gone AS (
   SELECT r, sum(chars) AS chars FROM ln JOIN frequent USING (host, line) GROUP BY r
 ), f AS (
