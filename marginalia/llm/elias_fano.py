@@ -1,8 +1,8 @@
-"""Elias-Fano coded monotone sequences in plain arrays, searched by vector operations.
+"""Elias-Fano coded monotone sequences in plain arrays, searched and read by vector operations.
 
 A value's low bits (a whole number of bytes) stand in byte planes; its high bits are coded in unary in a
-bit vector: value i sets bit (high + i). A directory of zeros before each 64-bit word makes
-`select0` one binary search and a few word operations.
+bit vector: value i sets bit (high + i). Directories of zeros and of ones before each 64-bit word make
+`select0` and `select1` one binary search and a few word operations each.
 """
 
 from __future__ import annotations
@@ -31,14 +31,15 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         words[word[first]] = np.bitwise_or.reduceat(_u(1) << (at & 63).astype(np.uint64), first)
     ones = np.bitwise_count(words).astype(np.int64)
-    before = np.concatenate([[0], np.cumsum(64 - ones)[:-1]]).astype(np.uint32 if n + zeros < 1 << 32 else np.uint64)
+    kind = np.uint32 if n + zeros < 1 << 32 else np.uint64
+    before, ones = (np.concatenate([[0], np.cumsum(x)[:-1]]).astype(kind) for x in (64 - ones, ones))
     planes = [(low >> _u(8 * b)).astype(np.uint8) for b in range(low_bytes)]
-    return {"high": words, "before": before, "low": np.concatenate(planes) if planes else np.zeros(0, np.uint8), "size": np.asarray([n, low_bytes], np.int64)}
+    return {"high": words, "before": before, "ones": ones, "low": np.concatenate(planes) if planes else np.zeros(0, np.uint8), "size": np.asarray([n, low_bytes], np.int64)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.high, self.before = arrays["high"], arrays["before"]
+        self.high, self.before, self.ones = arrays["high"], arrays["before"], arrays["ones"]
         self.n, self.low_bytes = (int(x) for x in arrays["size"])
         self.planes = [arrays["low"][b * self.n : (b + 1) * self.n] for b in range(self.low_bytes)]
 
@@ -54,6 +55,13 @@ class EliasFano:
         rest = (k - self.before[word].astype(np.int64)).astype(np.uint64)
         return word * 64 + _select_in_word(~self.high[word], rest)
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values, from 0."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        rest = (i - self.ones[word].astype(np.int64)).astype(np.uint64)
+        high = (word * 64 + _select_in_word(self.high[word], rest) - i).astype(np.uint64)
+        return (high << _u(8 * self.low_bytes)) | self.low(i)
+
     def rank(self, high: np.ndarray) -> np.ndarray:
         """Values whose high bits are below high."""
         out = np.zeros(len(high), np.int64)
