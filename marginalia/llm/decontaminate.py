@@ -6,9 +6,10 @@ m - Q + 1 - Q * e of its q-grams with it (the q-gram lemma), all on diagonals
 (place in the text less place in the item) that lie within e of each other. Diagonals
 fall into overlapping bands of 2(e + 1), a new one every e + 1, so one band holds all of them.
 A band with enough shared q-grams is a region; regions are verified by a semi-global alignment
-inside the band. Texts are scanned whole, by vector operations, once for each
-block of the benchmark; a block has `BLOCK_CHARS` characters at most, which bounds what is
-broadcast, whatever the benchmark's size.
+inside the band, first to last until one matches without an edit. Texts are scanned whole, by vector operations, once for each
+block of the benchmark; a block has `BLOCK_CHARS` characters on average or one item, which bounds what is
+broadcast, whatever the benchmark's size. Shared q-grams are counted `POSTINGS` at a time, so a text of one
+repeated character takes no more memory than another.
 
 Defined results: one row for each document row and item that it leaks. Null or
 empty texts and items leak nothing; items of less than `LEAST_CHARS` normalised
@@ -27,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import new_path, slices, table, texts_of
 
 Q, EDIT_RATE, LEAST_CHARS = 10, 0.07, 32
 #: Characters of the benchmark in one index.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+#: Shared q-grams that are counted in one go.
+POSTINGS = 1_000_000
 TABLE_BITS = 22
+#: Bits of a band's number and of an item's in a key; a document's have the rest (a slice has SLICE_ROWS = 2^13 rows at most).
+BAND_BITS, ITEM_BITS = 32, 18
 FOUND = "doc_id long, item_id long, edits int, start long"
 
 
@@ -98,7 +103,10 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         normal = sorted(((i, normalise(t or "")) for i, t in items), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.items = [(i, codes(t)) for i, t in normal if len(t) >= LEAST_CHARS]
+        if len(self.items) >> ITEM_BITS:
+            raise ValueError("a block of the benchmark has too many items")
         self.edits = np.asarray([int(EDIT_RATE * len(c)) for _, c in self.items], np.int64)
+        self.longest = max((len(c) + e + 2 for (_, c), e in zip(self.items, self.edits.tolist())), default=0)  # no band is negative
         self.least = np.asarray([len(c) - Q + 1 - Q * e for (_, c), e in zip(self.items, self.edits)], np.int64)
         hashes = [gram_hashes(c) for _, c in self.items]
         sizes = [len(h) for h in hashes]
@@ -119,25 +127,34 @@ class Index:
         gram = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         hit = self.grams[gram] == h[at]
         at, gram = at[hit], gram[hit]
+        if not len(at):
+            return []
+        found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(self.count[gram])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), POSTINGS), side="right"))
+        for a, b in zip(cuts, [*cuts[1:], len(at)]):
+            keys, times = np.unique(self.band_keys(at[a:b], gram[a:b], starts), return_counts=True)
+            found, where = np.unique(np.concatenate([found, keys]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, times]), len(found)).astype(np.int64)
+        items = (found >> BAND_BITS) & ((1 << ITEM_BITS) - 1)
+        out = []
+        for key in found[n >= self.least[items]].tolist():
+            i = (key >> BAND_BITS) & ((1 << ITEM_BITS) - 1)
+            width = int(self.edits[i]) + 1
+            low = (key & ((1 << BAND_BITS) - 1)) * width - self.longest
+            out.append((key >> (BAND_BITS + ITEM_BITS), i, low, low + 2 * width - 1))
+        return out
+
+    def band_keys(self, at: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(document, item, band) of both bands that hold the diagonal of each shared q-gram, as one number."""
         count = self.count[gram]
         spread = np.repeat(np.arange(len(at)), count)
         posting = self.first[gram][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(count) - count, count)
         item, diagonal = self.item[posting], at[spread] - self.place[posting]
         doc = np.searchsorted(starts, at, side="right")[spread] - 1
-        band = (diagonal + BLOCK_CHARS) // (self.edits[item] + 1)
-        # a band's number and the one before hold the diagonal; a key has 14 bits for the document (an Arrow
-        # batch has 10,000 rows at most), 18 for the item (a block's characters allow no more) and 31 for the band
-        keys = (doc << 49) | (item << 31)
-        found, n = np.unique(np.concatenate([keys | band, keys | (band - 1)]), return_counts=True)
-        items = (found >> 31) & ((1 << 18) - 1)
-        found = found[n >= self.least[items]]
-        out = []
-        for key in found.tolist():
-            i = (key >> 31) & ((1 << 18) - 1)
-            width = int(self.edits[i]) + 1
-            low = (key & ((1 << 31) - 1)) * width - BLOCK_CHARS
-            out.append((key >> 49, i, low, low + 2 * width - 1))
-        return out
+        band = (diagonal + self.longest) // (self.edits[item] + 1)  # its own band and the one before hold the diagonal
+        keys = (doc << (BAND_BITS + ITEM_BITS)) | (item << BAND_BITS)
+        return np.concatenate([keys | band, keys | (band - 1)])
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int | None, int, int]]:
         """(document, item id, edits, start) for every leak."""
@@ -149,6 +166,8 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for doc, i, low, high in self.regions(text, starts):
             limit, start = int(self.edits[i]), int(starts[doc])
+            if best.get((doc, i), (1, 0))[0] == 0:
+                continue  # regions come in order, so none ahead is better
             item, own = self.items[i][1], arrays[doc]
             low, high = low - limit - start, high + limit - start
             # only the part that the band can reach
@@ -183,13 +202,17 @@ def clean_batches(index):
 
 
 def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of the benchmark's blocks."""
+    """Broadcast indexes of the benchmark's blocks. The benchmark is read once and dealt out by a hash."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // (BLOCK_CHARS // 4)) or 1  # a hash deals unevenly
-    context = benchmark.sparkSession.sparkContext
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [context.broadcast(Index([tuple(r) for r in items.filter(block == b).collect()])) for b in range(blocks)]
+    blocks = -(-total // BLOCK_CHARS) or 1
+    spark = benchmark.sparkSession
+    if blocks == 1:
+        return [spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))]
+    path = new_path(spark, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    dealt = spark.read.schema("item_id long, text string, block int").parquet(path)
+    return [spark.sparkContext.broadcast(Index([tuple(r) for r in dealt.filter(F.col("block") == b).select("item_id", "text").collect()])) for b in range(blocks)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

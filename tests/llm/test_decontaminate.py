@@ -1,8 +1,10 @@
 """Decontamination against full dynamic programming."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from marginalia.llm import decontaminate as D
 from marginalia.llm.common import table
@@ -83,3 +85,20 @@ def test_edits_and_odd_rows(spark, monkeypatch):
     leaking = {d for d, _, _ in want}
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - leaking
     assert got(frame.limit(0), bench) == [] == got(frame, bench.limit(0))
+
+
+def test_many_rows_long_items_and_equal_characters():
+    """20,000 rows, an item of 1 M characters, and a text whose every q-gram is the same."""
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    index = D.Index([(1, item), (2, "a" * 500), (3, long)])
+    rows = ["short row"] * 19_990 + [item, "a" * 300_000, long[5000:9000]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["doc_id", "text"])
+    shared = type("Shared", (), {"value": index})
+    tracemalloc.start()
+    found = [tuple(r.values()) for b in D.leak_batches(shared)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i, e) for d, i, e, _ in found] == [(19_990, 1, 0), (19_991, 2, 0)]
+    assert peak < 400 << 20
