@@ -5,8 +5,8 @@ sequence of its own; its rest and all shorter documents are packed in
 decreasing order into the open sequence with the least room that still takes
 them. A segment tree over room 0..window finds that sequence in log2(window)
 steps. Packing runs in groups of documents (`GROUP_DOCS` at most on average,
-dealt by a hash), so memory is bounded and the number of groups follows the
-input; each group leaves few open sequences.
+dealt by a hash of the piece and of the input partition that it comes from, so that neither one id nor one repeated row fills a group), so memory
+is bounded and the number of groups follows the input; each group leaves few open sequences.
 
 Only lengths and checksums travel: texts are tokenised where they are read.
 
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """Every piece of every document of docs (doc_id, text) with its sequence and offset."""
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces_batches(tokenizer, end_id, window), PIECES)
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
+    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)).cast("long"))
     return grouped.groupBy("pack_group").applyInPandas(pack_group(window), PACKED)
 
 

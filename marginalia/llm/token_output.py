@@ -3,12 +3,13 @@
 ORC encodes the id lists with its integer run-length encoding (RLEv2). Each
 stripe carries row indexes and a Bloom filter on doc_id, so a reader takes
 stripes in parallel and skips those whose statistics or filter exclude the
-wanted documents. Files hold disjoint ranges of ids in ascending order.
+wanted documents. Files hold disjoint ranges of (doc_id, hash of text, input partition) in ascending order; their number
+follows the bytes of text, `FILE_BYTES` a file, and the ranges split an id, or a row, that repeats.
 
 Defined results: a null or empty text is the end id alone; rows with equal ids
-are all written, ordered by text (null first); a null id sorts first; an empty
+are all written, ordered by the text's hash; a null id sorts first; an empty
 table gives an empty table; further columns of the input are ignored. A text of
-any length is one row.
+any length is one row; of 2^31 tokens or more it would not fit ORC's lists and raises.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ END_ID = 1
 FILE_SCHEMA = "doc_id long, part int, part_end long, ids array<int>"
 #: Rows between two entries of ORC's row index, and the stripes' size in bytes.
 INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
+#: Bytes of text for each file.
+FILE_BYTES = 64 << 20
 
 
 def encode_batches(path: str, end_id: int):
@@ -51,11 +54,11 @@ def encode_batches(path: str, end_id: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Tokenises docs (doc_id, text) and writes ORC files to path, in ascending doc_id order."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = partitions or max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("place"))
+    ordered = rows.repartitionByRange(n, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place")
     (
-        ordered.mapInArrow(encode_batches(tokenizer, end_id), FILE_SCHEMA)
+        ordered.select("doc_id", "text").mapInArrow(encode_batches(tokenizer, end_id), FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_STRIDE))

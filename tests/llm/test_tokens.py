@@ -40,18 +40,55 @@ def test_chunks_encode_as_whole_text(text):
 def test_token_files_round_trip(spark):
     path = new_path(spark, "test")
     token_output.write_token_files(frame(spark, DOCS), path, tokenizer_path(), partitions=3)
-    ordered = sorted(DOCS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, at = [], 0
-    for doc, text in ordered:
-        ids = plain_ids(text)
-        want.append((doc, at, len(ids), crc(ids)))
-        at += len(ids)
     got = sorted(map(tuple, token_output.token_digest(spark, path).collect()), key=lambda r: r[1])
-    assert got == want
+    assert [r[0] for r in got] == [None, 1, 2, 2, 3, 3, 4, 9]
+    at = 0
+    for _, start, n, _ in got:  # gapless, in order of id
+        assert start == at
+        at += n
+    key = lambda r: (r[0] or 0, r[1], r[2])
+    assert sorted(((d, n, c) for d, _, n, c in got), key=key) == sorted(((d, len(plain_ids(t)), crc(plain_ids(t))) for d, t in DOCS), key=key)
     some = token_output.read_token_files(spark, path, [9]).collect()
     assert [r["ids"] for r in some] == [plain_ids("word " * 5000)]
 
 
+def test_files_follow_bytes_and_split_one_id(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 2000)
+    rows = [(7, f"text {i} of one id") for i in range(600)] + [(8, "one repeated row")] * 600
+    path = new_path(spark, "test")
+    token_output.write_token_files(frame(spark, rows).repartition(6), path, tokenizer_path())
+    files = token_output.read_token_files(spark, path).groupBy("part").count().collect()
+    assert len(files) > 5 and max(r["count"] for r in files) < 600
+    assert token_output.token_digest(spark, path).agg({"n_tokens": "sum"}).first()[0] == sum(len(plain_ids(t)) for _, t in rows)
+
+
+def test_stripes_carry_indexes_that_skip_rows(spark):
+    """The files' footers name a row index and a Bloom filter stream for doc_id, and a reader by id takes in few rows."""
+    rows = [(2 * i, "some words " * 20) for i in range(30_000)]
+    path = new_path(spark, "test")
+    token_output.write_token_files(frame(spark, rows), path, tokenizer_path(), partitions=2)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    parts = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().startswith("part-")]
+    assert len(parts) == 2
+    reader = jvm.org.apache.orc.OrcFile.createReader(parts[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_output.INDEX_STRIDE and reader.getCompressionKind().toString() == "ZSTD"
+    kinds = set()
+    rows_of = reader.rows()
+    footer = rows_of.readStripeFooter(reader.getStripes().get(0))
+    for i in range(footer.getStreamsCount()):
+        if footer.getStreams(i).getColumn() == 1:  # doc_id
+            kinds.add(footer.getStreams(i).getKind().toString())
+    rows_of.close()
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    # an id between two others: statistics can't exclude it, the Bloom filter can
+    for wanted, most in (([31], 0), ([4000], 2 * token_output.INDEX_STRIDE)):
+        took = token_output.read_token_files(spark, path, wanted)
+        assert took.count() == (0 if most == 0 else 1)
+        plan = took._jdf.queryExecution().executedPlan()
+        assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in took._jdf.queryExecution().toString() or "In(doc_id" in took._jdf.queryExecution().toString(), plan
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     path = new_path(spark, "test")
@@ -85,6 +122,13 @@ def test_pack_keeps_every_token(spark, window):
     check_packed(rows, DOCS, window)
 
 
+def test_one_repeated_row_is_dealt_out(spark):
+    rows = [(None, "the same row again and again")] * 400
+    packed = packing.pack(frame(spark, rows).repartition(16), tokenizer_path(), window=64, group_docs=50).collect()
+    check_packed(packed, rows, 64)
+    assert len({r["sequence_id"] >> 32 for r in packed}) >= 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=60))
 def test_best_fit_matches_brute_force(lengths):
