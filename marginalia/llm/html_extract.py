@@ -27,13 +27,16 @@ from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import table
+from .common import slices, table, texts_of
 
 TRAINING_PAGES, SEED = 500, 7
+#: Bytes of pages whose elements are scored together.
+SLICE_BYTES = 1_000_000
 #: Kinds of attribute tokens; a token counts if it is one of these words or begins with one of four letters or more.
 ATTRIBUTE_KINDS = {
     "content": "article content main post entry story text prose body",
@@ -64,9 +67,12 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:\"
 WORD = re.compile(r"[a-z]+")
 
 
-@lru_cache(50_000)
 def attribute_kinds(attributes: str) -> int:
-    """Bits of the kinds that an element's attributes name."""
+    """Bits of the kinds that an element's attributes name; what is found for short ones is remembered."""
+    return _short_kinds(attributes) if len(attributes) <= 200 else _kinds(attributes)
+
+
+def _kinds(attributes: str) -> int:
     bits = 0
     for m in ATTRIBUTE.finditer(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()
@@ -79,6 +85,9 @@ def attribute_kinds(attributes: str) -> int:
     return bits
 
 
+_short_kinds = lru_cache(20_000)(_kinds)
+
+
 class Tree:
     """Elements in document order, and the page's texts with the element that holds each."""
 
@@ -86,7 +95,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.tags, self.parents, self.kinds = ["#root"], [-1], [0]
-        self.texts: list[tuple[int, str]] = []  # (element, text); "\n\n" alone is a block's edge
+        self.texts: list[tuple[int, str | None]] = []  # (element, text); None is a block's edge
         stack, at, n = [0], 0, len(page)
         while at < n:
             m = TOKEN.search(page, at)
@@ -107,7 +116,7 @@ class Tree:
             if tag in SIBLINGS:
                 self.close_open(stack, *SIBLINGS[tag])
             if tag in BLOCK:
-                self.texts.append((stack[-1], "\n\n"))
+                self.texts.append((stack[-1], None))
             elif tag == "br":
                 self.texts.append((stack[-1], " "))
             if tag in VOID:
@@ -125,7 +134,7 @@ class Tree:
         for i in range(len(stack) - 1, 0, -1):
             if self.tags[stack[i]] == tag:
                 if any(self.tags[x] in BLOCK for x in stack[i:]):
-                    self.texts.append((stack[-1], "\n\n"))
+                    self.texts.append((stack[-1], None))
                 del stack[i:]
                 return
             if tag not in BLOCK and self.tags[stack[i]] in BLOCK:
@@ -134,7 +143,7 @@ class Tree:
     def close_open(self, stack: list[int], tags: set[str], within: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if self.tags[stack[i]] in tags:
-                self.texts.append((stack[-1], "\n\n"))
+                self.texts.append((stack[-1], None))
                 del stack[i:]
                 return
             if self.tags[stack[i]] in within:
@@ -147,7 +156,7 @@ def features(tree: Tree) -> np.ndarray:
     own, words, stops, first = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     at = 0
     for node, text in tree.texts:
-        if text == "\n\n":
+        if text is None:
             continue
         size = len(text)
         own[node] += size
@@ -217,7 +226,7 @@ def decode(tree: Tree, odds: np.ndarray) -> list[bool]:
 def kept_text(tree: Tree, label: list[bool]) -> str:
     blocks, part = [], []
     for node, text in tree.texts:
-        if text == "\n\n":
+        if text is None:
             blocks.append("".join(part))
             part = []
         elif label[node]:
@@ -361,19 +370,19 @@ def extract_pages(pages: list[str | None], model: BoostedTrees) -> list[str]:
 
 
 def extract_batches(model: BoostedTrees):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                text = extract_pages([p if isinstance(p, str) else None for p in part["html"]], model)
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html", SLICE_BYTES):
+                text = extract_pages([None if p is None else p.decode("utf-8", "replace") for p in texts_of(batch, "html")], model)
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInPandas(extract_batches(fitted_model()), "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html")
+    return rows.mapInArrow(extract_batches(fitted_model()), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,15 @@ Forward-backward gives each word's marginals; a document's language is the one
 with the largest share of letters under them, and that share is the score.
 
 Fitting maximises the conditional likelihood of label sequences, by AdaGrad,
-on at most `TRAINING_DOCS` documents for each language (chosen by a hash of the
-id among the labelled training documents). The number of languages in the
+on about `TRAINING_DOCS` documents for each language (chosen by a hash of the
+id among the labelled training documents), of each at most `TRAINING_CHARS` characters from a place that a hash chooses. The number of languages in the
 training rows must be at most `MOST_LANGUAGES`, else fitting raises.
 
 Words are split at ASCII white space, and those of more than `LONGEST` letters into
 successive pieces of so many, each a word of its own; only letters count for features. A text
-is labelled whole, in segments of `SEGMENT` words that start from the uniform
-distribution, so a text of any length takes bounded memory.
+is one chain, labelled in segments of `SEGMENT` words: what a segment's words before and behind it say reaches
+it through the segments' transfer matrices, so the marginals are those of the whole chain, while
+a text of any length takes bounded memory.
 
 Defined results: `und` and score 0 if the text is null or has no letter; if no
 training row has a label, every text is `und`. Repeated rows get equal results;
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, doc_mod, held, mix, slices, table, texts_of
 
 #: Bounds of the training sample: documents for each language, words taken as one sequence, sequences in all.
-TRAINING_DOCS, SEQUENCE, SEQUENCES = 300, 40, 6000
+TRAINING_DOCS, TRAINING_CHARS, SEQUENCE, SEQUENCES = 300, 20_000, 40, 6000
 MOST_LANGUAGES = 200
 #: Words labelled in one run of forward-backward.
 SEGMENT = 512
@@ -90,19 +91,22 @@ def word_features(words: list[str], lexicon: frozenset | set) -> tuple[np.ndarra
     return which[np.concatenate(owners)] if len(which) else which, np.concatenate(found).astype(np.int64)
 
 
-def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals (rows x time x labels) and summed pair marginals, for rows sorted by falling length.
 
-    emission and transition hold log weights. Probabilities are scaled at each step.
+    emission and transition hold log weights. Probabilities are scaled at each step. before and behind (rows x labels) are what
+    the chain says at a row's first word without it, and at its last word of what follows.
     """
     rows, steps, labels = emission.shape
     e = np.exp(emission - emission.max(2, keepdims=True))
     t = np.exp(transition)
     active = [int(np.searchsorted(-lengths, -s, side="left")) for s in range(steps)]  # rows longer than s
     alpha, beta = np.zeros_like(e), np.ones_like(e)
+    if behind is not None:
+        beta[np.arange(rows), lengths - 1] = behind
     for s in range(steps):
         k = active[s]
-        a = e[:k, s] * (alpha[:k, s - 1] @ t) if s else e[:k, s].copy()
+        a = e[:k, s] * (alpha[:k, s - 1] @ t if s else 1.0 if before is None else before[:k])
         alpha[:k, s] = a / a.sum(1, keepdims=True)
     pairs = np.zeros_like(t)
     for s in range(steps - 2, -1, -1):
@@ -116,6 +120,18 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.n
     return gamma / np.maximum(gamma.sum(2, keepdims=True), 1e-300), pairs
 
 
+def transfer(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """rows x labels x labels, for rows of one length: from what stands at a row's first word without it to the same at its last word with all words. Scaled."""
+    e = np.exp(emission - emission.max(2, keepdims=True))
+    t = np.exp(transition)
+    out = np.eye(emission.shape[2])[None] * e[:, :1]
+    for s in range(1, emission.shape[1]):
+        out = (out @ t) * e[:, s, None, :]
+        if s % 16 == 0:
+            out /= out.max((1, 2), keepdims=True)
+    return out / out.max((1, 2), keepdims=True)
+
+
 class Model:
     """Weights, labels and lexicon of a fitted field."""
 
@@ -161,6 +177,7 @@ class Model:
         for i, words in enumerate(split):
             rows = np.fromiter(map(get, words), np.int64, len(words))
             pieces += [(i, at, rows[at : at + SEGMENT]) for at in range(0, len(rows), SEGMENT)]
+        before, behind = self._edges(pieces)
         order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k][2]))
         done: dict[int, np.ndarray] = {}
         for at in range(0, len(order), 256):
@@ -169,7 +186,7 @@ class Model:
             index = np.zeros((len(block), lengths[0]), np.int64)
             for r, k in enumerate(block):
                 index[r, : lengths[r]] = pieces[k][2]
-            gamma, _ = forward_backward(self.table[index].astype(np.float64), lengths, self.transition)
+            gamma, _ = forward_backward(self.table[index].astype(np.float64), lengths, self.transition, before[block], behind[block])
             for r, k in enumerate(block):
                 done[k] = gamma[r, : lengths[r]]
         for k, (i, _, rows) in enumerate(pieces):
@@ -177,6 +194,29 @@ class Model:
             out[i][1].append(self.letters[rows])
         return out
 
+    def _edges(self, pieces: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """What the rest of its text says at each piece's first word and behind its last; the pieces of a text stand in order."""
+        n, t = len(self.labels), np.exp(self.transition)
+        before, behind = np.ones((len(pieces), n)), np.ones((len(pieces), n))
+        long = [k for k in range(len(pieces)) if k + 1 < len(pieces) and pieces[k + 1][0] == pieces[k][0] or pieces[k][1]]
+        moves: dict[int, np.ndarray] = {}
+        full = [k for k in long if len(pieces[k][2]) == SEGMENT]  # all but a text's last
+        step = max(1, 2_000_000 // (SEGMENT * n + n * n))
+        for at in range(0, len(full), step):
+            block = full[at : at + step]
+            moves.update(zip(block, transfer(self.table[np.stack([pieces[k][2] for k in block])].astype(np.float64), self.transition)))
+        last = [k for k in long if len(pieces[k][2]) < SEGMENT]
+        moves.update((k, transfer(self.table[pieces[k][2]][None].astype(np.float64), self.transition)[0]) for k in last)
+        for k in long:
+            if pieces[k][1]:
+                v = before[k - 1] @ moves[k - 1] @ t
+                before[k] = v / v.max()
+        for k in reversed(long):
+            if k + 1 < len(pieces) and pieces[k + 1][0] == pieces[k][0]:
+                v = t @ (moves[k + 1] @ behind[k + 1])
+                behind[k] = v / v.max()
+        return before, behind
+
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.labels:
             return [(UNKNOWN, 0.0)] * len(texts)
@@ -253,7 +293,9 @@ def training_rows(docs: DataFrame, per_language: int = TRAINING_DOCS) -> list[tu
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(1 << 32)
-    chosen = labelled.filter(spread < share).select("text", "lang").limit(2 * per_language * len(counts))
+    room = F.greatest(F.length("text") - TRAINING_CHARS, F.lit(0)) + 1
+    part = F.substring("text", (F.pmod(F.xxhash64("text"), room) + 1).cast("int"), F.lit(TRAINING_CHARS))
+    chosen = labelled.filter(spread < share).select(part.alias("text"), "lang").limit(2 * per_language * len(counts))
     return [(r["text"], r["lang"]) for r in chosen.collect()]
 
 

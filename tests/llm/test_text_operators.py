@@ -37,6 +37,19 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_segments_make_one_chain(monkeypatch):
+    """Marginals of a text in segments are those of the whole chain."""
+    rng = np.random.default_rng(4)
+    model = language_id.Model(["a", "b", "c"], rng.normal(size=(1 << language_id.HASH_BITS, 3)) * 0.2, 3 * np.eye(3) + rng.normal(size=(3, 3)), frozenset())
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, n)).translate({48 + k: 97 + k for k in range(10)}).encode() for n in (0, 1, 6, 7, 40, 97)]
+    whole = model.marginals(texts)
+    monkeypatch.setattr(language_id, "SEGMENT", 7)
+    parts = model.marginals(texts)
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts)) and len(parts[5]) == 97
+    monkeypatch.setattr(model, "_edges", lambda pieces: (np.ones((len(pieces), 3)), np.ones((len(pieces), 3))))
+    assert not np.allclose(model.marginals(texts)[5], whole[5])
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = language_id.op9_language_id(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").collect()
@@ -196,12 +209,43 @@ def test_a_hot_host_is_split(spark):
     assert lexicon.words("site1.org", "")[0] == "h:site"
 
 
-def test_block_words_count_at_any_size(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MIN_SHARE", 1e-2)  # as if the table were large
-    rows = [(i, f"http://site{i}.org/page") for i in range(400)] + [(500, "http://cheap-viagra.net/"), (501, "http://casinowin.net/")]
-    lexicon = url_filter.fit_lexicon(url_filter.with_host_and_path(spark.createDataFrame(rows, "page_id long, url string")))
-    assert lexicon.words("cheap-viagra.net", "") == ["h:?", "h:viagra", "h:?"]
-    assert lexicon.split("casinowin") == ("casino", "win")
+def test_compounds_are_taken_out():
+    """A name that paths hold as one word is split where its parts are no rarer."""
+    rows = {"best": 40, "casino": 30, "bestcasino": 3, "week": 2, "end": 9, "weekend": 50, "in": 90}
+    lexicon = url_filter.Lexicon(rows, 100_000)
+    assert lexicon.without_compounds(rows).keys() == rows.keys() - {"bestcasino"}
+
+
+@pytest.mark.parametrize("share", [1e-5, 0.05, 0.5])
+def test_verdicts_match_plain_naive_bayes(spark, monkeypatch, share):
+    """Whether words' weights are with the workers or in a table; against counters of all words' splits."""
+    rows = [(i, f"http://www.example.{'org' if i % 3 else 'com'}/{'es/casino' if i % 2 else 'de/win'}/page{i % 7}") for i in range(60)]
+    rows += [(100, "http://casinowin.net/x"), (101, "http://www.page.net/es"), (101, "http://www.page.net/es"), (102, "http://unseen.net/"), (103, "http://best-casino.net/win/rare"), (104, "http://example.com/de/rare"), (None, "http://de.casino.net"), (105, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    ruled = url_filter.with_host_and_path(frame).withColumn("rule", url_filter.rule_column())
+    lexicon = url_filter.fit_lexicon(ruled)  # at one share, so that splits are the same
+    monkeypatch.setattr(url_filter, "fit_lexicon", lambda pages: lexicon)
+    monkeypatch.setattr(url_filter, "MIN_SHARE", share)
+    given, verdict = [(i, *plain_parts(u)) for i, u in rows], {r: v for v, r in url_filter.RULES}
+    counts, n_rows = Counter(), Counter()
+    for _, host, path in given:
+        if rule := plain_rule(host, path):
+            n_rows[verdict[rule]] += 1
+            counts.update((verdict[rule], w) for w in lexicon.words(host, path))
+    vocabulary = {w for _, w in counts}
+    total = {v: sum(n for (x, _), n in counts.items() if x == v) for v in ("block", "allow")}
+
+    def score(words):
+        p = {v: np.log(n_rows[v] + 1) + sum(np.log((counts[v, w] + 1) / (total[v] + len(vocabulary) + 1)) for w in words if w in vocabulary) for v in total}
+        return p["block"] - p["allow"] if words else 0.0
+
+    got = sorted(((r["page_id"], r["host"], r["path"], round(r["block_score"], 6), r["verdict"]) for r in url_filter.judge(frame).collect()), key=str)
+    want = []
+    for i, host, path in given:
+        s, rule = score(lexicon.words(host, path)), plain_rule(host, path)
+        want.append((i, host, path, round(s, 6) + 0.0, verdict[rule] if rule else "block" if s > 0 else "allow"))
+    assert [(*g[:3], g[4]) for g in got] == [(*w[:3], w[4]) for w in sorted(want, key=str)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want, key=str)], atol=1e-5)
 
 
 def test_segmentation_matches_brute_force():
@@ -213,6 +257,7 @@ def test_segmentation_matches_brute_force():
             for rest in splits(word[i:]):
                 yield (word[:i], *rest)
 
-    for word in ("casinowin", "bestcasino", "winbestin", "zzwin"):
-        best = min(splits(word), key=lambda s: sum(map(lexicon.word_cost, s)))
-        assert lexicon.split(word) == tuple(w if w in lexicon.cost else "?" for w in best)
+    for word in ("casinowin", "bestcasino", "winbestin", "zzwin", "ozzino", "xyz", "winzzzcas"):
+        cost = lambda s: sum(map(lexicon.word_cost, s))
+        assert abs(cost(lexicon.split(word)) - min(map(cost, splits(word)))) < 1e-9
+    assert lexicon.split("zzwin") == ("zz", "win") and "".join(lexicon.split("q" * 3000 + "win")) == "q" * 3000 + "win"
