@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.tables import kept
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -17,17 +18,21 @@ def locate_quotes(index: DataFrame, quotes: DataFrame) -> DataFrame:
     """quote_id, doc, page_no: the first page of each document that holds a quote (quote_id, quote).
 
     A quote's words but the first and last are whole words of a page that holds it, so
-    the longest of these leads to the pages by an equi-join; quotes without such a word are compared with every page.
+    the longest of these leads to the pages by an equi-join of keys; a page's text joins its candidates alone. Quotes without such a word
+    are found by the first three characters of their longest word, which every page that holds them has in a word of its own.
     """
-    needles = quotes.select("quote_id", T.match_form(F.col("quote")).alias("needle")).filter(F.length("needle") >= T.MIN_QUOTE)
+    index, needles = kept(index, "index"), quotes.select("quote_id", T.match_form(F.col("quote")).alias("needle")).filter(F.length("needle") >= T.MIN_QUOTE)
     words = F.split("needle", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    needles = needles.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    anchored, short = needles.filter("anchor is not null"), needles.filter("anchor is null")
-    page_words = index.select("doc", "page_no", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("anchor"))
-    found = page_words.join(anchored, "anchor").filter(F.contains("norm", "needle")).select("quote_id", "doc", "page_no")
+    longest = lambda some: F.array_max(F.transform(some, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    needles = kept(needles.withColumns({"anchor": longest(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))), "part": F.substring(longest(words), 1, 3)}), "needles")
+    page_words = index.select("doc", "page_no", F.explode(F.array_distinct(F.split("norm", " "))).alias("anchor"))
+    keys = page_words.join(needles.filter("anchor is not null").select("anchor", "quote_id"), "anchor").select("quote_id", "doc", "page_no")
+    short = needles.filter("anchor is null").select("part", "quote_id")
     if short.limit(1).count():
-        found = found.unionByName(index.join(short, F.contains("norm", "needle")).select("quote_id", "doc", "page_no"))
+        spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length("anchor") - 2, F.lit(1))), lambda i: F.substring(F.col("anchor"), i, F.lit(3)))
+        parts = page_words.select("doc", "page_no", F.explode(F.array_distinct(spots)).alias("part")).distinct()
+        keys = keys.unionByName(parts.join(short, "part").select("quote_id", "doc", "page_no"))
+    found = keys.join(needles.select("quote_id", "needle"), "quote_id").join(index, ["doc", "page_no"]).filter(F.contains("norm", "needle"))
     return found.groupBy("quote_id", "doc").agg(F.min("page_no").alias("page_no"))
 
 
@@ -52,10 +57,13 @@ def verify_metrics(index: DataFrame, metrics: DataFrame) -> DataFrame:
     """
     needle = T.match_form(F.col("value"))
     wanted = metrics.withColumns({"needle": needle, "numbers": T.number_tokens(needle)}).filter("needle != ''")
-    fits = F.contains("norm", "needle") | ((F.size("numbers") > 0) & F.forall("numbers", lambda x: T.has_number(F.col("norm"), x)))
-    hits = wanted.join(index, "doc").filter(fits)
-    in_scope = F.when((F.size("cited") == 0) | F.array_contains("cited", F.col("page_no")), F.col("page_no"))
-    found = hits.groupBy("doc", "metric_id").agg(F.array_sort(F.collect_set(in_scope)).alias("near"), F.array_sort(F.collect_set("page_no")).alias("any"))
+    # equal values of a document are looked for once, and one that is a number itself is found wherever its number is
+    sought = wanted.select("doc", "needle", "numbers").distinct()
+    alone = (F.size("numbers") == 1) & (F.get("numbers", 0) == F.col("needle"))
+    fits = F.contains("norm", "needle") | (~alone & (F.size("numbers") > 0) & F.forall("numbers", lambda x: T.has_number(F.col("norm"), x)))
+    places = sought.join(index, "doc").filter(fits).groupBy("doc", "needle").agg(F.array_sort(F.collect_set("page_no")).alias("any"))
+    near = F.filter("any", lambda p: (F.size("cited") == 0) | F.array_contains("cited", p))
+    found = wanted.join(places, ["doc", "needle"]).select("doc", "metric_id", near.alias("near"), "any")
     pages = F.when(F.size("near") > 0, F.col("near")).when(F.size("any") > 0, F.col("any")).otherwise(F.col("cited"))
     joined = metrics.join(found, ["doc", "metric_id"], "left")
     return joined.select(*metrics.columns, F.slice(F.coalesce(pages, F.col("cited")), 1, 4).alias("pages"), (F.coalesce(F.size("any"), F.lit(0)) > 0).alias("verified"), ((F.size("near") == 0) & (F.size("any") > 0)).alias("relocated"))
@@ -77,21 +85,3 @@ def source_refs(sections: DataFrame, metrics: DataFrame) -> DataFrame:
     quoted = sections.select("doc", "ord", F.posexplode("evidence").alias("pos", "e")).select("doc", F.col("e.page").alias("page_no"), (F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.col("e.quote").alias("quote"))
     quotes = drop_fragments(quoted).groupBy("doc", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "quote"))), lambda x: x["quote"]).alias("quotes"))
     return names.join(quotes, ["doc", "page_no"], "full").select("doc", "page_no", F.coalesce("used_in", F.array().cast("array<string>")).alias("used_in"), F.coalesce("quotes", F.array().cast("array<string>")).alias("quotes"))
-
-
-def verify_overview(overviews: DataFrame, index: DataFrame) -> DataFrame:
-    """overviews (doc, title, authors, date, meta_title, filename) with title and authors that the opening pages or metadata hold."""
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("page_no"))
-    opening = index.withColumn("rank", rank).filter("rank <= 3").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "norm"))), lambda x: x["norm"]), " ").alias("opening"))
-    joined = overviews.join(opening, "doc", "left").withColumn("opening", F.concat_ws(" ", "opening", T.match_form(F.coalesce("meta_title", F.lit("")))))
-    inside = lambda c: (T.match_form(c) != "") & F.contains("opening", T.match_form(c))
-    by_text, by_meta = inside(F.col("title")), F.length("meta_title") > 3
-    years = F.regexp_extract_all("date", F.lit(r"(\d{4})"), 1)
-    dated = (F.size(years) > 0) & F.forall(years, lambda y: F.contains("opening", y))
-    return joined.select(
-        "doc",
-        F.when(by_text, F.col("title")).when(by_meta, F.col("meta_title")).otherwise(T.title_from_filename(F.col("filename"))).alias("title"),
-        F.when(by_text, F.lit("document")).when(by_meta, F.lit("pdf_metadata")).otherwise(F.lit("filename")).alias("title_source"),
-        F.filter("authors", lambda a: (F.trim(a) != "") & inside(a)).alias("authors"),
-        F.when(dated, F.col("date")).alias("date"),
-    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.tables import kept
 
 MIN_CHARS, GARBLED_PAGE, GARBLED_DOC = 25, 0.2, 0.3
 EDGE_LINES, EDGE_CHARS, HEADER_SHARE, HEADER_PAGES, HEADER_MIN = 2, 80, 0.5, 4, 3
@@ -37,25 +38,39 @@ def edge_lines(pages: DataFrame, edge: int = EDGE_LINES) -> DataFrame:
     return rows.filter(F.length(F.trim("line")) <= EDGE_CHARS).withColumn("key", T.line_key(F.col("line")))
 
 
-def repeated_edge_lines(pages: DataFrame, share: float = HEADER_SHARE) -> DataFrame:
-    """doc, key, n_pages: running headers and footers."""
-    counts = edge_lines(pages).groupBy("doc", "key").agg(F.countDistinct("page_no").alias("n_pages"))
+def frequent_keys(lines: DataFrame, pages: DataFrame, share: float) -> DataFrame:
+    """doc, key, n_pages of edge lines that are on enough pages."""
+    counts = lines.groupBy("doc", "key").agg(F.countDistinct("page_no").alias("n_pages"))
     sizes = pages.groupBy("doc").agg(F.count("*").alias("n_all"))
     limit = F.greatest(F.lit(HEADER_MIN), F.floor(F.col("n_all") * share))
     return counts.join(sizes, "doc").filter((F.col("n_all") >= HEADER_PAGES) & (F.col("n_pages") >= limit)).select("doc", "key", "n_pages")
 
 
-def strip_repeated_lines(pages: DataFrame, share: float = HEADER_SHARE) -> DataFrame:
+def repeated_edge_lines(pages: DataFrame, share: float = HEADER_SHARE) -> DataFrame:
+    """doc, key, n_pages: running headers and footers."""
+    return frequent_keys(edge_lines(pages), pages, share)
+
+
+def repeated_places(pages: DataFrame, share: float = HEADER_SHARE) -> DataFrame:
+    """doc, page_no, gone: where a page's running headers and footers stand. The edge lines are computed once and kept."""
+    lines = kept(edge_lines(pages).select("doc", "page_no", "pos", "key"), "edge-lines")
+    return lines.join(frequent_keys(lines, pages, share), ["doc", "key"], "left_semi").groupBy("doc", "page_no").agg(F.collect_set("pos").alias("gone"))
+
+
+def strip_repeated_lines(pages: DataFrame, share: float = HEADER_SHARE, places: DataFrame | None = None) -> DataFrame:
     """pages with running headers and footers removed from the edges."""
-    gone = edge_lines(pages).join(repeated_edge_lines(pages, share), ["doc", "key"], "left_semi").groupBy("doc", "page_no").agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_places(pages, share) if places is None else places
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return pages.join(gone, ["doc", "page_no"], "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.regexp_replace(left, r"^\s+|\s+$", ""))).drop("gone")
+    return pages.join(gone, ["doc", "page_no"], "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(T.stripped(left))).drop("gone")
 
 
-def strategies(pages: DataFrame, single: int = SINGLE_PASS_CHARS) -> DataFrame:
-    """doc, analysis_chars, n_pages, strategy."""
+def strategies(pages: DataFrame, single: int = SINGLE_PASS_CHARS, most: int = CHUNK_CHARS) -> DataFrame:
+    """doc, analysis_chars, n_pages, strategy: documents of at most `single` characters, or of one chunk, go in a single pass."""
     docs = pages.groupBy("doc").agg(F.sum(F.length("text")).alias("analysis_chars"), F.count("*").alias("n_pages"))
-    return docs.withColumn("strategy", F.when(F.col("analysis_chars") <= single, F.lit("single-pass")).otherwise(F.lit("map-reduce")))
+    long = docs.filter(F.col("analysis_chars") > single)
+    one = chunks(pages.join(long, "doc", "left_semi"), most).groupBy("doc").agg(F.count("*").alias("n_chunks")).filter("n_chunks <= 1")
+    marked = docs.join(one, "doc", "left")
+    return marked.withColumn("strategy", F.when((F.col("analysis_chars") <= single) | F.col("n_chunks").isNotNull(), F.lit("single-pass")).otherwise(F.lit("map-reduce"))).drop("n_chunks")
 
 
 def split_long(text: str, most: int) -> list[str]:
@@ -122,34 +137,18 @@ def chunks(pages: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     return ordered.mapInPandas(run, "doc string, chunk_idx int, pages array<int>, text string")
 
 
-def bibliography(pages: DataFrame) -> DataFrame:
-    """doc, page_no, begin: the last standalone bibliography heading in the second half of a document of three pages or more."""
-    heading = r"(?im)^[ \t]*(?:[0-9IVX]+\.?[ \t]+)?(?:references|bibliography|works cited|literature cited)[ \t]*:?[ \t]*$"
-    found = pages.join(pages.groupBy("doc").agg(F.count("*").alias("n")), "doc").filter((F.col("n") >= 3) & (F.col("page_no") >= F.floor(F.col("n") / 2)))
-    at = found.withColumn("begin", F.regexp_instr("text", F.lit(heading))).filter("begin > 0")
-    return at.groupBy("doc").agg(F.max(F.struct("page_no", "begin")).alias("x")).select("doc", "x.page_no", "x.begin")
-
-
-def cut_bibliography(pages: DataFrame) -> DataFrame:
-    """pages with analysis_text: the text before the bibliography, empty behind it."""
-    joined = pages.join(bibliography(pages).withColumnRenamed("page_no", "last"), "doc", "left")
-    cut = F.when(F.col("last").isNull() | (F.col("page_no") < F.col("last")), F.col("text")).when(F.col("page_no") == F.col("last"), F.substring("text", F.lit(1), F.col("begin") - 1)).otherwise(F.lit(""))
-    return joined.withColumn("analysis_text", cut).drop("last", "begin")
-
-
 def headings(lines: DataFrame) -> DataFrame:
-    """doc, page_no, line_no, text, level of font lines (doc, page_no, line_no, size, text, bold) that stand out."""
+    """doc, page_no, line_no, text, level of font lines (doc, page_no, line_no, size, text, bold) that stand out, the first 200 of a document."""
+    size = F.bround("size", 0)
     body = lines.groupBy("doc").agg(F.median("size").alias("body"))
-    shape = F.length("text").between(3, 120) & F.col("text").rlike(r"\p{L}")
-    big = F.col("size") >= 1.15 * F.col("body")
+    sized = lines.join(body, "doc").withColumn("big", F.col("size") >= 1.15 * F.col("body"))
+    steps = sized.groupBy("doc").agg(F.sort_array(F.collect_set(F.when(F.col("big"), size)), False).alias("steps"))
+    shape = F.length("text").between(3, 120) & ~F.col("text").rlike(r"(?U)\A[\d\W]+\z")
     bold = F.col("bold") & (F.col("size") >= 0.98 * F.col("body")) & (F.length("text") <= 70) & ~F.col("text").rlike("[.,]$")
-    found = lines.join(body, "doc").filter(shape & (big | bold)).withColumn("big", big)
-    sizes = found.filter("big").select("doc", F.round("size", 1).alias("rounded")).distinct().withColumn("level", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("rounded"))))
-    n_sizes = sizes.groupBy("doc").agg(F.max("level").alias("n_sizes"))
-    leveled = found.withColumn("rounded", F.round("size", 1)).join(sizes, ["doc", "rounded"], "left").join(n_sizes, "doc", "left")
-    level = F.when(F.col("big"), F.col("level")).otherwise(F.coalesce("n_sizes", F.lit(0)) + 1)
-    ranked = leveled.withColumn("level", level.cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("page_no", "line_no")))
-    return ranked.filter("rank <= 200").select("doc", "page_no", "line_no", "text", "level")
+    level = F.when(F.col("big"), F.array_position("steps", size)).otherwise(F.size("steps") + 1)
+    found = sized.filter(shape & (F.col("big") | bold)).join(steps, "doc").withColumn("level", level.cast("int"))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("page_no", "line_no"))
+    return found.withColumn("rank", rank).filter("rank <= 200").select("doc", "page_no", "line_no", "text", "level")
 
 
 def column_order(blocks: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def column_order(blocks: DataFrame) -> DataFrame:
     above = page.orderBy("y0").rangeBetween(Window.unboundedPreceding, 0)
     band = F.sum(F.when(F.col("side") == 2, 1).otherwise(0)).over(above) - F.when(F.col("side") == 2, 1).otherwise(0)
     two = placed.withColumns({"two": (share(0) >= 0.15) & (share(1) >= 0.15), "band": band})
-    place = Window.partitionBy("doc", "page_no").orderBy(F.when(F.col("two"), F.col("band")).otherwise(F.lit(0)), F.when(F.col("two"), F.col("side")).otherwise(F.lit(0)), F.when(F.col("two"), F.col("y0")).otherwise(F.round("y0", 0)), "x0", "stream_pos")
+    place = Window.partitionBy("doc", "page_no").orderBy(F.when(F.col("two"), F.col("band")).otherwise(F.lit(0)), F.when(F.col("two"), F.col("side")).otherwise(F.lit(0)), F.when(F.col("two"), F.col("y0")).otherwise(F.bround("y0", 0)), "x0", "stream_pos")
     return two.select("doc", "page_no", "stream_pos", F.row_number().over(place).alias("place"))
 
 

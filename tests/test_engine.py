@@ -1,5 +1,8 @@
 """The document engine: queries against SQL on the small tables, and units on literals."""
 
+import json
+import re
+
 import duckdb
 import pytest
 
@@ -55,5 +58,129 @@ def test_notes_fit_and_groups():
     note = {"summary": "s" * 900, "points": [{"text": "p" * 300}] * 60, "concepts": [{"term": "c" * 200}] * 30}
     assert N.size(N.fit(note, 3000)) <= 3000
     assert N.groups([5, 5, 5, 5, 5], 12) == [[0, 1], [2, 3, 4]]
-    clean = N.sanitize({"points": [{"text": "t", "pages": [1, 9, True], "quote": "not in the page at all"}, {"text": "no page"}]}, [1], {1: "some words"})
+    clean = N.sanitize({"points": [{"text": "t", "pages": [1, 9, True], "quote": "not in the page at all"}, {"text": "no page"}]}, [1], {})
     assert clean["points"] == [{"text": "t", "kind": "other", "pages": [1]}]
+
+
+def test_chunks_are_greedy_and_lose_nothing(spark, sf_dir):
+    """Every chunk is as full as it can be, in page order, with the whole text of every page."""
+    from marginalia.sources.tables import pages
+
+    most = 3000
+    every = pages(spark, sf_dir)
+    given: dict = {}
+    for r in every.collect():
+        given.setdefault(r["doc"], {})[r["page_no"]] = r["text"]
+    got: dict = {}
+    for r in P.chunks(every, most).collect():
+        got.setdefault(r["doc"], {})[r["chunk_idx"]] = (list(r["pages"]), r["text"])
+    assert got.keys() == given.keys()
+    for doc, chunks in got.items():
+        assert sorted(chunks) == list(range(len(chunks)))
+        blocks = [(i, int(n), body) for i in sorted(chunks) for n, body in zip(*[iter(re.split(r"\[\[Page (\d+)\]\]\n", chunks[i][1])[1:])] * 2)]
+        assert [n for _, n, _ in blocks] == sorted(n for _, n, _ in blocks)
+        for n, text in given[doc].items():
+            assert "".join("".join(b for _, m, b in blocks if m == n).split()) == "".join((text or "").split())
+        for i in sorted(chunks):
+            assert chunks[i][0] == sorted({n for k, n, _ in blocks if k == i})
+            if i:
+                first = next(f"[[Page {n}]]\n{b.rstrip(chr(10))}" for k, n, b in blocks if k == i)
+                assert len(chunks[i - 1][1]) + 2 + len(first) > most
+
+
+def test_annotated_notes_hold_against_their_pages(spark, sf_dir):
+    """Of every note of the corpus: its pages are its chunk's, its quotes stand on one of these."""
+    from marginalia.operators import grounding as G
+    from marginalia.sources.tables import pages
+
+    every = pages(spark, sf_dir)
+    norms = {(r["doc"], r["page_no"]): T.comparable(r["text"] or "") for r in every.collect()}
+    chunks = P.chunks(every, 4000)
+    own = {(r["doc"], r["chunk_idx"]): set(r["pages"]) for r in chunks.collect()}
+    seen = 0
+    for r in N.annotate(chunks, G.page_index(every)).collect():
+        note, allowed = json.loads(r["note"]), own[r["doc"], r["chunk_idx"]]
+        assert set(note["pages_covered"]) == allowed and r["error"] is None
+        for item in [x for k in N.LISTS for x in note[k]]:
+            assert set(item["pages"]) <= allowed
+        for p in note["points"]:
+            if "quote" in p:
+                seen += 1
+                assert any(T.comparable(p["quote"]) in norms[r["doc"], n] for n in allowed)
+    assert seen > 100
+
+
+def test_job_stream_keeps_states(spark, tmp_path):
+    """Two batches of events through the stream give the states that the batch twin gives."""
+    import shutil
+
+    from marginalia.plans.literals import JOB_EVENTS
+    from marginalia.streaming import jobs as J
+
+    schema = "job_id string, ts int, status string, progress double"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would keep the stream going
+    source, out = tmp_path / "in", {}
+    for i, part in enumerate((JOB_EVENTS[:3] + JOB_EVENTS[4:6], JOB_EVENTS[3:4] + JOB_EVENTS[6:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+    source.mkdir()
+    for i in range(2):
+        for f in (tmp_path / f"p{i}").glob("part-*"):
+            shutil.copy(f, source / f"{i}-{f.name}")
+        stream = J.job_stream(spark.readStream.schema(schema).parquet(str(source)))
+        run = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: out.update({r["job_id"]: (r["status"], r["progress"]) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    want = {r["job_id"]: (r["status"], r["progress"]) for r in J.job_states(spark.createDataFrame(JOB_EVENTS, schema)).collect()}
+    assert out == want
+
+
+def test_session_stream_gives_out_closed_sessions(spark, tmp_path):
+    from marginalia.streaming import jobs as J
+
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:02:00"), (1, "2024-01-01 00:06:00"), (2, "2024-01-01 03:00:00")]
+    spark.createDataFrame(rows, "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) as ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = J.session_stream(spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r["n_events"] for r in spark.table("sessions").filter("user_id = 1").collect()) == [1, 2]
+
+
+def test_raw_files_and_their_stream(spark, tmp_path):
+    from marginalia.sources import tables
+
+    (tmp_path / "in").mkdir()
+    for name, content in (("a.pdf", b"%PDF-1.4 x"), ("b.txt", b"text"), ("c.pdf", b"")):
+        (tmp_path / "in" / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[1]: (r["error_code"], r["size_bytes"]) for r in tables.raw_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.pdf": (None, 10), "b.txt": ("invalid_type", 4)}  # the reader leaves files of no bytes out
+    found = []
+    stream = tables.file_stream(spark, str(tmp_path / "in"), 1)
+    stream.select("path").writeStream.foreachBatch(lambda df, _: found.append(df.count())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [n for n in found if n] == [1, 1]
+
+
+def test_written_reports(spark, tmp_path):
+    from marginalia.sources import reports as R
+
+    R.write(catalogue._report(spark), "md", str(tmp_path / "out"))
+    text = "".join(f.read_text() for f in (tmp_path / "out" / "stem=a").glob("*.txt"))
+    assert text.rstrip() == catalogue.MARKDOWN.rstrip()
+
+
+def test_limits_come_from_settings():
+    from marginalia.sources.settings import Limits, limits_of
+
+    assert limits_of({}) == Limits() and limits_of({"CHUNK_CHARS": "x", "MAX_PDF_PAGES": " 7 ", "SKIP_REFERENCES": "No"}) == Limits(max_pages=7, skip_references=False)
+
+
+def test_no_shared_folder_no_cluster():
+    """Without a named folder only one machine may go on."""
+    from marginalia.sources import tables
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    frame = type("D", (), {"sparkSession": type("S", (), {"sparkContext": Context})})
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.kept(frame, "x")
