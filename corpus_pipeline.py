@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of documents; rows that a stage rejects are
 not in its result.
+
+Defined results: an empty table stays empty through every stage; columns beside doc_id, text, lang, source and n_chars are
+carried along, whatever their names. A null or empty text, or one without a letter, is rejected by the language stage, one
+that fails the base rules or is depleted by the quality stage. Documents of a null id, lang or source are judged as any
+other. Of equal or near-equal texts the row with the least doc_id stays (null ids last), of wholly repeated rows one;
+ties are settled by the text's hash. A text of any length passes whole.
 """
 
 from __future__ import annotations
