@@ -16,16 +16,15 @@ EDGE_LINES, EDGE_CHARS, HEADER_SHARE, HEADER_PAGES, HEADER_MIN = 2, 80, 0.5, 4,
 CHUNK_CHARS, SINGLE_PASS_CHARS = 30_000, 100_000
 
 
-def upper_median(values: Column) -> Column:
-    """The greater of the two middle values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+def upper_median(name: str) -> Column:
+    """An aggregate: the greater of the two middle values of a column. It holds counts of distinct values, not rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
 
 
 def scored(pages: DataFrame) -> DataFrame:
     """Adds quality, doc_quality (upper median of pages with enough text) and readable."""
     page = pages.withColumns({"n_chars": F.length(F.trim("text")), "quality": T.text_quality(F.col("text"))})
-    docs = page.filter(F.col("n_chars") >= MIN_CHARS).groupBy("doc").agg(upper_median(F.col("quality")).alias("doc_quality"))
+    docs = page.filter(F.col("n_chars") >= MIN_CHARS).groupBy("doc").agg(upper_median("quality").alias("doc_quality"))
     bad = (F.col("n_chars") < MIN_CHARS) | (F.col("quality") < GARBLED_PAGE) | (F.coalesce("doc_quality", F.lit(0.0)) < GARBLED_DOC)
     return page.join(docs, "doc", "left").withColumn("readable", ~bad)
 
