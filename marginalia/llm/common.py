@@ -83,13 +83,19 @@ def doc_mod(column: str, n: int) -> F.Column:
 _HELD: dict = {}
 
 
+def trim() -> None:
+    """Gives freed memory back; else it stays with the worker. Every function of batches ends with it, so that a worker starts the next task small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(owner, make):
     """What owner keeps between a worker's tasks. A worker holds one owner's things; another's are dropped first."""
     if owner not in _HELD:
         _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)  # else freed memory stays with the worker
+        trim()
         _HELD[owner] = make()
     return _HELD[owner]
 

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import doc_mod, held, new_path, slices, table, texts_of, word_hashes
+from .common import doc_mod, held, new_path, slices, table, texts_of, trim, word_hashes
 
 DISCOUNT = 0.75
 #: Hashes of the end and of what stands before the first word; no word has white space.
 END, BEFORE = (np.uint64(int(x)) for x in (0x8F3B_11D0_77A1_5E01, 0x3C6E_F372_FE94_F82B))
 #: Tokens that a task holds before it sends or looks up what it has; characters of the corpus for each shard.
-FLUSH_TOKENS, SHARD_CHARS = 1_500_000, 24_000_000
+FLUSH_TOKENS, SHARD_CHARS = 1_300_000, 12_000_000
 #: Bits of a successor in level 2 and in level 3, and the log10 range of a quantised probability.
 PAIR_BITS, TRIPLE_BITS, LOG_RANGE = 40, 32, 9.0
 #: Of the files that a worker keeps open: their number, and their bytes if they can't be mapped.
@@ -92,13 +92,15 @@ class Grams:
         before[1:] = self.at[:-1] if len(tokens) else 0
         before[self.starts] = at[-1]
         pairs, self.pair_at = np.unique(before * n + self.at, return_inverse=True)
-        self.context, self.word = pairs // n, pairs % n
+        self.context, self.word = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del before, pairs, at
         inner = np.ones(len(tokens), bool)
         inner[self.starts] = False  # a text's first token has no word before its context
         self.inner = np.flatnonzero(inner)
         triples, first, self.triple_at = np.unique(self.pair_at[self.inner - 1] * n + self.at[self.inner], return_index=True, return_inverse=True)
-        self.head, self.last = triples // n, triples % n
-        self.tail = self.pair_at[self.inner[first]]  # the pair of a triple's last two
+        self.head, self.last = (triples // n).astype(np.int32), (triples % n).astype(np.int32)
+        self.tail = self.pair_at[self.inner[first]].astype(np.int32)  # the pair of a triple's last two
+        self.at, self.pair_at, self.triple_at, self.inner = (x.astype(np.int32) for x in (self.at, self.pair_at, self.triple_at, self.inner))
 
     def shards(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Each shard that has words, with its words, pairs and triples in order."""
@@ -175,8 +177,11 @@ def count_batches(shards: int):
                 if tokens.total >= FLUSH_TOKENS:
                     yield flush()
                     tokens = Tokens()
+                    trim()
         if tokens.total:
             yield flush()
+        del tokens
+        trim()
 
     return run
 
@@ -357,6 +362,7 @@ def fit(training: DataFrame, path: str) -> Model:
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         arrays = build_shard([unpack(np.frombuffer(b, np.uint8), BLOCK) for b in rows["block"]])
         write_file(f"{path}/shard-{int(key[0]):06d}", pack(arrays, TRIE))
+        trim()
         return pd.DataFrame({"shard": [int(key[0])], "tokens": [int(arrays["count"].sum())], "distinct": [int((arrays["count"] > 0).sum())]})
 
     blocks = training.select("text").mapInArrow(count_batches(shards), "shard long, block binary")
@@ -379,8 +385,11 @@ def score_batches(model: Model):
                 if tokens.total >= FLUSH_TOKENS:
                     yield flush()
                     tokens, ids = Tokens(), []
+                    trim()
         if ids:
             yield flush()
+        del tokens
+        trim()
 
     return run
 
