@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table, texts_of
+from .common import new_path, slices, table, texts_of, trim
 
 Q, EDIT_RATE, LEAST_CHARS = 10, 0.07, 32
 #: Characters of the benchmark in one index.
@@ -186,6 +186,7 @@ def leak_batches(index):
                 ids = batch.column("doc_id").to_pylist()
                 columns = ([ids[d] for d, *_ in found], [i for _, i, _, _ in found], [e for _, _, e, _ in found], [s for *_, s in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "item_id", "edits", "start"])
+        trim()
 
     return run
 
@@ -197,6 +198,7 @@ def clean_batches(index):
                 keep = np.ones(len(batch), bool)
                 keep[[d for d, *_ in index.value.leaks([(t or b"").decode("utf-8", "replace") for t in texts_of(batch, "text")])]] = False
                 yield batch.filter(pa.array(keep))
+        trim()
 
     return run
 

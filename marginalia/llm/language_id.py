@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, doc_mod, held, mix, slices, table, texts_of
+from .common import CACHE_ENTRIES, doc_mod, held, mix, slices, table, texts_of, trim
 
 #: Bounds of the training sample: documents for each language, words taken as one sequence, sequences in all.
 TRAINING_DOCS, TRAINING_CHARS, SEQUENCE, SEQUENCES = 300, 20_000, 40, 6000
@@ -312,6 +312,7 @@ def predict_batches(model):
                 kept = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
         model.value.forget()
+        trim()
 
     return run
 
@@ -331,6 +332,7 @@ def keep_batches(model, least: float):
             for batch in slices(whole, "text", 2_000_000):
                 yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in model.value.predict(texts_of(batch, "text"))], pa.bool_()))
         model.value.forget()
+        trim()
 
     return run
 

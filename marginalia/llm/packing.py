@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ENCODER_BYTES, crc, encoder, slices, table, texts_of, tokenizer_path
+from .common import ENCODER_BYTES, crc, encoder, slices, table, texts_of, tokenizer_path, trim
 
 WINDOW, END_ID = 2048, 1
 #: Documents that are packed together, on average.
@@ -108,6 +108,8 @@ def pieces_batches(tokenizer: str, end_id: int, window: int):
                         for column, value in zip(out, (doc, at, len(piece) // 4, crc(piece), n)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                del out
+        trim()
 
     return run
 

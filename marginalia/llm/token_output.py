@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ENCODER_BYTES, crc, encoder, new_path, slices, table, texts_of, tokenizer_path
+from .common import ENCODER_BYTES, crc, encoder, new_path, slices, table, texts_of, tokenizer_path, trim
 
 END_ID = 1
 FILE_SCHEMA = "doc_id long, part int, part_end long, ids array<int>"
@@ -48,6 +48,8 @@ def encode_batches(path: str, end_id: int):
                 ends = start + ends
                 start = int(ends[-1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends), lists], names=["doc_id", "part", "part_end", "ids"])
+                del ids, flat, lists
+        trim()
 
     return run
 
