@@ -71,6 +71,18 @@ class Scratch:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Tables kept inside are made with at most n rows in an Arrow batch, so that batches of long texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
