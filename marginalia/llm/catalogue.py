@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, merkle_manifest, near_dedup, ngram_lm, packing, quality_rules, token_output, url_filter
+from . import chat_format, decontaminate, html_extract, language_id, merkle_manifest, near_dedup, neighbours, ngram_lm, packing, quality_rules, token_output, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLE = {"op5_quality_rules": quality_rules.ORACLE, "op13_merkle_manifest": merkle_manifest.ORACLE}
