@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, merkle_manifest, near_dedup, neighbours, ngram_lm, packing, quality_rules, token_output, url_filter
+from . import chat_format, decontaminate, html_extract, language_id, merkle_manifest, near_dedup, neighbours, ngram_lm, packing, quality_rules, token_alignment, token_output, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLE = {"op5_quality_rules": quality_rules.ORACLE, "op13_merkle_manifest": merkle_manifest.ORACLE}

@@ -1,0 +1,116 @@
+import random
+from collections import Counter
+from hashlib import sha256
+
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from marginalia.llm import token_alignment as A
+from marginalia.llm.common import table, tokenizer_path
+
+PATHS = (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def tools():
+    a = Tokenizer.from_file(PATHS[0])
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PATHS[1]), A.Tokenizers(*PATHS)
+
+
+def brute(rows, tools):
+    """The contract, text by text, with each library's whole encoding."""
+    a, b, own = tools
+    out, held = [], []
+    for doc, text in rows:
+        ids = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        parts = [[own.a_bytes[i] for i in ids[0]], [own.b_bytes[i] for i in ids[1]]]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            out.append((doc, 0, 0, 0, 0, ""))
+            held.append(Counter())
+            continue
+        spans = []
+        for p in parts:
+            at, s = 0, []
+            for x in p:
+                s.append((at, at + len(x)))
+                at += len(x)
+            spans.append(s)
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        said, n, j = [], [0, 0], 0
+        links = Counter()
+        for cut in cuts:
+            group = [[], []]
+            for side in (0, 1):
+                while n[side] < len(ids[side]) and spans[side][n[side]][1] <= cut:
+                    group[side].append(ids[side][n[side]])
+                    n[side] += 1
+            said.append("|".join(",".join(map(str, g)) for g in group))
+        for i, (lo, hi) in zip(ids[0], spans[0]):
+            while spans[1][j][1] <= lo:
+                j += 1
+            k = j
+            while k < len(ids[1]) and spans[1][k][0] < hi:
+                links[i, ids[1][k]] += 1
+                k += 1
+        out.append((doc, len(ids[0]), len(ids[1]), len(cuts), sum(links.values()), sha256(";".join(said).encode()).hexdigest()))
+        held.append(links)
+    count = Counter(pair for links in held for pair in links)
+    highest = {}
+    for (x, _), c in count.items():
+        highest[x] = max(highest.get(x, 0), c)
+    return sorted(((*o[:5], sum(n for p, n in links.items() if count[p] == highest[p[0]]), sum(n * count[p] for p, n in links.items()), o[5]) for o, links in zip(out, held)), key=str)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str)
+
+
+def test_whole_table(spark, sf_dir, tools):
+    rows = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    assert rows_of(A.op12_token_alignment(spark, sf_dir)) == brute(rows, tools)
+
+
+ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "\n", "a\nb", "a \nb", "a\n b", "x\t y", "it's we'll they've", "▁", "a▁b c", "▁ a", "<|endoftext|>", "<s> </s> <unk> <0x41>", "a b c", "a  b", " x y", "a\x1cb c", "a \x1c b", "é è ﬁ ½ é ́x", "😀😀 👩‍👩‍👧 x", "日本語 テキスト 中文", "1234 567 8", "!?!? ...", "a\x00b c", "﻿a b", "word " * 3000, "x" * 2000, " " * 50 + "y", "a  \n\n b"]
+
+
+def test_odd_texts_and_extra_columns(spark, tools):
+    rows = list(enumerate(ODD)) + [(5, "a b"), (5, "a b"), (None, "a b c"), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({x: F.lit("clash") for x in ("block", "pairs", "n_a", "a", "unit", "count", "groups_sha256")}).repartition(3)
+    assert rows_of(A.with_counts(A.align(docs, *PATHS))) == brute(rows, tools)
+
+
+def test_random_texts_cut_as_the_libraries_would(spark, tools):
+    rng = random.Random(4)
+    letters = ["a", "b", "é", "ß", " ", " ", " ", "\n", "  ", "\t", "'s", "1", "23", ".", "<", "▁", " ", "　", "the", "ing", "日", "😀", "́", "Ġ"]
+    rows = [(i, "".join(rng.choices(letters, k=rng.randrange(1, 40)))) for i in range(3000)]
+    assert rows_of(A.with_counts(A.align(spark.createDataFrame(rows, SCHEMA), *PATHS))) == brute(rows, tools)
+
+
+def test_blocks_add_up(spark, tools, monkeypatch):
+    """A hot text over many blocks counts in each of its rows."""
+    rows = [(i, "the same hot text" if i % 3 else f"text {i} of its own") for i in range(300)]
+    parts = [A.align_block(tools[2], *zip_arrays(rows[at : at + 40]), at) for at in range(0, 300, 40)]
+    import pyarrow as pa
+
+    aligned = spark.createDataFrame(pa.concat_tables(parts))
+    assert rows_of(A.with_counts(aligned)) == brute(rows, tools)
+
+
+def zip_arrays(rows):
+    import pyarrow as pa
+
+    return pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())
+
+
+def test_empty_table(spark):
+    assert A.with_counts(A.align(spark.createDataFrame([], SCHEMA), *PATHS)).collect() == []
+
+
+def test_no_piece_spans_a_cut(tools):
+    """What cutting rests on: pieces of B have spaces in front only and no line feeds."""
+    b = tools[1]
+    assert all("▁" not in (p := b.id_to_piece(i)).lstrip("▁") and "\n" not in p for i in range(b.get_piece_size()))
