@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marginalia.functions import text as T
 from marginalia.sources.tables import kept
@@ -36,32 +40,119 @@ def locate_quotes(index: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.groupBy("quote_id", "doc").agg(F.min("page_no").alias("page_no"))
 
 
+#: Needles, and bytes of page text, that meet in one task.
+NEEDLES, SLICE_BYTES = 2000, 8 << 20
+
+
+def _scan(first: bool, schema: StructType):
+    """A cogrouped applyInArrow function: pages and needles of one document -> where the needles are, by one pass of an automaton over each page; with `first` the least page of each alone."""
+
+    def run(pages: pa.Table, needles: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if pages.num_rows and needles.num_rows:
+            doc, words, automaton = needles["doc"][0].as_py(), needles["needle"].to_pylist(), ahocorasick.Automaton()
+            for i, word in enumerate(words):
+                automaton.add_word(word, i)
+            automaton.make_automaton()
+            least: dict[int, int] = {}
+            for page, norm in sorted(zip(pages["page_no"].to_pylist(), pages["norm"].to_pylist())):
+                here = {i for _, i in automaton.iter(norm)}
+                if first:
+                    for i in here.difference(least):
+                        least[i] = page
+                else:
+                    found += [(doc, words[i], page) for i in here]
+            found += [(doc, words[i], page) for i, page in least.items()]
+        return pa.table([pa.array([x[k] for x in found], to_arrow_type(f.dataType)) for k, f in enumerate(schema)], names=schema.names)
+
+    return run
+
+
+def needle_pages(index: DataFrame, needles: DataFrame, first: bool = False) -> DataFrame:
+    """doc, needle, page_no: the pages (doc, page_no, norm) of its document that hold each needle (doc, needle; different ones), or the first of them.
+
+    A document's needles are dealt out in parts and its pages in slices, so a task has a bounded number of each, and each page is read once for a whole part of needles.
+    """
+    wanted = needles.groupBy("doc").agg(F.ceil(F.count("*") / NEEDLES).alias("parts"))
+    grid = index.groupBy("doc").agg(F.ceil(F.sum(F.octet_length("norm")) / SLICE_BYTES).alias("slices")).join(wanted, "doc")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = index.join(grid, "doc").withColumn("slice", F.pmod(F.xxhash64("page_no"), "slices")).withColumn("part", every("parts")).select("doc", "slice", "part", "page_no", "norm")
+    right = needles.join(grid, "doc").withColumn("part", F.pmod(F.xxhash64("needle"), "parts")).withColumn("slice", every("slices"))
+    right = right.select(F.col("doc"), F.col("slice").alias("of_slice"), F.col("part").alias("of_part"), "needle")
+    schema = StructType([index.schema["doc"], StructField("needle", StringType()), index.schema["page_no"]])
+    hits = left.groupBy("doc", "slice", "part").cogroup(right.groupBy("doc", "of_slice", "of_part")).applyInArrow(_scan(first, schema), schema)
+    return hits.groupBy("doc", "needle").agg(F.min("page_no").alias("page_no")) if first else hits
+
+
 def verify_evidence(index: DataFrame, evidence: DataFrame) -> DataFrame:
     """evidence (doc, quote_id, quote, declared, section_pages) with the page that holds the quote and what was done.
 
-    The declared page goes first, then the section's, then any. The join is by document.
+    The declared page goes first, then the section's, then any. The pages that a quote names are met by their number; only what none of these
+    holds is looked for in its whole document, by needle_pages(). So the work grows with quotes and with text, not with their product.
     """
-    needles = evidence.withColumn("needle", T.match_form(F.substring("quote", 1, T.MAX_QUOTE)))
-    prefer = F.when(F.col("page_no") == F.col("declared"), F.lit(0)).when(F.array_contains("section_pages", F.col("page_no")), F.array_position("section_pages", F.col("page_no"))).otherwise(F.lit(1 << 30))
-    hits = needles.filter(F.length("needle") >= T.MIN_QUOTE).join(index, "doc").filter(F.contains("norm", "needle"))
-    best = hits.groupBy("doc", "quote_id").agg(F.min(F.struct(prefer.alias("p"), "page_no"))["page_no"].alias("page"))
+    index = kept(index, "index")
+    needles = evidence.withColumn("needle", T.match_form(F.substring("quote", 1, T.MAX_QUOTE))).filter(F.length("needle") >= T.MIN_QUOTE)
+    own = F.array_distinct(F.filter(F.concat(F.array("declared"), F.coalesce("section_pages", F.array().cast("array<int>"))), lambda p: p.isNotNull()))
+    named = needles.select("doc", "quote_id", "needle", F.posexplode(own).alias("p", "page_no"))
+    here = named.join(index, ["doc", "page_no"]).filter(F.contains("norm", "needle")).groupBy("doc", "quote_id").agg(F.min(F.struct("p", "page_no"))["page_no"].alias("page"))
+    best = here = kept(here, "named-pages")
+    rest = kept(needles.join(here, ["doc", "quote_id"], "left_anti").select("doc", "quote_id", "needle"), "unnamed-quotes")
+    if rest.limit(1).count():
+        anywhere = rest.join(needle_pages(index, rest.select("doc", "needle").distinct(), first=True), ["doc", "needle"])
+        best = here.unionByName(anywhere.select("doc", "quote_id", F.col("page_no").alias("page")))
     action = F.when(F.col("page").isNull(), F.lit("removed")).when(F.col("declared").isNull(), F.lit("added page")).when(F.col("page") != F.col("declared"), F.lit("corrected page")).otherwise(F.lit("kept"))
     return evidence.join(best, ["doc", "quote_id"], "left").withColumn("action", action)
 
 
+def number_postings(index: DataFrame) -> DataFrame:
+    """doc, key, run, page_no: the runs of digits, points and commas on each page that begin with a digit, and their first digits."""
+    runs = F.array_distinct(F.regexp_extract_all("norm", F.lit("(?<![0-9.,])([0-9][0-9.,]*)"), 1))
+    return index.select("doc", "page_no", F.explode(runs).alias("run")).withColumn("key", F.regexp_extract("run", "^[0-9]+", 0))
+
+
+def number_pages(index: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc, number, page_no: the pages on which numbers (doc, number; different ones) are whole tokens.
+
+    Such a token begins a run, so it meets the runs with its first digits, and what is left of the run must not go on with a digit.
+    """
+    asked = numbers.withColumn("key", F.regexp_extract("number", "^[0-9]+", 0))
+    left = F.substring("run", F.length("number") + 1, F.lit(2))
+    whole = F.startswith("run", "number") & ((left == "") | left.rlike("^[.,](?![0-9])"))
+    return number_postings(index).join(asked, ["doc", "key"]).filter(whole).select("doc", "number", "page_no").distinct()
+
+
+def pages_with_numbers(index: DataFrame, sought: DataFrame) -> DataFrame:
+    """doc, needle, page_no: the pages with every number of sought (doc, needle, numbers). The rarest number of a needle gives the pages to look at."""
+    pairs = sought.select("doc", "needle", F.array_distinct("numbers").alias("numbers")).select("doc", "needle", F.size("numbers").alias("n"), F.explode("numbers").alias("number"))
+    places = kept(number_pages(index, pairs.select("doc", "number").distinct()), "number-pages")
+    one = pairs.filter("n = 1").join(places, ["doc", "number"]).select("doc", "needle", "page_no")
+    counts = places.groupBy("doc", "number").agg(F.count("*").alias("n_pages"))
+    ranked = pairs.filter("n > 1").join(counts, ["doc", "number"]).groupBy("doc", "needle", "n").agg(F.sort_array(F.collect_list(F.struct("n_pages", "number"))).alias("by"))
+    full = ranked.filter(F.size("by") == F.col("n"))  # a number that is on no page has no count
+    tried = full.select("doc", "needle", "n", F.col("by")[0]["number"].alias("number"), F.transform(F.slice("by", 2, F.size("by")), lambda x: x["number"]).alias("others"))
+    tried = tried.join(places, ["doc", "number"]).select("doc", "needle", "n", "page_no", F.explode("others").alias("number"))
+    many = tried.join(places, ["doc", "number", "page_no"]).groupBy("doc", "needle", "n", "page_no").agg(F.count("*").alias("met")).filter(F.col("met") == F.col("n") - 1)
+    return one.unionByName(many.select("doc", "needle", "page_no"))
+
+
 def verify_metrics(index: DataFrame, metrics: DataFrame) -> DataFrame:
     """metrics (doc, metric_id, value, cited) with pages and verified.
 
     A page fits if it holds the value or each of its numbers as a whole token. Cited pages are tried first,
-    then all; four pages are kept at most, and an unverified metric keeps what it cited.
+    then all; four pages are kept at most, and an unverified metric keeps what it cited. A value that is a number is looked for in the pages'
+    numbers alone, the numbers of others in an inverted index, and only values with words in the whole text.
     """
+    index = kept(index, "index")
     needle = T.match_form(F.col("value"))
     wanted = metrics.withColumns({"needle": needle, "numbers": T.number_tokens(needle)}).filter("needle != ''")
-    # equal values of a document are looked for once, and one that is a number itself is found wherever its number is
-    sought = wanted.select("doc", "needle", "numbers").distinct()
+    sought = kept(wanted.select("doc", "needle", "numbers").distinct(), "values")  # equal values of a document are looked for once
     alone = (F.size("numbers") == 1) & (F.get("numbers", 0) == F.col("needle"))
-    fits = F.contains("norm", "needle") | (~alone & (F.size("numbers") > 0) & F.forall("numbers", lambda x: T.has_number(F.col("norm"), x)))
-    places = sought.join(index, "doc").filter(fits).groupBy("doc", "needle").agg(F.array_sort(F.collect_set("page_no")).alias("any"))
+    runs = index.withColumn("norm", F.array_join(F.array_distinct(F.regexp_extract_all("norm", F.lit("([0-9.,]+)"), 1)), " ")).filter("norm != ''")
+    places = needle_pages(runs, sought.filter(alone).select("doc", "needle"))
+    said = sought.filter(~alone)
+    if said.limit(1).count():
+        places = places.unionByName(needle_pages(index, said.select("doc", "needle"))).unionByName(pages_with_numbers(index, said.filter(F.size("numbers") > 0)))
+    places = places.groupBy("doc", "needle").agg(F.array_sort(F.collect_set("page_no")).alias("any"))
     near = F.filter("any", lambda p: (F.size("cited") == 0) | F.array_contains("cited", p))
     found = wanted.join(places, ["doc", "needle"]).select("doc", "metric_id", near.alias("near"), "any")
     pages = F.when(F.size("near") > 0, F.col("near")).when(F.size("any") > 0, F.col("any")).otherwise(F.col("cited"))

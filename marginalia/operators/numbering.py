@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.sources.tables import kept
+from marginalia.sources.shared import kept
 
 #: Bits of monotonically_increasing_id() that count rows inside a partition.
 ROW_BITS = 33

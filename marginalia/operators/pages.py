@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from marginalia.functions import text as T
+from marginalia.operators.greedy import members, runs
+from marginalia.operators.numbering import numbered
 from marginalia.sources.tables import kept
 
 MIN_CHARS, GARBLED_PAGE, GARBLED_DOC = 25, 0.2, 0.3
 EDGE_LINES, EDGE_CHARS, HEADER_SHARE, HEADER_PAGES, HEADER_MIN = 2, 80, 0.5, 4, 3
 CHUNK_CHARS, SINGLE_PASS_CHARS = 30_000, 100_000
+#: Characters of a block at least: the marker, a line feed and one more.
+LEAST_BLOCK = 12
 
 
 def upper_median(name: str) -> Column:
@@ -23,7 +26,7 @@ def upper_median(name: str) -> Column:
 
 def scored(pages: DataFrame) -> DataFrame:
     """Adds quality, doc_quality (upper median of pages with enough text) and readable."""
-    page = pages.withColumns({"n_chars": F.length(F.trim("text")), "quality": T.text_quality(F.col("text"))})
+    page = pages.withColumns({"n_chars": F.length(T.stripped(F.col("text"))), "quality": T.text_quality(F.col("text"))})
     docs = page.filter(F.col("n_chars") >= MIN_CHARS).groupBy("doc").agg(upper_median("quality").alias("doc_quality"))
     bad = (F.col("n_chars") < MIN_CHARS) | (F.col("quality") < GARBLED_PAGE) | (F.coalesce("doc_quality", F.lit(0.0)) < GARBLED_DOC)
     return page.join(docs, "doc", "left").withColumn("readable", ~bad)
@@ -97,43 +100,36 @@ def split_long(text: str, most: int) -> list[str]:
     return [p.strip() for p in [*out, buffer] if p.strip()]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _split_udf(text: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else split_long(t, int(n)) for t, n in zip(text, most)], dtype=object)
+
+
+def blocks(pages: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
+    """doc, page_no, idx, block: marked pages that aren't blank, long ones in pieces of at most `most` characters, numbered in order."""
+    pieces = F.coalesce(_split_udf(F.when(F.length("text") > most, F.col("text")), F.lit(most)), F.array("text"))
+    rows = pages.filter(T.stripped(F.col("text")) != "").select("doc", "page_no", F.posexplode(pieces).alias("piece", "body"))
+    marked = rows.select("doc", "page_no", "piece", F.concat(T.page_marker(F.col("page_no")), F.lit("\n"), "body").alias("block"))
+    return numbered(marked, ["doc"], ["page_no", "piece"], "idx", "blocks").select("doc", "page_no", "idx", "block")
+
+
 def chunks(pages: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """doc, chunk_idx, pages, text: whole marked pages packed in order; long pages are split.
 
-    Pages stream through a task in document order, so a document of any length takes one chunk's memory.
+    A document of any length spans tasks: its blocks are numbered by ranges, and what begins a chunk is found by pointers from segment to segment.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, index, numbers, parts, size = None, 0, [], [], 0
-        rows: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal index, numbers, parts, size
-            if parts:
-                rows.append((doc, index, numbers, "\n\n".join(parts)))
-                index += 1
-            numbers, parts, size = [], [], 0
-
-        for pdf in batches:
-            for d, page, text in zip(pdf["doc"], pdf["page_no"], pdf["text"]):
-                if d != doc:
-                    flush()
-                    doc, index = d, 0
-                for piece in split_long(text or "", most):
-                    block = f"[[Page {page}]]\n{piece}"
-                    if parts and size + len(block) > most:
-                        flush()
-                    parts.append(block)
-                    size += len(block) + 2
-                    if page not in numbers:
-                        numbers.append(page)
-            yield pd.DataFrame(rows, columns=["doc", "chunk_idx", "pages", "text"])
-            rows = []
-        flush()
-        yield pd.DataFrame(rows, columns=["doc", "chunk_idx", "pages", "text"])
-
-    ordered = pages.filter(F.trim("text") != "").select("doc", "page_no", "text").repartition("doc").sortWithinPartitions("doc", "page_no")
-    return ordered.mapInPandas(run, "doc string, chunk_idx int, pages array<int>, text string")
+    every = kept(blocks(pages, most), "chunk-blocks")
+    found = runs(every.select("doc", "idx", F.length("block").alias("cost")), most, gap=2, least_cost=LEAST_BLOCK)
+    rows = every.join(members(found), ["doc", "idx"]).groupBy("doc", F.col("run").cast("int").alias("chunk_idx")).agg(F.sort_array(F.collect_list(F.struct("idx", "page_no", "block"))).alias("x"))
+    return rows.select("doc", "chunk_idx", F.array_distinct("x.page_no").alias("pages"), F.array_join("x.block", "\n\n").alias("text"))
+
+
+def page_packs(pages: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
+    """doc, pack, first_page, last_page, n_chars: neighbouring pages packed whole, up to `most` characters of text; a longer page is a pack of its own."""
+    rows = pages.select("doc", F.col("page_no").alias("idx"), F.length("text").cast("long").alias("cost")).filter("cost > 0")
+    every = numbered(rows, ["doc"], ["idx"], "at", "packs").select("doc", F.col("at").alias("idx"), F.col("idx").alias("page_no"), "cost")
+    joined = every.join(members(runs(every, most)), ["doc", "idx"])
+    return joined.groupBy("doc", F.col("run").alias("pack")).agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.sum("cost").alias("n_chars"))
 
 
 def headings(lines: DataFrame) -> DataFrame:

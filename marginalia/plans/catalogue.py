@@ -75,7 +75,7 @@ def text_quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg(T.text_quality(F.col("text"))), 6).alias("mean_quality"))
 
 
-SCORED_SQL = f"WITH {PAGE_SQL}, s AS (SELECT doc, page_no, length(trim(text)) AS n_chars, {SCORE_SQL.format('text')} AS quality FROM p), m AS (SELECT doc, list_sort(list(quality))[CAST(floor(count(*) / 2) AS INT) + 1] AS doc_quality FROM s WHERE n_chars >= {P.MIN_CHARS} GROUP BY doc)"
+SCORED_SQL = f"WITH {PAGE_SQL}, s AS (SELECT doc, page_no, length(regexp_replace(text, '^[\\s\\x0B\\x{{85}}\\x1C-\\x1F\\pZ]+|[\\s\\x0B\\x{{85}}\\x1C-\\x1F\\pZ]+$', '', 'g')) AS n_chars, {SCORE_SQL.format('text')} AS quality FROM p), m AS (SELECT doc, list_sort(list(quality))[CAST(floor(count(*) / 2) AS INT) + 1] AS doc_quality FROM s WHERE n_chars >= {P.MIN_CHARS} GROUP BY doc)"
 
 
 @query(f"{SCORED_SQL} SELECT doc, page_no, n_chars FROM s LEFT JOIN m USING (doc) WHERE n_chars < {P.MIN_CHARS} OR quality < {P.GARBLED_PAGE} OR coalesce(doc_quality, 0) < {P.GARBLED_DOC}")
@@ -133,6 +133,18 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(pages(spark, sf_dir)).select("doc", "chunk_idx", T.chunk_label(F.col("pages")).alias("label"), F.length("text").alias("n_chars"))
 
 
+#: The loop itself, a page a step: a pack begins where its text would exceed the limit.
+PACK_SQL = f"""WITH RECURSIVE {PAGE_SQL}, x AS (SELECT doc, page_no, length(text) AS n, row_number() OVER (PARTITION BY doc ORDER BY page_no) AS i FROM p WHERE length(text) > 0),
+g AS (SELECT doc, i, page_no, n, 0::BIGINT AS pack, n::BIGINT AS held FROM x WHERE i = 1
+UNION ALL SELECT x.doc, x.i, x.page_no, x.n, g.pack + CASE WHEN g.held + x.n > {P.CHUNK_CHARS} THEN 1 ELSE 0 END, CASE WHEN g.held + x.n > {P.CHUNK_CHARS} THEN x.n ELSE g.held + x.n END FROM g JOIN x ON x.doc = g.doc AND x.i = g.i + 1)
+SELECT doc, pack, min(page_no) AS first_page, max(page_no) AS last_page, CAST(sum(n) AS BIGINT) AS n_chars FROM g GROUP BY doc, pack"""
+
+
+@query(PACK_SQL)
+def page_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_packs(pages(spark, sf_dir))
+
+
 QUOTE_SQL = f"WITH {PAGE_SQL}, n AS (SELECT doc, page_no, {NORM_SQL.format('text')} AS norm FROM p), q AS (SELECT item_id, {NORM_SQL.format('text')} AS needle FROM benchmark), h AS (SELECT item_id AS quote_id, doc, min(page_no) AS page_no FROM q JOIN n ON contains(norm, needle) WHERE length(needle) >= {T.MIN_QUOTE} GROUP BY item_id, doc)"
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators.numbering import numbered
+from marginalia.sources.shared import kept as kept
+
 MAX_FILE_MB = 25
-#: Where kept tables go if the session names no folder (tests on one machine).
-DEFAULT_SHARED = "/tmp/checkpoints"
 REPORT_SCHEMA = """overview struct<title:string,title_source:string,authors:array<string>,date:string,document_type:string,page_count:int,filename:string,size_bytes:bigint>,
 sections array<struct<key:string,heading:string,basis:string,body_markdown:string,pages:array<int>,evidence:array<struct<page:int,quote:string>>,supported:boolean>>,
 metrics array<struct<label:string,value:string,pages:array<int>,verified:boolean>>,
@@ -23,24 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame, kind: str) -> DataFrame:
-    """df written once to the shared folder and read again, for what several branches of a plan need. One machine alone may do without a named folder."""
-    context = df.sparkSession.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(DEFAULT_SHARED)
-        shared = DEFAULT_SHARED
-    path = f"{shared.rstrip('/')}/marginalia-{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, page_no, text: a source is a document, its rows in order of id are the pages."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.row_number().over(order).alias("page_no"), "text", "doc_id")
+    """doc, page_no, text: a source is a document, its rows in order of id are the pages. A source of any share of the rows is numbered by ranges."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "doc_id", "text")
+    return numbered(rows, ["doc"], ["doc_id"], "page", "pages").select("doc", (F.col("page") + 1).cast("int").alias("page_no"), "text", "doc_id")
 
 
 def file_error(content: Column, path: Column, size: Column, max_mb: int = MAX_FILE_MB) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.numbering import numbered
+
 PER_HOUR, PER_ADDRESS, PENDING, ABANDON_S = 30, 2, 20, 150
 KEEP_FINISHED_S, KEEP_DELIVERED_S = 120, 30
 STAGES = ("queued", "reading", "analyzing", "done", "error", "cancelled")
@@ -106,8 +108,8 @@ def session_stream(events: DataFrame, gap_s: int = ABANDON_S, late: str = "10 mi
 
 
 def queue_positions(queued: DataFrame, kind: str = "event_type") -> DataFrame:
-    """event_id and its place, from 0, among the queued of its kind in order of arrival."""
-    return queued.select("event_id", kind, (F.row_number().over(Window.partitionBy(kind).orderBy("ts", "event_id")) - 1).alias("position"))
+    """event_id and its place, from 0, among the queued of its kind in order of arrival, numbered by ranges: a queue of any length spans tasks."""
+    return numbered(queued.select("event_id", kind, "ts"), [kind], ["ts", "event_id"], "position", "queue").select("event_id", kind, "position")
 
 
 def job_states(job_events: DataFrame) -> DataFrame:
