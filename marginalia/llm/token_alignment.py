@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch_rows, held, slices, table, tokenizer_path, trim
 
-BLOCK_BYTES, ARROW_ROWS = 32 << 20, 2000
+BLOCK_BYTES, ARROW_ROWS = 8 << 20, 1000
 #: Units that are encoded as one text, and texts at once.
 JOINED_UNITS, ENCODED = 500, 1000
-DUCKDB_MEMORY = "700MB"
+DUCKDB_MEMORY = "400MB"
 CUT = re.compile(r" (?<=[^\s▁] )(?=[^\s▁])")
 #: What splitting at each space makes of a text that CUT would not cut so.
 ODD = r"^$|^[\s\x1c-\x1f\x{85}\pZ]|[\s\x1c-\x1f\x{85}\pZ]$|▁"
@@ -75,7 +76,7 @@ class Tokenizers:
         n_a, n_b = len(self.a_bytes), len(self.b_bytes)
         #: Where in `said` an id of A (first in its group or not) and one of B start.
         self.at = {"a_first": 0, "a_next": n_a, "b_first": 2 * n_a, "b_next": 2 * n_a + n_b}
-        self.sizes = [np.fromiter(map(len, x), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        self.sizes = [np.fromiter(map(len, x), np.int32) for x in (self.a_bytes, self.b_bytes)]
 
     def ids(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of a space and each text, by A and by B, which adds the space itself."""
@@ -89,15 +90,14 @@ class Tokenizers:
         Plain units are encoded many at a time, since they would be cut apart again.
         """
         parts = [plain[at : at + JOINED_UNITS].tolist() for at in range(0, len(plain), JOINED_UNITS)] + [[i] for i in single.tolist()]
-        order: list[int] = []
-        out: tuple[list, list] = [], []
+        order, out = array("i"), (array("i"), array("i"))
         texts = [" ".join([units[i] for i in part]) for part in parts]
         for part, text, (a, b) in zip(parts, texts, self.ids(texts), strict=True):
             if b"".join(map(self.a_bytes.__getitem__, a)) == (" " + text).encode() == b"".join(map(self.b_bytes.__getitem__, b)):
-                order += part
+                order.extend(part)
                 out[0].extend(a)
                 out[1].extend(b)
-        return np.array(order, np.int64), np.array(out[0], np.int32), np.array(out[1], np.int32)
+        return tuple(np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (order, *out))
 
 
 def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -114,7 +114,7 @@ def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[
     more = Index()
     for i in slow:
         text = texts[int(i)].as_py()
-        found[i] = np.fromiter((n + more[u] for u in CUT.split(text)), np.int64) if text else np.empty(0, np.int64)
+        found[i] = np.fromiter((n + more[u] for u in CUT.split(text)), np.int32) if text else np.empty(0, np.int32)
     return units + list(more), np.flatnonzero(~odd), n + np.arange(len(more)), found
 
 
@@ -128,9 +128,10 @@ class Index(dict):
 
 def intervals(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray, ends: np.ndarray) -> pa.Table:
     """unit, place, id, lo, hi of the tokens of units side by side, in that order with these ends."""
-    hi = np.cumsum(sizes[ids])
-    lo = hi - sizes[ids]
-    return pa.table({"unit": order[np.searchsorted(ends, lo, side="right")], "place": np.arange(len(ids)), "id": ids, "lo": lo, "hi": hi})
+    own = sizes[ids]
+    hi = np.cumsum(own, dtype=np.int32)
+    lo = hi - own
+    return pa.table({"unit": order[np.searchsorted(ends, lo, side="right")], "place": np.arange(len(ids), dtype=np.int32), "id": ids, "lo": lo, "hi": hi})
 
 
 # Statements over tables a and b of intervals, and occurrences (doc, unit). The axis' places rise with its bytes, so an order by place is one by lo and hi.
@@ -155,16 +156,18 @@ def align_block(tools: Tokenizers, doc_ids: pa.Array, texts: pa.Array, block: in
     """ALIGNED rows of a block's documents, and one more with its pairs."""
     units, plain, single, found = cut_texts(texts)
     order, ids_a, ids_b = tools.encode(units, plain, single)
-    ends = np.cumsum(1 + pc.binary_length(pa.array(units, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)[order])
+    ends = np.cumsum(1 + pc.binary_length(pa.array(units, pa.string())).to_numpy(zero_copy_only=False)[order], dtype=np.int32)
     good = np.zeros(len(units), bool)
     good[order] = True
     del units
     told = [x if good[x].all() else x[:0] for x in found]
     a, b = (intervals(ids, sizes, order, ends) for ids, sizes in zip((ids_a, ids_b), tools.sizes))
-    occurrences = pa.table({"doc": np.repeat(np.arange(len(told)), [len(x) for x in told]), "unit": np.concatenate([*told, np.empty(0, np.int64)])})
+    occurrences = pa.table({"doc": np.repeat(np.arange(len(told), dtype=np.int32), [len(x) for x in told]), "unit": np.concatenate([*told, np.empty(0, np.int32)])})
+    del ids_a, ids_b
     with duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY}) as db:
         for name, rows in (("a", a), ("b", b), ("occurrences", occurrences)):
             db.register(name, rows)
+        del a, b
         for statement in (LINKS, GROUPED.format(side="a", other="b"), GROUPED.format(side="b", other="a"), UNITS, OCCURRENCES, HELD, PAIRS):
             db.execute(statement)
         said = db.execute(SAID.format(**tools.at)).fetchnumpy()
