@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +11,12 @@ from marginalia.operators import grounding as G
 from marginalia.operators import notes as N
 from marginalia.operators import pages as P
 from marginalia.operators import validation as V
-from marginalia.plans import literals
 from marginalia.sources import reports as R
 from marginalia.sources.tables import kept, pages, read_reports, table
 from marginalia.streaming import jobs as J
 
-QUERIES: dict = dict(literals.QUERIES)
-ORACLE: dict[str, str] = dict(literals.ORACLE)
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
 
 PAGE_SQL = "p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, text, doc_id FROM documents)"
 NORM_SQL = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_%.$]+', ' ', 'g'))"
@@ -28,26 +25,6 @@ GOOD_SQL = rf"""lambda t: length(regexp_replace(t, '[^\p{{{{L}}}}]', '', 'g')) >
 SCORE_SQL = f"CASE WHEN len({QUALITY_SQL}) = 0 THEN 0.0 ELSE len(list_filter({QUALITY_SQL}, {GOOD_SQL})) / CAST(len({QUALITY_SQL}) AS DOUBLE) END"
 EDGE_SHARE = 0.1
 
-# Small literal tables for what the driver's tables never hold.
-BLOCKS = [("a", 1, 0, 50.0, 40.0, 550.0, 60.0, "Title across the page"), ("a", 1, 1, 50.0, 300.0, 290.0, 320.0, "left lower"), ("a", 1, 2, 310.0, 100.0, 550.0, 120.0, "right upper"), ("a", 1, 3, 50.0, 100.0, 290.0, 120.0, "left upper"), ("a", 1, 4, 50.0, 400.0, 550.0, 420.0, "middle across"), ("a", 1, 5, 310.0, 500.0, 550.0, 520.0, "right end"), ("a", 1, 6, 50.0, 500.0, 290.0, 520.0, "left end"), ("b", 1, 0, 50.0, 80.2, 550.0, 90.0, "second"), ("b", 1, 1, 50.0, 20.0, 550.0, 30.0, "first")]
-LINES = [("a", 1, 1, 18.0, "Main Title Here", False), ("a", 1, 2, 10.0, "Body text that goes on and on.", False), ("a", 1, 3, 12.0, "Methods", False), ("a", 1, 4, 10.0, "Bold lead", True), ("a", 1, 5, 10.0, "Bold sentence.", True), ("a", 2, 1, 10.0, "More body text", False), ("a", 2, 2, 10.0, "Even more body text", False), ("a", 2, 3, 12.0, "123", False), ("a", 2, 4, 10.0, "last body text", False)]
-DELAYS = [(1, "7", ""), (2, None, "Rate limit: try again in 1m2.5s please"), (3, None, "try again in 3.2s"), (4, None, "try again in 250ms"), (5, None, "no hint"), (6, "900", "x"), (7, "soon", "Try again in 20s")]
-QUOTES = [("a", 1, 1, "the result was 87.5% in all trials"), ("a", 1, 2, "result was 87.5%"), ("a", 1, 3, "The RESULT was 87.5% in all trials."), ("a", 1, 4, "result was 87.5%"), ("a", 2, 1, "result was 87.5%"), ("b", 1, 1, "result was 87.5% in all")]
-COERCE = [(1, '[1, 2.0, "p. 3", "2-4", true, 99, null]'), (2, "3"), (3, '"pp 1–2"'), (4, None), (5, '["4-2", "x", 1.5]'), (6, "[]"), (7, "null")]
-REPORT = """{"overview":{"title":"A | B","title_source":"filename","authors":["Ann","Bo"],"date":null,"document_type":"Paper","page_count":4,"filename":"a.pdf","size_bytes":20480},"sections":[{"key":"key_findings","heading":"Key Findings","basis":"document","body_markdown":" Found *it*. ","pages":[1,2,4],"evidence":[{"page":2,"quote":"q one"}],"supported":true},{"key":"other","heading":"Other","basis":"mixed","body_markdown":"Text","pages":[],"evidence":[],"supported":false}],"metrics":[{"label":"Rate","value":"87.5%","pages":[2],"verified":true},{"label":"No","value":"9","pages":[],"verified":false}],"references":[{"page":2,"quotes":["q one"],"used_in":["Key Findings"]}],"not_stated":["Date / year"],"validation_notes":[],"warnings":["one page had no text"],"meta":{"model":"m","strategy":"single-pass"}}"""
-
-PAPER = [("a", 1, "Slow Rivers of the North\nAnn Lund and Bo Frey, 2019\nWe measured eleven rivers in winter."), ("a", 2, "The mean flow fell by 41.2% against the year before."), ("a", 3, "Ice cover lasted for 87 days at the upper station."), ("b", 1, "Another text altogether, with 12 numbers.")]
-RAW = """{"overview":{"title":"Slow Rivers of the North","authors":["Ann Lund","Dr. Nobody"],"date":"2019","document_type":"Paper"},
-"sections":[{"key":"made_up","heading":"","basis":"sure","body_markdown":"Flow fell, see page 2 and pp. 900-901.","pages":["2-3",999,true],"evidence":[{"page":3,"quote":"mean flow fell by 41.2% against"},{"quote":"Ice cover lasted for 87 days"},{"page":1,"quote":"This sentence is in no page at all."}]},
-{"key":"methodology","heading":"Methods","basis":"document","body_markdown":"Nobody knows.","pages":[],"evidence":[]},{"key":"key_findings","heading":"Empty","body_markdown":" "}],
-"metrics":[{"label":"Fall","value":"41.2%","pages":[1]},{"label":"Made up","value":"99.987%","pages":[1]},{"label":"Days","value":"87","pages":[3]}],"not_stated":["Funding"]}"""
-
-
-def values(rows: list[tuple]) -> str:
-    """Rows as an SQL VALUES list."""
-    return ", ".join("(" + ", ".join(map(literals.cell, r)) + ")" for r in rows)
-
-
 def query(sql: str | None = None):
     """Registers a query under its name, with SQL if it can be written so."""
 
@@ -176,11 +153,6 @@ def metric_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.verify_metrics(index, metrics).filter("verified").select("doc", "metric_id", F.element_at("pages", 1).alias("first_page"))
 
 
-@query(f"WITH q(doc, page_no, ord, quote) AS (VALUES {values(QUOTES)}), f AS (SELECT doc, page_no, quote, min(ord) AS ord, {NORM_SQL.format('quote')} AS norm FROM q GROUP BY doc, page_no, quote) SELECT doc, page_no, ord, quote FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc = f.doc AND o.page_no = f.page_no AND o.quote <> f.quote AND contains(o.norm, f.norm))")
-def fragment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.drop_fragments(spark.createDataFrame(QUOTES, "doc string, page_no int, ord int, quote string"))
-
-
 @query(f"{QUOTE_SQL}, u AS (SELECT doc, page_no, quote_id FROM h) SELECT doc, page_no, string_agg('Section ' || quote_id, ', ' ORDER BY quote_id) AS used_in, count(*) AS n_used FROM u GROUP BY doc, page_no")
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = QUERIES["quote_locate_top1"](spark, sf_dir)
@@ -189,12 +161,6 @@ def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.source_refs(sections, none).select("doc", "page_no", F.array_join("used_in", ", ").alias("used_in"), F.size("used_in").cast("long").alias("n_used"))
 
 
-@query("SELECT * FROM (VALUES (1, '1,2,3,4', 3), (2, '3', 0), (3, '1,2', 0), (4, '', 0), (5, '', 3), (6, '', 0), (7, '', 0)) t(id, pages, dropped)")
-def page_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(COERCE, "id int, raw string").withColumn("x", T.coerce_pages(F.parse_json("raw"), F.array(*map(F.lit, (1, 2, 3, 4)))))
-    return rows.select("id", F.array_join("x.pages", ",").alias("pages"), "x.dropped")
-
-
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<img\b[^>]*>', '', 'gi'), 'href="(https?://|#)', 'HREF="\1', 'g'), 'href="[^"]*"', 'href="#"', 'g'), 'HREF="', 'href="', 'g')) AS clean_md5 FROM pages""")
 def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.sanitized_html(F.col("html"))).alias("clean_md5"))
@@ -210,28 +176,6 @@ def top_concept_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.top_concepts(pages(spark, sf_dir))
 
 
-def _report(spark: SparkSession) -> DataFrame:
-    return read_reports(spark.createDataFrame([("a", REPORT)], "doc string, body string"))
-
-
-def _validated(spark: SparkSession) -> DataFrame:
-    index = G.page_index(spark.createDataFrame(PAPER, "doc string, page_no int, text string"))
-    docs = spark.createDataFrame([("a", "a.pdf", 2048, 3), ("b", "b.pdf", 10, 1)], "doc string, filename string, size_bytes long, page_count int")
-    docs = docs.withColumns({"metadata": F.lit(None).cast("map<string,string>"), "warnings": F.array().cast("array<string>"), "meta": F.lit(None).cast("map<string,string>")})
-    return V.validate_reports(index, spark.createDataFrame([("a", RAW), ("b", "no JSON")], "doc string, raw string"), docs)
-
-
-@query("""SELECT * FROM (VALUES ('a', 0, 'Removed 3 page reference(s) that do not exist in this 3-page PDF.'), ('a', 1, 'Removed author “Dr. Nobody”: not found in the PDF''s opening pages or metadata.'), ('a', 2, 'Corrected a quote''s page in “Other” from 3 to 2.'), ('a', 3, 'Added the correct page (3) to an uncited quote in “Other”.'), ('a', 4, 'Removed a quote in “Other” that does not appear in the PDF.'), ('a', 5, 'Section “Methods” makes document claims but cites no valid page; flagged as unsupported.'), ('a', 6, 'Corrected pages for metric “Fall” to [2].'), ('a', 7, 'Metric “Made up” (value 99.987%) could not be found in the PDF; marked unverified.')) t(doc, place, note)""")
-def validation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _validated(spark).select("doc", F.posexplode("report.validation_notes").alias("place", "note"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'methodology', '', false, 0), ('a', 'other', '2,3', true, 2)) t(doc, key, pages, supported, n_quotes)")
-def validated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _validated(spark).select("doc", F.explode("report.sections").alias("s"))
-    return rows.select("doc", "s.key", F.array_join("s.pages", ",").alias("pages"), "s.supported", F.size("s.evidence").alias("n_quotes"))
-
-
 @query()
 def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned pages, chunks, notes, draft and checked report of every document, as Markdown."""
@@ -246,126 +190,6 @@ def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rendered(V.validate_reports(index, N.drafts(notes, every), docs), "md")
 
 
-#: REPORT as it must be rendered.
-MARKDOWN = """# A | B
-
-## Document Overview
-
-| Field | Value |
-|---|---|
-| Title | A / B (from filename; no title found in text) |
-| Author(s) | Ann, Bo |
-| Date / year | Not stated in the document. |
-| Document type | Paper |
-| Pages | 4 |
-| File | a.pdf (20 KB) |
-
-## Key Findings
-
-*Basis: Document content* · *Source: Pages 1–2, 4*
-
-Found *it*.
-
-**Supporting quotes (verified verbatim against the PDF):**
-
-> “q one” — Page 2
-
-## Other
-
-*Basis: Document content with AI interpretation* · *⚠ No verifiable page reference — treat with caution*
-
-Text
-
-## Important Data / Metrics
-
-| Metric | Value | Source | Verified |
-|---|---|---|---|
-| Rate | 87.5% | Page 2 | yes |
-| No | 9 | — | NOT FOUND in PDF |
-
-## Not Stated in the Document
-
-- Date / year: Not stated in the document.
-
-## Source References
-
-- **Page 2** — used in: Key Findings
-    - “q one”
-
-## Verification Notes
-
-- All page references and quotes were verified against the PDF; nothing needed correcting.
-- Coverage note: one page had no text
-
----
-*Generated  by m (single-pass, 0 chunk(s), 0 LLM call(s)) from the uploaded file a.pdf. Sections marked as AI interpretation are not statements by the document.*
-"""
-TEXT = """A  |  B
-
-Document Overview
-
-Field  |  Value
-Title  |  A / B (from filename; no title found in text)
-Author(s)  |  Ann, Bo
-Date / year  |  Not stated in the document.
-Document type  |  Paper
-Pages  |  4
-File  |  a.pdf (20 KB)
-Key Findings
-
-Basis: Document content · Source: Pages 1–2, 4
-
-Found it.
-
-Supporting quotes (verified verbatim against the PDF):
-
-    “q one” — Page 2
-
-Other
-
-Basis: Document content with AI interpretation · ⚠ No verifiable page reference — treat with caution
-
-Text
-
-Important Data / Metrics
-
-Metric  |  Value  |  Source  |  Verified
-Rate  |  87.5%  |  Page 2  |  yes
-No  |  9  |  —  |  NOT FOUND in PDF
-Not Stated in the Document
-
-- Date / year: Not stated in the document.
-
-Source References
-
-- Page 2 — used in: Key Findings
-    - “q one”
-
-Verification Notes
-
-- All page references and quotes were verified against the PDF; nothing needed correcting.
-- Coverage note: one page had no text
-
-------------------------------------------------------------
-Generated  by m (single-pass, 0 chunk(s), 0 LLM call(s)) from the uploaded file a.pdf. Sections marked as AI interpretation are not statements by the document.
-"""
-
-
-@query(literals.must_be("doc string, stem string, body string", [("a", "a", MARKDOWN)]))
-def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rendered(_report(spark), "md")
-
-
-@query(literals.must_be("doc string, stem string, body string", [("a", "a", TEXT)]))
-def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rendered(_report(spark), "txt")
-
-
-@query(literals.must_be("doc string, stem string, body string", [("a", "a", json.dumps(json.loads(REPORT), indent=2, ensure_ascii=False))]))
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rendered(_report(spark), "json")
-
-
 @query()
 def chunk_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = pages(spark, sf_dir)
@@ -400,23 +224,8 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.queue_positions(table(spark, sf_dir, "events"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 1, 'Main Title Here', 1), ('a', 1, 3, 'Methods', 2), ('a', 1, 4, 'Bold lead', 3)) t(doc, page_no, line_no, text, level)")
-def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.headings(spark.createDataFrame(LINES, "doc string, page_no int, line_no int, size double, text string, bold boolean"))
-
-
-@query("SELECT * FROM (VALUES ('a', 1, 0, 1), ('a', 1, 3, 2), ('a', 1, 1, 3), ('a', 1, 2, 4), ('a', 1, 4, 5), ('a', 1, 6, 6), ('a', 1, 5, 7), ('b', 1, 1, 1), ('b', 1, 0, 2)) t(doc, page_no, stream_pos, place)")
-def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = spark.createDataFrame(BLOCKS, "doc string, page_no int, stream_pos int, x0 double, y0 double, x1 double, y1 double, text string")
-    return P.column_order(blocks.withColumn("width", F.lit(600.0)))
-
-
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def sha_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT id, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES (1, 7.0), (2, 63.0), (3, 3.7), (4, 0.75), (5, 10.0), (6, 65.0), (7, 20.5)) t(id, seconds)")
-def retry_delay_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(DELAYS, "id int, header string, message string")
-    return rows.select("id", T.retry_delay(F.col("header"), F.col("message")).alias("seconds"))

@@ -4,6 +4,7 @@ import json
 import re
 
 import duckdb
+import literal_queries
 import pytest
 
 from marginalia.functions import text as T
@@ -22,6 +23,15 @@ def norm(rows):
 # sf0.001 has 10 pages a document
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, sf_dir, name):
+    check(spark, sf_dir, name, catalogue)
+
+
+@pytest.mark.parametrize("name", sorted(literal_queries.QUERIES))
+def test_literal_rows(spark, sf_dir, name):
+    check(spark, sf_dir, name, literal_queries)
+
+
+def check(spark, sf_dir, name, catalogue):
     got = catalogue.QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
     rows = [tuple(r) for r in got.select(columns).collect()]
@@ -114,7 +124,7 @@ def test_job_stream_keeps_states(spark, tmp_path):
     """Two batches of events through the stream give the states that the batch twin gives."""
     import shutil
 
-    from marginalia.plans.literals import JOB_EVENTS
+    from literal_queries import JOB_EVENTS
     from marginalia.streaming import jobs as J
 
     schema = "job_id string, ts int, status string, progress double"
@@ -161,9 +171,9 @@ def test_raw_files_and_their_stream(spark, tmp_path):
 def test_written_reports(spark, tmp_path):
     from marginalia.sources import reports as R
 
-    R.write(catalogue._report(spark), "md", str(tmp_path / "out"))
+    R.write(literal_queries._report(spark), "md", str(tmp_path / "out"))
     text = "".join(f.read_text() for f in (tmp_path / "out" / "stem=a").glob("*.txt"))
-    assert text.rstrip() == catalogue.MARKDOWN.rstrip()
+    assert text.rstrip() == literal_queries.MARKDOWN.rstrip()
 
 
 def test_limits_come_from_settings():
