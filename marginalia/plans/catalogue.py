@@ -14,6 +14,7 @@ from marginalia.operators import validation as V
 from marginalia.sources import reports as R
 from marginalia.sources.tables import kept, pages, read_reports, table
 from marginalia.streaming import jobs as J
+from marginalia.streaming import stateful as ST
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +230,15 @@ def sha_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+@query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM n) SELECT user_id, min(t) AS started, count(*) AS n_events, max(t) AS ended FROM s GROUP BY user_id, session")
+def session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of six hours' rest, by a stream whose timers close them."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ST.last_sessions(ST.run_once(ST.session_rows(stream, 21_600), "sessions"))
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def redelivered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in which every event is delivered twice, without the repeats."""
+    once = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ST.run_once(ST.without_repeats(once.unionByName(once)).select("event_id", "user_id", "event_type"), "delivered")
