@@ -5,8 +5,8 @@ odds that its subtree holds main text, from tag, attribute tokens, depth,
 subtree density, link share, sibling statistics and the ancestors' kinds. The
 decoder then picks the labelling with the highest total log probability among
 those where nothing below a dropped element is kept, by one pass up and one
-pass down the tree. Scripts, styles, forms' controls, `head` and other elements
-that never hold prose are dropped whatever the odds.
+pass down the tree. Only what browsers don't show as text (scripts, styles, `head`, controls and media) is dropped whatever the odds;
+containers, forms and dialogs among them, are judged.
 
 The model is fitted on `TRAINING_PAGES` generated pages whose parts are known
 (semantic tags, marked or unmarked containers), a fixed bound; it needs no
@@ -54,13 +54,13 @@ KINDS = {word: kind for kind, words in enumerate(ATTRIBUTE_KINDS.values()) for w
 LONG_KINDS = [(w, k) for w, k in KINDS.items() if len(w) >= 4]
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
-#: Elements that never hold prose of the page.
-NEVER = RAW | set("head select option button svg canvas object audio video map datalist fieldset form input label dialog math".split())
+#: Elements whose content browsers don't show as text of the page.
+NEVER = RAW | set("head select option optgroup button svg canvas audio video datalist".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 #: A start tag closes an open one of these, up to the given containers.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-TAG_FLAGS = ({"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"h1"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"a"}, {"div"}, {"section"}, {"article"}, {"main"}, {"nav"}, {"aside"}, {"header"}, {"footer"}, {"table", "tr", "td", "th", "tbody"}, {"blockquote", "pre", "figure", "figcaption"}, {"b", "i", "em", "strong", "span", "u", "small", "code"}, {"body"}, {"html"})
+TAG_FLAGS = ({"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"h1"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"a"}, {"div"}, {"section"}, {"article"}, {"main"}, {"nav"}, {"aside"}, {"header"}, {"footer"}, {"table", "tr", "td", "th", "tbody"}, {"blockquote", "pre", "figure", "figcaption"}, {"b", "i", "em", "strong", "span", "u", "small", "code"}, {"body"}, {"html"}, {"form", "fieldset"}, {"label", "legend", "output"}, {"dialog", "details", "summary"})
 SEMANTIC = {"nav": 1, "header": 2, "footer": 3, "aside": 4}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -91,17 +91,20 @@ _short_kinds = lru_cache(20_000)(_kinds)
 class Tree:
     """Elements in document order, and the page's texts with the element that holds each."""
 
-    __slots__ = ("tags", "parents", "kinds", "texts")
+    __slots__ = ("tags", "parents", "kinds", "texts", "stack", "open", "walls")
 
     def __init__(self, page: str):
         self.tags, self.parents, self.kinds = ["#root"], [-1], [0]
         self.texts: list[tuple[int, str | None]] = []  # (element, text); None is a block's edge
-        stack, at, n = [0], 0, len(page)
+        self.stack = [0]
+        self.open: dict[str, list[int]] = {}  # places on the stack by tag, so no tag is ever searched for
+        self.walls: list[int] = []  # places of open blocks but paragraphs
+        at, n = 0, len(page)
         while at < n:
             m = TOKEN.search(page, at)
             end = m.start() if m else n
             if end > at:
-                self.texts.append((stack[-1], page[at:end]))
+                self.texts.append((self.stack[-1], page[at:end]))
             if not m:
                 break
             at = m.end()
@@ -109,45 +112,58 @@ class Tree:
                 continue
             tag = m[2].lower()
             if m[1]:
-                self.close(stack, tag)
+                self.close(tag)
                 continue
             if tag in CLOSES_P:
-                self.close_open(stack, {"p"}, BLOCK - {"p"})
+                self.close_open({"p"}, self.walls[-1] if self.walls else 0)
             if tag in SIBLINGS:
-                self.close_open(stack, *SIBLINGS[tag])
+                tags, within = SIBLINGS[tag]
+                self.close_open(tags, self.top(within))
             if tag in BLOCK:
-                self.texts.append((stack[-1], None))
+                self.texts.append((self.stack[-1], None))
             elif tag == "br":
-                self.texts.append((stack[-1], " "))
+                self.texts.append((self.stack[-1], " "))
             if tag in VOID:
                 continue
             self.tags.append(tag)
-            self.parents.append(stack[-1])
+            self.parents.append(self.stack[-1])
             self.kinds.append(attribute_kinds(m[3]) if m[3] else 0)
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = close.end() if close else n
             else:
-                stack.append(len(self.tags) - 1)
-
-    def close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                if any(self.tags[x] in BLOCK for x in stack[i:]):
-                    self.texts.append((stack[-1], None))
-                del stack[i:]
-                return
-            if tag not in BLOCK and self.tags[stack[i]] in BLOCK:
-                return  # an inline end tag doesn't close blocks
-
-    def close_open(self, stack: list[int], tags: set[str], within: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] in tags:
-                self.texts.append((stack[-1], None))
-                del stack[i:]
-                return
-            if self.tags[stack[i]] in within:
-                return
+                self.open.setdefault(tag, []).append(len(self.stack))
+                if tag in BLOCK and tag != "p":
+                    self.walls.append(len(self.stack))
+                self.stack.append(len(self.tags) - 1)
+
+    def top(self, tags: set[str]) -> int:
+        """The highest place on the stack of an element with one of the tags; 0 for none."""
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Closes what is open from a place on; each element is closed once."""
+        while len(self.stack) > place:
+            tag = self.tags[self.stack.pop()]
+            self.open[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self.walls.pop()
+
+    def close(self, tag: str) -> None:
+        place = self.top({tag})
+        block = max(self.walls[-1] if self.walls else 0, self.top({"p"}))
+        if not place or tag not in BLOCK and block > place:
+            return  # not open, or an inline end tag, which doesn't close blocks
+        if block >= place:
+            self.texts.append((self.stack[-1], None))
+        self.cut(place)
+
+    def close_open(self, tags: set[str], wall: int) -> None:
+        """Closes the highest of the tags that stands above a wall."""
+        place = self.top(tags)
+        if place > wall:
+            self.texts.append((self.stack[-1], None))
+            self.cut(place)
 
 
 def features(tree: Tree) -> np.ndarray:
@@ -291,7 +307,7 @@ def boilerplate(rng: random.Random, kind: str) -> str:
         inner = rng.choice((f"<h3>{sentence(rng, 1, 4)}</h3>{links(rng)}", f"<p>{prose(rng, 1, 3)}</p>", f"<h4>{sentence(rng, 1, 3)}</h4><p>{prose(rng, 1, 4)}</p>{links(rng)}"))
         return rng.choice((f"<aside>{inner}</aside>", f"<aside{marked(rng, words[kind])}>{inner}</aside>", f"<{div}{marked(rng, words[kind])}>{inner}</{div}>"))
     if kind == "form":
-        inner = f"<p>{sentence(rng, 2, 10)}</p><label>{sentence(rng, 1, 2)}</label><input name=q><button>{sentence(rng, 1, 2)}</button>"
+        inner = rng.choice((f"<p>{sentence(rng, 2, 10)}</p>", f"<fieldset><legend>{sentence(rng, 1, 3)}</legend>{sentence(rng, 2, 9)}</fieldset>", f"<h3>{sentence(rng, 1, 4)}</h3><p>{prose(rng, 1, 2)}</p>")) + f"<label>{sentence(rng, 1, 2)}</label><input name=q><button>{sentence(rng, 1, 2)}</button>"
         return rng.choice((f"<form{marked(rng, words[kind])}>{inner}</form>", f"<div{marked(rng, words[kind])}><form>{inner}</form></div>"))
     if kind == "comment":
         one = lambda: f"<{rng.choice(('div', 'li', 'article'))}{marked(rng, 'comment reply')}><b>{sentence(rng, 1, 2)}</b> <p>{prose(rng, 1, 4)}</p>"
@@ -339,6 +355,8 @@ def training_page(rng: random.Random) -> str:
     body = "".join([*before, main_part(rng), *after]) + (boilerplate(rng, "footer") if rng.random() < 0.85 else "")
     if rng.random() < 0.4:
         body = f"<div {MARK} class='wrapper'>{body}</div>"
+    if rng.random() < 0.15:  # as frameworks wrap a whole page
+        body = f"<form {MARK} method=post id='{rng.choice(('form1', 'aspnetForm', 'f0'))}'><input type=hidden name=s>{body}</form>"
     return f"<!DOCTYPE html><html {MARK}><head><title>{sentence(rng, 1, 9)}</title><script>var a = '<p>';</script></head><body {MARK}>{body}</body></html>"
 
 

@@ -1,7 +1,9 @@
 """Language ID, quality rules, HTML extraction and URL filter on small fixtures."""
 
 import html as H
+import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -173,6 +175,32 @@ def test_decoding_is_consistent():
         assert all(label[p] or not keep for keep, p in zip(label[1:], tree.parents[1:]))
 
 
+def test_decoding_is_the_best_of_all_labellings():
+    """Against every labelling of small trees in which nothing below a dropped element is kept."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        tree = html_extract.Tree("".join(f"<{rng.choice(['div', 'p', 'b', 'ul', 'li', 'form'])}>x" if rng.random() < 0.7 else "</div>" for _ in range(8)))
+        n, odds = len(tree.tags), rng.normal(size=len(tree.tags)) * 3
+        keep, drop = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        total = lambda label: sum(keep[i] if label[i] else drop[i] for i in range(1, n))
+        fits = [x for x in itertools.product([True, False], repeat=n - 1) if all((True, *x)[tree.parents[i]] or not x[i - 1] for i in range(1, n))]
+        assert abs(total(html_extract.decode(tree, odds)) - max(total((True, *x)) for x in fits)) < 1e-9
+
+
+def test_a_page_wrapped_in_a_form(spark, sf_dir):
+    pages = [r["html"] for r in table(spark, sf_dir, "pages").collect()]
+    wrapped = [re.sub(r"(?s)<body[^>]*>(.*)</body>", lambda m: f"<body><form method=post action=x>{m[1]}</form></body>", p) for p in pages]
+    model = html_extract.fitted_model()
+    assert html_extract.extract_pages(wrapped, model) == html_extract.extract_pages(pages, model)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</section>" * 20_000, "<i>" * 20_000 + "x" + "</b>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<p>" + "<i>" * 20_000 + "<hr>" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.Tree(page)
+    assert time.process_time() - began < 2
+
+
 # ------------------------------------------------------------------ URLs
 def plain_rule(host, path):
     fits = [r for _, r in url_filter.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
