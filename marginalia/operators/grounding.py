@@ -176,3 +176,20 @@ def source_refs(sections: DataFrame, metrics: DataFrame) -> DataFrame:
     quoted = sections.select("doc", "ord", F.posexplode("evidence").alias("pos", "e")).select("doc", F.col("e.page").alias("page_no"), (F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.col("e.quote").alias("quote"))
     quotes = drop_fragments(quoted).groupBy("doc", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "quote"))), lambda x: x["quote"]).alias("quotes"))
     return names.join(quotes, ["doc", "page_no"], "full").select("doc", "page_no", F.coalesce("used_in", F.array().cast("array<string>")).alias("used_in"), F.coalesce("quotes", F.array().cast("array<string>")).alias("quotes"))
+
+
+def claimed_pages(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, claim_id, pages, dropped of claims (doc, claim_id, raw VARIANT): the pages that a raw value names and that are among pages (doc, page_no; different ones), and how many of its parts are not.
+
+    Items come out of the variant as rows, so a claim of any length is dealt with by rows, and meet the pages by a join.
+    """
+    spark = claims.sparkSession
+    rows = claims.withColumn("list", F.when(F.schema_of_variant("raw").startswith("ARRAY"), F.col("raw")))
+    many = rows.filter("list is not null").lateralJoin(spark.tvf.variant_explode(F.col("list").outer())).select("doc", "claim_id", F.col("value").alias("item"))
+    one = rows.filter(F.col("list").isNull() & F.col("raw").isNotNull() & (F.schema_of_variant("raw") != "VOID")).select("doc", "claim_id", F.col("raw").alias("item"))
+    items = many.unionByName(one).withColumn("numbers", T.page_span(F.col("item")))
+    named = items.select("doc", "claim_id", F.explode("numbers").alias("page_no")).join(pages.select("doc", "page_no", F.lit(1).alias("known")), ["doc", "page_no"], "left")
+    good = named.groupBy("doc", "claim_id").agg(F.array_sort(F.collect_set(F.when(F.col("known") == 1, F.col("page_no")))).alias("pages"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    bad = items.groupBy("doc", "claim_id").agg(F.count_if(F.col("numbers").isNull()).alias("odd"))
+    joined = claims.select("doc", "claim_id").join(good, ["doc", "claim_id"], "left").join(bad, ["doc", "claim_id"], "left")
+    return joined.select("doc", "claim_id", F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), (F.coalesce("unknown", F.lit(0)) + F.coalesce("odd", F.lit(0))).alias("dropped"))

@@ -39,3 +39,15 @@ def numbered(rows: DataFrame, group: list[str], order: list[str | Column], name:
     same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
     joined = table.join(starts, [table["part"] == F.col("__part"), *same])
     return joined.select(*rows.columns, (F.col("row") + F.col("__shift")).alias(name), f"{name}_of")
+
+
+def running_sums(rows: DataFrame, group: list[str], order: list[str | Column], value: str, name: str, kind: str = "sums") -> DataFrame:
+    """rows with `name`, the sum of `value` over its group's rows up to and with each in ascending order. A window sums inside each range; the ranges before give its start."""
+    table = ranged(rows, group, order, kind)
+    inside = Window.partitionBy(*group, "part")
+    spans = table.groupBy(*group, "part").agg(F.sum(value).alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spans.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("part").alias("__part"), before.alias("__before"))
+    summed = table.withColumn(name, F.sum(value).over(inside.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    return summed.join(starts, [summed["part"] == F.col("__part"), *same]).select(*rows.columns, (F.col(name) + F.col("__before")).alias(name))

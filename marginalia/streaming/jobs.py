@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.numbering import numbered
+from marginalia.operators.numbering import numbered, running_sums
 
 PER_HOUR, PER_ADDRESS, PENDING, ABANDON_S = 30, 2, 20, 150
 KEEP_FINISHED_S, KEEP_DELIVERED_S = 120, 30
@@ -193,3 +193,16 @@ def job_stream(job_events: DataFrame) -> DataFrame:
 
     out = "job_id string, status string, progress double"
     return job_events.groupBy("job_id").applyInPandasWithState(update, out, "status string, progress double", "update", "ProcessingTimeTimeout")
+
+
+def active_jobs(jobs: DataFrame, server: str = "server") -> DataFrame:
+    """server, job_id, active: how many of the server's jobs (server, job_id, starts, ends) run when each starts, itself included; one that ends then doesn't.
+
+    A sweep over starts and ends in order of time: running sums by ranges, so one server's jobs span tasks.
+    """
+    begun = jobs.select(server, "job_id", F.col("starts").alias("at"), F.lit(1).cast("long").alias("step"))
+    ended = jobs.filter("ends > starts").select(server, F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.col("ends").alias("at"), F.lit(-1).cast("long").alias("step"))
+    sums = running_sums(begun.unionByName(ended), [server], ["at", "step"], "step", "sum", "active")
+    # of those that start at once each counts all
+    here = sums.filter("step = 1").groupBy(server, "at").agg(F.max("sum").alias("active"))
+    return begun.join(here, [server, "at"]).select(server, "job_id", "active")

@@ -11,6 +11,7 @@ from marginalia.functions import text as T
 from marginalia.operators import notes as N
 from marginalia.operators import pages as P
 from marginalia.plans import catalogue
+from marginalia.plans import derived as derived  # adds its queries
 
 TABLES = ("documents", "benchmark", "pages", "events")
 
