@@ -21,6 +21,8 @@ GARBLED = "This PDF's text layer is unreadable (its fonts have no character mapp
 SCAN = "No text could be extracted. This PDF looks like a scan or image-only document."
 OCR_TRIED = " OCR was attempted but did not produce readable text."
 OCR_ABSENT = " OCR is not available on this server (install Tesseract to enable it)."
+DAMAGED = "The PDF's pages could not be read; the file is likely damaged."
+BROKEN_PAGES, OCR_CAPPED = " page(s) could not be read and were skipped.", "Only the first {} unreadable pages were OCR'd (MAX_OCR_PAGES)."
 METADATA_KEYS = ("title", "author", "creationDate", "subject")
 
 
@@ -69,7 +71,7 @@ def with_ocr(pages: DataFrame, most: int = MAX_OCR_PAGES) -> DataFrame:
 
     ocr_text is what OCR gave, null where it failed or wasn't there. Of a document's unreadable pages the first `most` may take theirs, if that can be read.
     """
-    scored = P.scored(pages)
+    scored = P.scored(pages.withColumn("text", F.coalesce("text", F.lit(""))))  # a page that couldn't be read has none
     tried = scored.filter("not readable").groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("page_no")), 1, most).alias("tried"))
     good = (F.length(T.stripped(F.col("ocr_text"))) >= P.MIN_CHARS) & (T.text_quality(F.col("ocr_text")) >= P.GARBLED_PAGE)
     done = ~F.col("readable") & F.coalesce(F.array_contains("tried", F.col("page_no")) & good, F.lit(False))
@@ -83,17 +85,19 @@ def final_pages(pages: DataFrame) -> DataFrame:
     return cleaned.withColumn("has_text", (F.length("text") >= P.MIN_CHARS) & ~F.col("still_bad"))
 
 
-def document_status(raw: DataFrame, final: DataFrame, ocr_available: bool) -> DataFrame:
-    """doc, n_pages, n_text, error, warnings: what a document's raw pages (doc, page_no, text) and final pages (has_text, ocr) come to."""
-    garbled = raw.groupBy("doc").agg(F.max(F.length(T.stripped(F.col("text"))) >= P.MIN_CHARS).alias("garbled"))
+def document_status(raw: DataFrame, final: DataFrame, ocr_available: bool, most: int = MAX_OCR_PAGES) -> DataFrame:
+    """doc, n_pages, n_text, error, warnings: what a document's raw pages (doc, page_no, text, null where it couldn't be read) and final pages (has_text, ocr, still_bad) come to."""
+    garbled = raw.groupBy("doc").agg(F.max(F.length(T.stripped(F.coalesce("text", F.lit("")))) >= P.MIN_CHARS).alias("garbled"), F.count_if(F.col("text").isNull()).alias("n_broken"))
     numbers = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("page_no"))))
-    docs = final.groupBy("doc").agg(F.count("*").alias("n_pages"), F.count_if("has_text").alias("n_text"), numbers(~F.col("has_text")).alias("missing"), F.count_if("ocr").alias("n_ocr")).join(garbled, "doc", "left")
+    docs = final.groupBy("doc").agg(F.count("*").alias("n_pages"), F.count_if("has_text").alias("n_text"), numbers(~F.col("has_text")).alias("missing"), F.count_if("ocr").alias("n_ocr"), F.count_if(F.col("ocr") | F.col("still_bad")).alias("n_bad")).join(garbled, "doc", "left")
     hint = OCR_TRIED if ocr_available else OCR_ABSENT
-    error = F.when(F.col("n_text") == 0, F.concat(F.when(F.coalesce("garbled", F.lit(False)), F.lit(GARBLED)).otherwise(F.lit(SCAN)), F.lit(hint)))
+    broken = F.when(F.col("n_broken") > 0, F.concat(F.col("n_broken").cast("string"), F.lit(BROKEN_PAGES)))
+    capped = F.when(F.lit(ocr_available) & (F.col("n_bad") > most), F.lit(OCR_CAPPED.format(most)))
+    error = F.when(F.col("n_broken") == F.col("n_pages"), F.lit(DAMAGED)).when(F.col("n_text") == 0, F.concat(F.when(F.coalesce("garbled", F.lit(False)), F.lit(GARBLED)).otherwise(F.lit(SCAN)), F.lit(hint)))
     shown = F.concat(F.array_join(F.slice("missing", 1, SHOWN_PAGES), ", "), F.when(F.size("missing") > SHOWN_PAGES, F.lit("...")).otherwise(F.lit("")))
     read = F.when(F.col("n_ocr") > 0, F.concat(F.col("n_ocr").cast("string"), F.lit(" page(s) had no usable text layer and were read with OCR; expect occasional recognition errors on those pages.")))
     lost = F.when(F.size("missing") > 0, F.concat(F.size("missing").cast("string"), F.lit(" page(s) had no readable text (blank, image-only or unreadable fonts) and are not covered by the analysis: "), shown, F.lit(".")))
-    return docs.select("doc", "n_pages", "n_text", error.alias("error"), F.when(error.isNull(), F.array_compact(F.array(read, lost))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return docs.select("doc", "n_pages", "n_text", error.alias("error"), F.when(error.isNull(), F.array_compact(F.array(broken, capped, read, lost))).otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
 # ------------------------------------------------------------------ bibliography

@@ -184,10 +184,17 @@ def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = kept(E.final_pages(E.with_ocr(raw)), "final-pages")
     none = every.select("doc", "page_no", F.lit("").alias("heading")).limit(0)
     told = E.without_bibliography(every, none).filter("has_text").select("doc", "page_no", F.col("analysis_text").alias("text"))
+    told = kept(told, "told")
     index = kept(G.page_index(every.filter("has_text")), "index")
-    notes = N.reduced(N.annotate(P.chunks(told), index))
-    docs = every.groupBy("doc").agg(F.count("*").cast("int").alias("page_count"), F.sum(F.octet_length("text")).alias("size_bytes"))
-    docs = docs.withColumns({"filename": F.concat("doc", F.lit(".pdf")), "metadata": F.lit(None).cast("map<string,string>"), "warnings": F.array().cast("array<string>"), "meta": F.create_map(F.lit("model"), F.lit("extractive"))})
+    plan = kept(P.strategies(told), "strategies")
+    # a short document is one chunk; only long ones are cut and their notes merged
+    short = P.chunks(told.join(plan.filter("strategy = 'single-pass'"), "doc", "left_semi"), 2 * P.SINGLE_PASS_CHARS)
+    long = P.chunks(told.join(plan.filter("strategy = 'map-reduce'"), "doc", "left_semi"))
+    chunks = kept(short.unionByName(long), "chunks")
+    notes = N.reduced(N.annotate(chunks, index))
+    counts = chunks.groupBy("doc").agg(F.count("*").cast("string").alias("n_chunks"))
+    docs = every.groupBy("doc").agg(F.count("*").cast("int").alias("page_count"), F.sum(F.octet_length("text")).alias("size_bytes")).join(plan.select("doc", "strategy"), "doc", "left").join(counts, "doc", "left")
+    docs = docs.withColumns({"filename": F.concat("doc", F.lit(".pdf")), "metadata": F.lit(None).cast("map<string,string>"), "warnings": F.array().cast("array<string>"), "meta": F.create_map(F.lit("model"), F.lit("extractive"), F.lit("strategy"), F.coalesce("strategy", F.lit("")), F.lit("chunks"), F.coalesce("n_chunks", F.lit("0")))}).drop("strategy", "n_chunks")
     return R.rendered(V.validate_reports(index, N.drafts(notes, every), docs), "md")
 
 
