@@ -9,8 +9,8 @@ with the largest share of letters under them, and that share is the score.
 
 Fitting maximises the conditional likelihood of label sequences, by AdaGrad,
 on about `TRAINING_DOCS` documents for each language (chosen by a hash of the
-id among the labelled training documents), of each at most `TRAINING_CHARS` characters from a place that a hash chooses. The number of languages in the
-training rows must be at most `MOST_LANGUAGES`, else fitting raises.
+id among the labelled training documents), of each at most `TRAINING_CHARS` characters from a place that a hash chooses. Of more than
+`MOST_LANGUAGES` languages in the training rows the most frequent are learned, and no text is given another.
 
 Words are split at ASCII white space, and those of more than `LONGEST` letters into
 successive pieces of so many, each a word of its own; only letters count for features. A text
@@ -282,11 +282,9 @@ def fit(samples: list[tuple[str, str]]) -> Model:
 
 
 def training_rows(docs: DataFrame, per_language: int = TRAINING_DOCS) -> list[tuple[str, str]]:
-    """About per_language documents of each label among the training rows: those with the smallest hashes of their ids."""
+    """About per_language documents of each label among the training rows: those with the smallest hashes of their ids. Of more than MOST_LANGUAGES labels the most frequent are learned."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_mod("doc_id", 4) != 2))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training rows")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
     share = F.lit(0.0)
@@ -295,7 +293,7 @@ def training_rows(docs: DataFrame, per_language: int = TRAINING_DOCS) -> list[tu
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(1 << 32)
     room = F.greatest(F.length("text") - TRAINING_CHARS, F.lit(0)) + 1
     part = F.substring("text", (F.pmod(F.xxhash64("text"), room) + 1).cast("int"), F.lit(TRAINING_CHARS))
-    chosen = labelled.filter(spread < share).select(part.alias("text"), "lang").limit(2 * per_language * len(counts))
+    chosen = labelled.filter(spread < share).select(part.alias("text"), "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(2 * per_language * len(counts))
     return [(r["text"], r["lang"]) for r in chosen.collect()]
 
 

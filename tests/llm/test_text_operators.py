@@ -144,6 +144,14 @@ PAGE = """<html><head><title>T</title><script>x="<p>no</p>"</script></head><body
 <aside class="sidebar"><h3>Related</h3><ul><li><a href="/x">Other</a></li></ul></aside><form><p>Sign up</p><input name=q></form><footer>&copy; 2020 Example</footer></body>"""
 
 
+def test_the_most_frequent_of_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 5)
+    rows = [(1000 * k + i, f"text {i}", f"l{k}") for k in range(8) for i in range(40 - 4 * k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for _, lang in language_id.training_rows(docs)} == {f"l{k}" for k in range(5)}
+    assert language_id.training_rows(docs) == language_id.training_rows(docs.repartition(3))
+
+
 def test_main_text():
     got = html_extract.extract_pages([PAGE, None, "", "<p>", "plain words only, no markup at all."], html_extract.fitted_model())
     assert got[0] == "Big & new\n\nFirst paragraph of the story, which is long enough to read.\n\nSecond paragraph of the story, with more words, and a stop."
