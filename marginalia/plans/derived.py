@@ -10,6 +10,7 @@ from marginalia.operators import pages as P
 from marginalia.plans.catalogue import NORM_SQL, PAGE_SQL, query
 from marginalia.sources.tables import kept, pages, table
 from marginalia.streaming import jobs as J
+from marginalia.streaming import stateful as ST
 
 #: Quotes of every page: 80 characters of it, said to be on the page before, with the page two before and its own as the section's; and 40 of it turned round, which no page should hold.
 EVIDENCE_SQL = f"""WITH {PAGE_SQL}, n AS (SELECT doc, page_no, {NORM_SQL.format('text')} AS norm FROM p),
@@ -101,3 +102,17 @@ def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.unix_micros(F.col("ts").cast("timestamp"))
     jobs = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("job_id"), starts.alias("starts"), (starts + F.floor(F.col("value") * 60).cast("long") * 1_000_000).alias("ends"))
     return J.active_jobs(jobs, "event_type")
+
+
+#: A user's events are the signs of a job; it is cancelled after a day without one. The last watermark is ten minutes before the newest event.
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'view' THEN 'reading' ELSE 'analyzing' END AS status, least(1.0, value / 100) AS progress, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) > 86400000000 AS late FROM e),
+c AS (SELECT user_id, coalesce(min(i) FILTER (status IN ('done', 'error')), 1000000000000) AS final, coalesce(min(i) FILTER (late), 1000000000000) AS gone FROM g GROUP BY user_id),
+k AS (SELECT g.*, gone, final FROM g JOIN c USING (user_id) WHERE i < gone AND i <= final),
+l AS (SELECT user_id, arg_max(status, i) AS status, max(progress) AS progress, max(t) AS last_seen, any_value(gone) AS gone, any_value(final) AS final FROM k GROUP BY user_id)
+SELECT user_id AS job_id, CASE WHEN status IN ('done', 'error') THEN status WHEN gone < 1000000000000 OR last_seen + 86400000000 < (SELECT max(epoch_us(ts)) - 600000000 FROM events) THEN 'cancelled' ELSE status END AS status, progress, last_seen FROM l""")
+def job_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "reading").otherwise("analyzing")
+    events = stream.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.least(F.lit(1.0), F.col("value") / 100).alias("progress"))
+    return ST.last_jobs(ST.run_once(ST.job_rows(events, 86_400), "jobs"))

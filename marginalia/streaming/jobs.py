@@ -200,9 +200,10 @@ def active_jobs(jobs: DataFrame, server: str = "server") -> DataFrame:
 
     A sweep over starts and ends in order of time: running sums by ranges, so one server's jobs span tasks.
     """
-    begun = jobs.select(server, "job_id", F.col("starts").alias("at"), F.lit(1).cast("long").alias("step"))
-    ended = jobs.filter("ends > starts").select(server, F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.col("ends").alias("at"), F.lit(-1).cast("long").alias("step"))
-    sums = running_sums(begun.unionByName(ended), [server], ["at", "step"], "step", "sum", "active")
+    # ends go before the starts of the same time, but for jobs of no length
+    begun = jobs.select(server, "job_id", F.col("starts").alias("at"), F.lit(1).cast("long").alias("step"), F.lit(1).alias("turn"))
+    ended = jobs.select(server, F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.greatest("starts", "ends").alias("at"), F.lit(-1).cast("long").alias("step"), F.when(F.col("ends") > F.col("starts"), 0).otherwise(2).alias("turn"))
+    sums = running_sums(begun.unionByName(ended), [server], ["at", "turn"], "step", "sum", "active")
     # of those that start at once each counts all
     here = sums.filter("step = 1").groupBy(server, "at").agg(F.max("sum").alias("active"))
     return begun.join(here, [server, "at"]).select(server, "job_id", "active")

@@ -1,6 +1,6 @@
-"""Sessions of a stream with event-time timers, and a stream without repeated deliveries.
+"""Sessions and jobs of a stream with event-time timers, and a stream without repeated deliveries.
 
-Sessions keep one small value for a user, whatever the number of events, in a state store with column families, which stateful() sets for what is started inside it.
+A session or job is one small value for its key, whatever the number of events, in a state store with column families, which stateful() sets for what is started inside it.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marginalia.sources.shared import shared_dir
+from marginalia.streaming.jobs import ABANDON_S, FINAL
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+JOB = "job_id long, status string, progress double, last_seen long"
 SESSION = "user_id long, n_events long, started long, ended long"
 
 
@@ -81,6 +83,50 @@ def last_sessions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "started").agg(F.max("n_events").alias("n_events"), F.max("ended").alias("ended"))
 
 
+class Jobs(StatefulProcessor):
+    """The state of a job: the last status before a final one holds on, progress never falls. A job without a sign for idle_s is cancelled, by a timer once the watermark
+    has passed, or by the event that comes later than that."""
+
+    def __init__(self, idle_s: int):
+        self.idle = idle_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("job", "status string, progress double, last_seen long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, progress, seen = self.state.get() if self.state.exists() else ("queued", 0.0, None)
+        for at, new, done in sorted((x for pdf in rows for x in zip(pdf["at"], pdf["status"], pdf["progress"])), key=lambda x: x[0]):
+            if seen is not None and status not in FINAL and at - seen > self.idle:
+                status = "cancelled"
+            if status not in FINAL:
+                status, progress, seen = new, min(1.0, max(progress, float(done))), int(at)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update((status, progress, seen))
+        if status not in FINAL:
+            self.handle.registerTimer((seen + self.idle) // 1000 + 1)
+        yield pd.DataFrame([(key[0], status, progress, seen)], columns=["job_id", "status", "progress", "last_seen"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, progress, seen = self.state.get()
+        self.state.update(("cancelled", progress, seen))
+        yield pd.DataFrame([(key[0], "cancelled", progress, seen)], columns=["job_id", "status", "progress", "last_seen"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_rows(job_events: DataFrame, idle_s: int = ABANDON_S, late: str = "10 minutes") -> DataFrame:
+    """JOB rows of a stream of events (job_id, ts TIMESTAMP, status, progress), one for each change."""
+    timed = job_events.withWatermark("ts", late).select("job_id", "ts", F.unix_micros("ts").alias("at"), "status", "progress")
+    return timed.groupBy("job_id").transformWithStateInPandas(Jobs(idle_s), JOB, "Append", "EventTime")
+
+
+def last_jobs(rows: DataFrame) -> DataFrame:
+    place = F.struct(F.col("status").isin(*FINAL), "last_seen", "progress")
+    return rows.groupBy("job_id").agg(F.max_by("status", place).alias("status"), F.max("progress").alias("progress"), F.max("last_seen").alias("last_seen"))
+
+
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """A stream's rows without those of a key that came before; a key is forgotten when the watermark has passed it by `late`."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

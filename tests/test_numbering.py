@@ -35,3 +35,12 @@ def test_a_group_spans_many_ranges(spark):
 def test_clashing_names_are_refused(spark):
     with pytest.raises(ValueError):
         numbered(spark.range(3).withColumn("part", F.lit(1)), [], ["id"], "n")
+
+
+def test_active_jobs_by_a_loop(spark):
+    from marginalia.streaming.jobs import active_jobs
+
+    jobs = [("s", i, i * 7 % 40, i * 7 % 40 + i % 9) for i in range(120)] + [("t", 1, 5, 5), ("t", 2, 5, 9), ("t", 3, 9, 10)] + [(None, 1, 0, 3)]
+    df = spark.createDataFrame(jobs, "server string, job_id long, starts long, ends long")
+    want = {(s, j): sum(b[0] == s and (b[2] <= a < b[3] or b[2] == a == b[3]) for b in jobs) for s, j, a, _ in jobs if s is not None}
+    assert {(r["server"], r["job_id"]): r["active"] for r in active_jobs(df).filter("server is not null").collect()} == want

@@ -39,3 +39,11 @@ def test_late_repeats_are_dropped(spark, sf_dir, tmp_path):
     again = events.unionByName(events.filter("event_id % 3 = 0")).unionByName(events.filter("event_id % 9 = 0"))
     got = S.run_once(S.without_repeats(stream_of(spark, again, tmp_path, 3, "ts")), "test")
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in events.collect())
+
+
+def test_jobs_end_by_an_event_or_by_a_timer(spark, tmp_path):
+    minute = 60
+    events = [(1, 0, "reading", 0.1), (1, 2, "analyzing", 0.5), (1, 3, "done", 1.0), (1, 4, "reading", 0.0), (2, 0, "reading", 0.2), (3, 1, "reading", 0.3), (3, 9, "done", 1.0), (4, 38, "reading", 0.4), (5, 40, "queued", 0.0)]
+    df = spark.createDataFrame([(j, (60 + a) * minute, s, p) for j, a, s, p in events], "job_id long, at long, status string, progress double").select("job_id", F.timestamp_seconds("at").alias("ts"), "status", "progress")
+    got = S.last_jobs(S.run_once(S.job_rows(stream_of(spark, df, tmp_path, 3, "ts"), 150, "1 second"), "test")).collect()
+    assert {r["job_id"]: (r["status"], r["progress"]) for r in got} == {1: ("done", 1.0), 2: ("cancelled", 0.2), 3: ("cancelled", 0.3), 4: ("reading", 0.4), 5: ("queued", 0.0)}
