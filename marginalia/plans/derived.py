@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
 from marginalia.operators import grounding as G
 from marginalia.operators import pages as P
 from marginalia.plans.catalogue import NORM_SQL, PAGE_SQL, query
@@ -116,3 +117,51 @@ def job_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "reading").otherwise("analyzing")
     events = stream.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.least(F.lit(1.0), F.col("value") / 100).alias("progress"))
     return ST.last_jobs(ST.run_once(ST.job_rows(events, 86_400), "jobs"))
+
+
+#: Every event says its page and a span behind it; a user's pages are the numbers of the user's views.
+MENTION_SQL = f"""WITH e AS (SELECT event_id, user_id, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events),
+v AS (SELECT user_id, list(DISTINCT CAST(regexp_extract(props, '[0-9]+') AS INTEGER)) AS valid FROM events WHERE event_type = 'view' GROUP BY user_id),
+x AS (SELECT event_id, k, coalesce(list_contains(valid, k), false) AS one, coalesce(list_contains(valid, k) AND list_contains(valid, k + 3), false) AS span FROM e LEFT JOIN v USING (user_id))
+SELECT event_id, 'See ' || CASE WHEN one THEN 'page ' || k ELSE '{T.UNVERIFIED}' END || ' and ' || CASE WHEN span THEN 'pp. ' || k || '-' || (k + 3) ELSE '{T.UNVERIFIED}' END || '.' AS body, CAST(NOT one AS INTEGER) + CAST(NOT span AS INTEGER) AS removed FROM x"""
+
+
+@query(MENTION_SQL)
+def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    valid = e.filter("event_type = 'view'").groupBy("user_id").agg(F.collect_set("k").alias("valid"))
+    body = F.format_string("See page %d and pp. %d-%d.", "k", "k", F.col("k") + 3)
+    rows = e.join(valid, "user_id", "left").select("event_id", T.clean_inline_pages(body, F.coalesce("valid", F.array().cast("array<int>"))).alias("x"))
+    return rows.select("event_id", "x.body", "x.removed")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k FROM events")
+def event_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object in a model's answer: bare, fenced behind thoughts, within prose, or cut off."""
+    n, props = F.col("event_id") % 4, F.col("props")
+    answer = F.when(n == 0, props).when(n == 1, F.concat(F.lit('<think>{"k": 0}</think>\n```json\n'), props, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Here it is: "), props, F.lit(" as asked."))).otherwise(F.substr(props, F.lit(1), F.length(props) - 1))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(T.json_object(answer), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN least(65.0, event_id % 100) WHEN 1 THEN least(65.0, value + 0.5) WHEN 2 THEN least(65.0, floor(value * 100) / 1000 + 0.5) ELSE 10.0 END, 6) AS seconds FROM events")
+def event_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, value = F.col("event_id") % 4, F.col("value")
+    header = F.when(n == 0, (F.col("event_id") % 100).cast("string"))
+    message = F.when(n == 1, F.concat(F.lit("Limit reached, Try again in "), F.format_string("%.2f", value), F.lit("s."))).when(n == 2, F.concat(F.lit("try again in "), F.floor(value * 100).cast("string"), F.lit("ms"))).otherwise(F.lit("no hint"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(T.retry_delay(header, message), 6).alias("seconds"))
+
+
+@query(r"""SELECT page_id, CASE WHEN s = '' THEN 'document' ELSE s END AS stem, CASE WHEN n < 1048576 THEN CAST(CAST(round_even(n / 1024, 0) AS BIGINT) AS VARCHAR) || ' KB' ELSE CAST(CAST(round_even(n / 1048576, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' MB' END AS size
+FROM (SELECT page_id, substring(regexp_replace(regexp_replace(url, '\.pdf$', '', 'i'), '[^\p{L}\p{N}_.-]', '_', 'g'), 1, 80) AS s, strlen(html) * (1 + page_id % 500) AS n FROM pages)""")
+def page_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("html") * (1 + F.col("page_id") % 500)
+    return table(spark, sf_dir, "pages").select("page_id", T.export_stem(F.col("url")).alias("stem"), T.human_size(size).alias("size"))
+
+
+@query("""WITH j AS (SELECT event_type AS server, user_id AS address, CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'queued' ELSE 'analyzing' END AS status FROM events),
+a AS (SELECT server, address, count(*) FILTER (status NOT IN ('done', 'error')) AS active, count(*) FILTER (status = 'queued') AS waiting FROM j GROUP BY server, address)
+SELECT server, CAST(sum(active) AS BIGINT) AS active, CAST(sum(waiting) AS BIGINT) AS waiting, max(active) AS busiest_address FROM a GROUP BY server""")
+def server_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 5
+    status = F.when(n == 0, "done").when(n == 1, "error").when(n == 2, "queued").otherwise("analyzing")
+    return J.counters(table(spark, sf_dir, "events").select(F.col("event_type").alias("server"), F.col("user_id").alias("address"), status.alias("status")))

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from marginalia.operators import extraction as E
 from marginalia.plans import catalogue
