@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch_rows, held, slices, table, tokenizer_path, trim
 
-BLOCK_BYTES, ARROW_ROWS = 8 << 20, 1000
+BLOCK_BYTES, ARROW_ROWS = 4 << 20, 1000
 #: Units that are encoded as one text, and texts at once.
 JOINED_UNITS, ENCODED = 500, 1000
 DUCKDB_MEMORY = "400MB"
