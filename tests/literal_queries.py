@@ -543,7 +543,7 @@ def _validated(spark: SparkSession) -> DataFrame:
 
 
 #: REPORT as it must be rendered.
-MARKDOWN = """# A | B
+RENDERED = """# A | B
 
 ## Document Overview
 
@@ -669,7 +669,7 @@ def validated_sections(spark: SparkSession) -> DataFrame:
     return rows.select("doc", "s.key", F.array_join("s.pages", ",").alias("pages"), "s.supported", F.size("s.evidence").alias("n_quotes"))
 
 
-@sql_query(must_be("doc string, stem string, body string", [("a", "a", MARKDOWN)]))
+@sql_query(must_be("doc string, stem string, body string", [("a", "a", RENDERED)]))
 def report_markdown(spark: SparkSession) -> DataFrame:
     return R.rendered(_report(spark), "md")
 

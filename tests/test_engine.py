@@ -174,7 +174,7 @@ def test_written_reports(spark, tmp_path):
 
     R.write(literal_queries._report(spark), "md", str(tmp_path / "out"))
     text = "".join(f.read_text() for f in (tmp_path / "out" / "stem=a").glob("*.txt"))
-    assert text.rstrip() == literal_queries.MARKDOWN.rstrip()
+    assert text.rstrip() == literal_queries.RENDERED.rstrip()
 
 
 def test_limits_come_from_settings():

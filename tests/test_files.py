@@ -44,7 +44,7 @@ def test_reports_become_files_of_their_stems_or_none(spark, tmp_path):
     files.register(spark)
     report = R.rendered(literal_queries._report(spark), "md").select("stem", "body")
     report.unionByName(report).write.format("report_files").option("path", str(tmp_path / "out")).mode("append").save()
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a-2.md", "a.md"] and (tmp_path / "out" / "a.md").read_text() == literal_queries.MARKDOWN
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a-2.md", "a.md"] and (tmp_path / "out" / "a.md").read_text() == literal_queries.RENDERED
     bad = spark.range(6).repartition(3).select(F.col("id").cast("string").alias("stem"), F.when(F.col("id") == 5, F.raise_error(F.lit("no"))).otherwise(F.lit("body")).cast("string").alias("body"))
     with pytest.raises(Exception):
         bad.write.format("report_files").option("path", str(tmp_path / "none")).mode("append").save()
