@@ -20,9 +20,10 @@ members of buckets:
 
 Proposed pairs whose signatures agree in less than `ESTIMATE` (four standard deviations under the threshold) are
 dropped; all others are verified on whole texts by exact J_P >= `SIMILARITY`. Classes are the connected components of
-verified links, by large-star and small-star rounds on tables. No bucket, class or row is capped. A link can stay
-unfound where its two texts meet in large buckets only and neither is near a hub; `exact=True` then compares, in blocks,
-all members of different classes of each bucket, at a cost that is quadratic in a bucket (the tests compare both with brute force).
+verified links, by large-star and small-star rounds on tables. No bucket, class or row is capped. After the rounds alone a link can stay
+unfound where its two texts meet in large buckets only and neither is near a hub. With `exact=True`, as the query and the pipeline have it, all pairs of
+different classes that share a bucket are then compared in blocks, so no likely pair is left out: texts go only where a member has a likely link, and a task holds two blocks.
+That is quadratic in the members that stay in different classes of one bucket (the tests compare both with brute force).
 
 Defined results: one row for each input row: doc_id, class_id (the least doc_id
 of its class), n_links (links of its text to other texts that were verified to
@@ -51,8 +52,10 @@ COMPONENTS = BANDS * ROWS
 ESTIMATE = 0.7
 #: Members that each member is compared with in the order of signatures, and the rounds of it.
 NEIGHBOURS, ROUNDS = 3, 2
-#: With exact: members of a bucket that are compared with each other in one task.
+#: With exact: members of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK = 1024
+#: Bytes of their texts.
+BLOCK_BYTES = 16 << 20
 #: Keys of nodes or buckets (25 bytes, 16 with a size) that are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Rows of an Arrow batch; one of pairs holds two texts a row.
@@ -216,20 +219,51 @@ def neighbour_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     trim()
 
 
-def block_pairs(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """Of one block or two of a bucket: likely pairs in different classes, each only in the bucket of the first band that it shares."""
+def likely_pairs(bucket: int, i: int, j: int, members: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Of block i and block j of a bucket: each member with the members that are likely links to other classes, likeliest first. A pair comes in the bucket of the first band that it shares alone."""
     low = np.frombuffer(b"".join(members["signature"]), np.uint8).reshape(-1, COMPONENTS)
     bands = np.stack(members["bands"].to_numpy())
-    band = int(np.flatnonzero(bands[0] == key[0])[0])
-    root, block, node = pd.factorize(members["root"])[0], members["block"].to_numpy(), members["node"].tolist()
-    found: list[tuple] = []
-    first, second = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-    for at, i in enumerate(first):
-        rest = second[at + 1 :] if key[1] == key[2] else second
-        rest = rest[root[rest] != root[i]]
-        rest = rest[agreement(low[rest], low[i]) >= ESTIMATE]
-        rest = rest[(bands[rest] == bands[i]).argmax(1) == band]
-        found += [(max(node[i], node[j]), min(node[i], node[j])) for j in rest.tolist()]
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    root, block = pd.factorize(members["root"])[0], members["block"].to_numpy()
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for at, u in enumerate(first):
+        rest = second[at + 1 :] if i == j else second
+        rest = rest[root[rest] != root[u]]
+        close = agreement(low[rest], low[u])
+        rest = rest[np.argsort(-close, kind="stable")][: int((close >= ESTIMATE).sum())]
+        rest = rest[(bands[rest] == bands[u]).argmax(1) == band]
+        if len(rest):
+            yield int(u), rest
+
+
+def block_members(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+    """The members of one block or two that have a likely link to another class."""
+    named = np.zeros(len(members), bool)
+    for u, rest in likely_pairs(*key, members):
+        named[u] = True
+        named[rest] = True
+    return members[named]
+
+
+def block_links(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+    """Verified links that join the classes of one block or two: every likely pair is compared by its whole texts, unless links found before join its classes."""
+    root, node = pd.factorize(members["root"])[0], members["node"].tolist()
+    sets = [weighted_set(t.encode()) for t in members.pop("text")]
+    parent, found = list(range(len(members))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, rest in likely_pairs(*key, members):
+        for v in rest.tolist():
+            a, b = find(root[u]), find(root[v])
+            if a != b and similarity(sets[u], sets[v]) >= SIMILARITY:
+                parent[a] = b
+                found.append((max(node[u], node[v]), min(node[u], node[v])))
+    trim()
     return pd.DataFrame(found, columns=["u", "v"])
 
 
@@ -263,7 +297,11 @@ class Links:
         """Adds the pairs (u, v) with exact similarity of SIMILARITY or more, and joins classes by them; the number of them."""
         pairs, texts = self.scratch.keep(pairs, "pairs"), self.texts
         joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        found = self.scratch.keep(joined.select("u", "v", "text_u", "text_v").mapInArrow(verify_batches, "u binary, v binary"), "links")
+        return self.add(joined.select("u", "v", "text_u", "text_v").mapInArrow(verify_batches, "u binary, v binary"))
+
+    def add(self, links: DataFrame) -> int:
+        """Joins classes by verified links (u, v); the number of them."""
+        found = self.scratch.keep(links, "links")
         if not (n := found.count()) and self.links is not None:
             return 0
         self.links = found if self.links is None else self.links.union(found)
@@ -295,12 +333,16 @@ class Links:
         return self.verify(self.likely(stars).union(near).distinct())
 
     def to_all(self) -> None:
-        sizes = self.shared.select("bucket", "n").distinct()
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rest = self.unsettled().join(sizes, "bucket").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-        rest = rest.select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rest = rest.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(self.nodes, "node")
-        self.verify(rest.groupBy("bucket", "i", "j").applyInPandas(block_pairs, "u binary, v binary").distinct())
+        """Every pair of different classes that shares a bucket, block by block; texts go only to blocks in which they may have links."""
+        lengths = self.texts.select("node", F.octet_length("text").alias("bytes"))
+        rest = self.scratch.keep(self.unsettled().join(lengths, "node"), "rest")
+        blocks = rest.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        dealt = dealt.select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(self.nodes, "node")
+        members = dealt.select("bucket", "i", "j", "block", "node", "root", "bands", "signature")
+        likely = self.scratch.keep(members.groupBy("bucket", "i", "j").applyInPandas(block_members, members.schema), "likely")
+        self.add(likely.join(self.texts, "node").groupBy("bucket", "i", "j").applyInPandas(block_links, "u binary, v binary").distinct())
 
 
 def classified(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -350,4 +392,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), exact=True)

@@ -68,6 +68,18 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert got(df, exact=True) == brute(rows)
 
 
+def test_query_and_pipeline_stage_leave_no_pair_out(spark, tmp_path, monkeypatch):
+    """What the rounds leave apart is compared in blocks. Here no round proposes anything."""
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    monkeypatch.setattr(N.Links, "to_hubs", lambda self: self.verify(spark.createDataFrame([], "u binary, v binary")))
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rows = edited(random.Random(11), 60, 3)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, want = table(spark, str(tmp_path), "documents"), brute(rows)
+    assert got(docs) != want
+    assert sorted((r["doc_id"], r["class_id"]) for r in N.op4_near_dedup(spark, str(tmp_path)).collect()) == want
+
+
 def edited(rng, n, edits):
     """n near copies of one text of 120 words, with 1 to `edits` words changed."""
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
