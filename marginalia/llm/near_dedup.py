@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of docs."""
-    rows = classified(docs)
+    rows = classified(docs, exact=True)
     gone = kept_table(rows.filter("own != root").select("own").distinct(), "gone")
     repeated = kept_table(rows.filter("own = root").groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select("own"), "repeated")
     own = docs.select(F.col("doc_id").cast("long"), "text", F.struct(*docs.columns).alias("row")).select(own_key().alias("own"), "row")

@@ -78,6 +78,7 @@ def test_query_and_pipeline_stage_leave_no_pair_out(spark, tmp_path, monkeypatch
     docs, want = table(spark, str(tmp_path), "documents"), brute(rows)
     assert got(docs) != want
     assert sorted((r["doc_id"], r["class_id"]) for r in N.op4_near_dedup(spark, str(tmp_path)).collect()) == want
+    assert {r["doc_id"] for r in N.keep_one(docs).collect()} == {c for _, c in want}
 
 
 def edited(rng, n, edits):
