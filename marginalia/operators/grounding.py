@@ -185,11 +185,11 @@ def claimed_pages(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """
     spark = claims.sparkSession
     rows = claims.withColumn("list", F.when(F.schema_of_variant("raw").startswith("ARRAY"), F.col("raw")))
-    many = rows.filter("list is not null").lateralJoin(spark.tvf.variant_explode(F.col("list").outer())).select("doc", "claim_id", F.col("value").alias("item"))
-    one = rows.filter(F.col("list").isNull() & F.col("raw").isNotNull() & (F.schema_of_variant("raw") != "VOID")).select("doc", "claim_id", F.col("raw").alias("item"))
-    items = many.unionByName(one).withColumn("numbers", T.page_span(F.col("item")))
-    named = items.select("doc", "claim_id", F.explode("numbers").alias("page_no")).join(pages.select("doc", "page_no", F.lit(1).alias("known")), ["doc", "page_no"], "left")
-    good = named.groupBy("doc", "claim_id").agg(F.array_sort(F.collect_set(F.when(F.col("known") == 1, F.col("page_no")))).alias("pages"), F.count_if(F.col("known").isNull()).alias("unknown"))
-    bad = items.groupBy("doc", "claim_id").agg(F.count_if(F.col("numbers").isNull()).alias("odd"))
-    joined = claims.select("doc", "claim_id").join(good, ["doc", "claim_id"], "left").join(bad, ["doc", "claim_id"], "left")
-    return joined.select("doc", "claim_id", F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), (F.coalesce("unknown", F.lit(0)) + F.coalesce("odd", F.lit(0))).alias("dropped"))
+    many = rows.filter("list is not null").lateralJoin(spark.tvf.variant_explode_outer(F.col("list").outer())).select("doc", "claim_id", F.col("value").alias("item"))
+    one = rows.filter("list is null").select("doc", "claim_id", F.when(F.schema_of_variant("raw") != "VOID", F.col("raw")).alias("item"))
+    # one table of all numbers that are named, with a row for what names none, so each claim meets the pages once and is gathered once
+    numbers = many.unionByName(one).select("doc", "claim_id", F.when(F.col("item").isNotNull(), F.coalesce(T.page_span(F.col("item")), F.array(F.lit(None).cast("int")))).alias("numbers"))
+    named = numbers.select("doc", "claim_id", F.explode_outer("numbers").alias("page_no"), F.col("numbers").isNotNull().alias("said"))
+    met = named.join(pages.select("doc", "page_no", F.lit(1).alias("known")), ["doc", "page_no"], "left")
+    found = F.array_sort(F.collect_set(F.when(F.col("known") == 1, F.col("page_no"))))
+    return met.groupBy("doc", "claim_id").agg(found.alias("pages"), F.count_if(F.col("said") & F.col("known").isNull()).alias("dropped"))
