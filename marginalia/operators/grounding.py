@@ -135,6 +135,20 @@ def pages_with_numbers(index: DataFrame, sought: DataFrame) -> DataFrame:
     return one.unionByName(many.select("doc", "needle", "page_no"))
 
 
+#: Pages that a metric keeps at most.
+METRIC_PAGES = 4
+
+
+def first_runs(index: DataFrame) -> DataFrame:
+    """doc, page_no, norm: each page's runs of digits, points and commas that it is among the METRIC_PAGES first to hold.
+
+    These suffice for the first pages with a number: a page among them is also among the first of the run that holds it.
+    """
+    rows = index.select("doc", "page_no", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit("([0-9.,]+)"), 1))).alias("run"))
+    least = rows.groupBy("doc", "run").agg(F.slice(F.array_sort(F.collect_set("page_no")), 1, METRIC_PAGES).alias("first"))
+    return least.select("doc", "run", F.explode("first").alias("page_no")).groupBy("doc", "page_no").agg(F.array_join(F.collect_list("run"), " ").alias("norm"))
+
+
 def verify_metrics(index: DataFrame, metrics: DataFrame) -> DataFrame:
     """metrics (doc, metric_id, value, cited) with pages and verified.
 
@@ -142,22 +156,25 @@ def verify_metrics(index: DataFrame, metrics: DataFrame) -> DataFrame:
     then all; four pages are kept at most, and an unverified metric keeps what it cited. A value that is a number is looked for in the pages'
     numbers alone, the numbers of others in an inverted index, and only values with words in the whole text.
     """
-    index = kept(index, "index")
+    index, metrics = kept(index, "index"), kept(metrics, "metrics")  # both are read several times
     needle = T.match_form(F.col("value"))
     wanted = metrics.withColumns({"needle": needle, "numbers": T.number_tokens(needle)}).filter("needle != ''")
     sought = kept(wanted.select("doc", "needle", "numbers").distinct(), "values")  # equal values of a document are looked for once
     alone = (F.size("numbers") == 1) & (F.get("numbers", 0) == F.col("needle"))
-    runs = index.withColumn("norm", F.array_join(F.array_distinct(F.regexp_extract_all("norm", F.lit("([0-9.,]+)"), 1)), " ")).filter("norm != ''")
-    places = needle_pages(runs, sought.filter(alone).select("doc", "needle"))
+    places = needle_pages(first_runs(index), sought.filter(alone).select("doc", "needle"))
     said = sought.filter(~alone)
     if said.limit(1).count():
         places = places.unionByName(needle_pages(index, said.select("doc", "needle"))).unionByName(pages_with_numbers(index, said.filter(F.size("numbers") > 0)))
-    places = places.groupBy("doc", "needle").agg(F.array_sort(F.collect_set("page_no")).alias("any"))
-    near = F.filter("any", lambda p: (F.size("cited") == 0) | F.array_contains("cited", p))
-    found = wanted.join(places, ["doc", "needle"]).select("doc", "metric_id", near.alias("near"), "any")
+    places = places.groupBy("doc", "needle").agg(F.slice(F.array_sort(F.collect_set("page_no")), 1, METRIC_PAGES).alias("any"))
+    # cited pages are looked at by their number, so no metric carries all pages that hold its value
+    named = wanted.filter(F.size("cited") > 0).select("doc", "metric_id", "needle", "numbers", F.explode(F.array_distinct("cited")).alias("page_no")).join(index, ["doc", "page_no"])
+    fits = F.contains("norm", "needle") | ((F.size("numbers") > 0) & F.forall("numbers", lambda n: T.has_number(F.col("norm"), n)))
+    own = named.filter(fits).groupBy("doc", "metric_id").agg(F.slice(F.array_sort(F.collect_set("page_no")), 1, METRIC_PAGES).alias("own"))
+    near = F.when(F.size("cited") == 0, F.col("any")).when(F.size("cited") > 0, F.coalesce("own", F.array().cast("array<int>")))
+    found = wanted.join(places, ["doc", "needle"]).join(own, ["doc", "metric_id"], "left").select("doc", "metric_id", near.alias("near"), "any")
     pages = F.when(F.size("near") > 0, F.col("near")).when(F.size("any") > 0, F.col("any")).otherwise(F.col("cited"))
     joined = metrics.join(found, ["doc", "metric_id"], "left")
-    return joined.select(*metrics.columns, F.slice(F.coalesce(pages, F.col("cited")), 1, 4).alias("pages"), (F.coalesce(F.size("any"), F.lit(0)) > 0).alias("verified"), ((F.size("near") == 0) & (F.size("any") > 0)).alias("relocated"))
+    return joined.select(*metrics.columns, F.slice(F.coalesce(pages, F.col("cited")), 1, METRIC_PAGES).alias("pages"), (F.coalesce(F.size("any"), F.lit(0)) > 0).alias("verified"), ((F.size("near") == 0) & (F.size("any") > 0)).alias("relocated"))
 
 
 def drop_fragments(quotes: DataFrame) -> DataFrame:

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from marginalia.operators import grounding as G
 
 
+def test_metrics_keep_first_pages_and_cited_ones(spark):
+    pages = [("d", p, f"a {p % 7} b {100 + p % 3} c{p}") for p in range(1, 41)]
+    metrics = [("d", 1, "3", []), ("d", 2, "101", [40, 22, 7]), ("d", 3, "999", [2]), ("d", 4, "b 102", []), ("d", 5, "102", [1])]
+    index = spark.createDataFrame(pages, "doc string, page_no int, norm string")
+    got = {r["metric_id"]: tuple(r)[4:] for r in G.verify_metrics(index, spark.createDataFrame(metrics, "doc string, metric_id int, value string, cited array<int>")).collect()}
+    holds = lambda v: [p for _, p, t in pages if v in t]
+    assert got[1] == (holds("3")[:4], True, False) and got[4][0] == holds("102")[:4]
+    assert got[2] == ([7, 22, 40], True, False) and got[3][:2] == ([2], False) and got[5] == (holds("102")[:4], True, True)
+    kept = G.first_runs(index).select(F.explode(F.split("norm", " ")).alias("r")).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert kept <= G.METRIC_PAGES
+
+
 def test_claims_are_gathered_once(spark):
     rows = [("d", i, raw) for i, raw in enumerate(['[1, "2-4", null, true, 9]', '"p. 3"', "[]", None, "null", "2.5", "2"])]
     claims = spark.createDataFrame(rows, "doc string, claim_id int, raw string").withColumn("raw", F.parse_json("raw"))
