@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from marginalia.functions import text as T
+from marginalia.operators.numbering import sized
 from marginalia.sources.tables import kept
 
 
@@ -84,21 +88,77 @@ def needle_pages(index: DataFrame, needles: DataFrame, first: bool = False) -> D
     return hits.groupBy("doc", "needle").agg(F.min("page_no").alias("page_no")) if first else hits
 
 
+#: Bytes of a gram, and neighbouring grams of which the least stands for all: any GRAM + WINDOW - 1 bytes have a gram in common with every text that holds them.
+GRAM, WINDOW = 8, 8
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The grams of a text, as hashes, that are the least of any WINDOW neighbours; those of a part of it of GRAM + WINDOW - 1 bytes or more are among them."""
+    if len(text) < GRAM + WINDOW - 1:
+        return np.zeros(0, np.int64)
+    h = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), GRAM)).view(np.uint64).ravel()
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    for step in (1, 2, 4):
+        h = np.minimum(h[:-step], h[step:])
+    return np.unique(h).view(np.int64)
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's columns but the last, and an array of its grams."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, GRAM_ROWS):
+            batch = whole.slice(at, GRAM_ROWS)
+            found = [grams(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "grams"])
+
+
+#: Texts whose grams are made at a time.
+GRAM_ROWS = 500
+
+
+def _grams(rows: DataFrame, text: str) -> DataFrame:
+    """rows without their text, a row for each of its grams."""
+    keys = [c for c in rows.columns if c != text]
+    schema = StructType([*[rows.schema[c] for c in keys], StructField("grams", ArrayType(LongType()))])
+    return rows.select(*keys, text).mapInArrow(_gram_batches, schema).select(*keys, F.explode("grams").alias("gram"))
+
+
+def first_pages(index: DataFrame, needles: DataFrame) -> DataFrame:
+    """doc, needle, page_no: the first page (doc, page_no, norm) of its document that holds each needle (doc, needle; different ones of MIN_QUOTE characters or more).
+
+    A page that holds a needle has all its grams, so a needle of which one is nowhere is on no page, and the rarest leads to the pages to look at.
+    Grams meet by an equi-join, so the work grows with text and needles, not with their product; a page's text is moved once for all needles that may be on it.
+    """
+    asked = kept(_grams(needles.withColumns({"key": F.xxhash64("needle"), "text": F.col("needle")}).select("doc", "key", "text"), "text"), "needle-grams")
+    wanted = asked.select("doc", "gram").distinct()
+    hits = kept(_grams(index.select("doc", "page_no", "norm"), "norm").join(sized(wanted), ["doc", "gram"], "left_semi"), "page-grams")
+    counts = hits.groupBy("doc", "gram").agg(F.count("*").alias("n_pages"))
+    known = asked.join(counts, ["doc", "gram"], "left").groupBy("doc", "key").agg(F.min(F.struct("n_pages", "gram"))["gram"].alias("gram"), F.count_if(F.col("n_pages").isNull()).alias("absent"))
+    tried = known.filter("absent = 0").join(hits, ["doc", "gram"]).select("doc", "key", "page_no")
+    by_page = tried.join(needles.withColumn("key", F.xxhash64("needle")), ["doc", "key"]).groupBy("doc", "page_no").agg(F.collect_list("needle").alias("needles"))
+    held = index.join(by_page, ["doc", "page_no"]).select("doc", "page_no", F.explode(F.filter("needles", lambda n: F.contains("norm", n))).alias("needle"))
+    return held.groupBy("doc", "needle").agg(F.min("page_no").alias("page_no"))
+
+
 def verify_evidence(index: DataFrame, evidence: DataFrame) -> DataFrame:
     """evidence (doc, quote_id, quote, declared, section_pages) with the page that holds the quote and what was done.
 
     The declared page goes first, then the section's, then any. The pages that a quote names are met by their number; only what none of these
-    holds is looked for in its whole document, by needle_pages(). So the work grows with quotes and with text, not with their product.
+    holds is looked for in its whole document, by first_pages(). So the work grows with quotes and with text, not with their product.
     """
     index = kept(index, "index")
-    needles = evidence.withColumn("needle", T.match_form(F.substring("quote", 1, T.MAX_QUOTE))).filter(F.length("needle") >= T.MIN_QUOTE)
+    needles = evidence.select("doc", "quote_id", "declared", "section_pages", T.match_form(F.substring("quote", 1, T.MAX_QUOTE)).alias("needle")).filter(F.length("needle") >= T.MIN_QUOTE)
+    needles = kept(needles, "quote-needles")
     own = F.array_distinct(F.filter(F.concat(F.array("declared"), F.coalesce("section_pages", F.array().cast("array<int>"))), lambda p: p.isNotNull()))
     named = needles.select("doc", "quote_id", "needle", F.posexplode(own).alias("p", "page_no"))
     here = named.join(index, ["doc", "page_no"]).filter(F.contains("norm", "needle")).groupBy("doc", "quote_id").agg(F.min(F.struct("p", "page_no"))["page_no"].alias("page"))
     best = here = kept(here, "named-pages")
     rest = kept(needles.join(here, ["doc", "quote_id"], "left_anti").select("doc", "quote_id", "needle"), "unnamed-quotes")
     if rest.limit(1).count():
-        anywhere = rest.join(needle_pages(index, rest.select("doc", "needle").distinct(), first=True), ["doc", "needle"])
+        anywhere = rest.join(first_pages(index, rest.select("doc", "needle").distinct()), ["doc", "needle"])
         best = here.unionByName(anywhere.select("doc", "quote_id", F.col("page_no").alias("page")))
     action = F.when(F.col("page").isNull(), F.lit("removed")).when(F.col("declared").isNull(), F.lit("added page")).when(F.col("page") != F.col("declared"), F.lit("corrected page")).otherwise(F.lit("kept"))
     return evidence.join(best, ["doc", "quote_id"], "left").withColumn("action", action)

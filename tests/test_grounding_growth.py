@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from marginalia.operators import grounding as G
 
 
+def test_quotes_meet_pages_by_grams(spark, monkeypatch):
+    """No document's needles are dealt out to all its pages, and the first page is that of a plain search."""
+    monkeypatch.setattr(G, "needle_pages", lambda *a, **k: pytest.fail("needles times pages"))
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé漢") for _ in range(rng.randint(1, 6)))
+    pages = [(d, p, " ".join(word() for _ in range(60))) for d in "xy" for p in range(1, 21)]
+    quotes, want = [], {}
+    for k in range(200):
+        doc, _, text = rng.choice(pages)
+        at = rng.randrange(len(text) - 60)
+        quote = text[at : at + rng.randint(15, 50)].strip() if k % 2 else " ".join(word() for _ in range(8))
+        if len(quote) >= 15:
+            quotes.append((doc, k, quote, None, []))
+            want[k] = min((p for d, p, t in pages if d == doc and quote in t), default=None)
+    index = spark.createDataFrame(pages, "doc string, page_no int, norm string")
+    found = G.verify_evidence(index, spark.createDataFrame(quotes, "doc string, quote_id int, quote string, declared int, section_pages array<int>"))
+    assert {r["quote_id"]: r["page"] for r in found.collect()} == want and any(want.values()) and None in want.values()
+
+
 def test_metrics_keep_first_pages_and_cited_ones(spark):
     pages = [("d", p, f"a {p % 7} b {100 + p % 3} c{p}") for p in range(1, 41)]
     metrics = [("d", 1, "3", []), ("d", 2, "101", [40, 22, 7]), ("d", 3, "999", [2]), ("d", 4, "b 102", []), ("d", 5, "102", [1])]
