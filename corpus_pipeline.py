@@ -40,6 +40,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language", language_stage), ("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
+#: Stages whose result is a table that they have written.
+WRITTEN = {"language", "decontamination"}
+
 #: No SQL: the classifier, the signatures and the tokenizer can't be written in it.
 ORACLE_SQL = None
 
@@ -47,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = kept_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stage(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = kept_table(docs, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,16 +71,25 @@ class Scratch:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch that goes to a worker (a longer row is a batch of its own), and its rows unless a caller names fewer.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+
+
 @contextlib.contextmanager
-def batch_rows(spark: SparkSession, n: int):
-    """Tables kept inside are made with at most n rows in an Arrow batch, so that batches of long texts stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
+def batch_rows(spark: SparkSession, n: int = BATCH_ROWS):
+    """Tables kept inside are made with about BATCH_BYTES and at most n rows in an Arrow batch, so that batches of long texts stay small.
+
+    A whole batch stands in the executor's memory outside the heap and in the worker, and what large ones leave behind there isn't given back.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table, texts_of, trim
+from .common import batch_rows, kept_table, new_path, slices, table, texts_of, trim
 
 Q, EDIT_RATE, LEAST_CHARS = 10, 0.07, 32
 #: Characters of the benchmark in one index.
@@ -224,8 +224,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak nothing, with all their columns."""
-    return reduce(lambda df, x: df.mapInArrow(clean_batches(x), docs.schema), indexes(benchmark), docs)
+    """A table of the rows of docs that leak nothing, with all their columns."""
+    with batch_rows(docs.sparkSession):
+        return kept_table(reduce(lambda df, x: df.mapInArrow(clean_batches(x), docs.schema), indexes(benchmark), docs), "clean")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

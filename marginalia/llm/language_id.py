@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, doc_mod, held, mix, slices, table, texts_of, trim
+from .common import CACHE_ENTRIES, batch_rows, doc_mod, held, kept_table, mix, slices, table, texts_of, trim
 
 #: Bounds of the training sample: documents for each language, words taken as one sequence, sequences in all.
 TRAINING_DOCS, TRAINING_CHARS, SEQUENCE, SEQUENCES = 300, 20_000, 40, 6000
@@ -336,12 +336,13 @@ def keep_batches(model, least: float):
 
 
 def keep(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs (doc_id, text, lang) in a language with a score of least or more, with all their columns.
+    """A table of the rows of docs (doc_id, text, lang) in a language with a score of least or more, with all their columns.
 
     Rejected are texts without a letter and those in which no language has that share.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs))
-    return docs.mapInArrow(keep_batches(model, least), docs.schema)
+    with batch_rows(docs.sparkSession):
+        return kept_table(docs.mapInArrow(keep_batches(model, least), docs.schema), "languages")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

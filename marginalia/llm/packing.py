@@ -8,7 +8,7 @@ steps. Packing runs in groups of documents (`GROUP_DOCS` at most on average,
 dealt by a hash of the piece and of the input partition that it comes from, so that neither one id nor one repeated row fills a group), so memory
 is bounded and the number of groups follows the input; each group leaves few open sequences.
 
-Only lengths and checksums travel: texts are tokenised where they are read.
+Only lengths and checksums travel: texts are tokenised where they are read, in small batches.
 
 Defined results: a null or empty text is one piece, the end id; repeated rows
 are packed as often as they occur; an empty table gives an empty table; other
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ENCODER_BYTES, crc, encoder, slices, table, texts_of, tokenizer_path, trim
+from .common import ENCODER_BYTES, batch_rows, crc, encoder, kept_table, slices, table, texts_of, tokenizer_path, trim
 
 WINDOW, END_ID = 2048, 1
 #: Documents that are packed together, on average.
@@ -128,6 +128,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces_batches(tokenizer, end_id, window), PIECES)
     grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)).cast("long"))
+    with batch_rows(docs.sparkSession):
+        grouped = kept_table(grouped, "pieces")
     return grouped.groupBy("pack_group").applyInPandas(pack_group(window), PACKED)
 
 
