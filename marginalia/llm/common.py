@@ -121,19 +121,9 @@ def held(owner, make):
     return _HELD[owner]
 
 
-class HashedWords(dict):
-    """Maps a word's bytes to 64 bits, with a bounded memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.split()
-    return np.fromiter(map(held("words", HashedWords).__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

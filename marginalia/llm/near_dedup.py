@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_rows, kept_table, mix, shingle_hashes, slices, table, texts_of, trim, word_hashes
+from .common import BATCH_BYTES, Scratch, batch_rows, kept_table, mix, shingle_hashes, slices, table, texts_of, trim, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -56,35 +56,61 @@ NEIGHBOURS, ROUNDS = 3, 2
 BLOCK = 1024
 #: Bytes of their texts.
 BLOCK_BYTES = 16 << 20
+#: What names one block or two.
+GROUP = ["bucket", "i", "j"]
 #: Keys of nodes or buckets (25 bytes, 16 with a size) that are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Rows of an Arrow batch; one of pairs holds two texts a row.
 BATCH_ROWS = 1000
+#: Bytes of text that are signed together, and arrivals that are drawn at a time: what a processor's own memory holds.
+SIGN_BYTES, ARRIVALS = 256 << 10, 1 << 14
 
 
-def weighted_set(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    elements, counts = np.unique(shingle_hashes(word_hashes(text or b""), SHINGLE), return_counts=True)
+def weighted(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    elements, counts = np.unique(windows, return_counts=True)
     return elements, 1 + np.log(counts)
 
 
+def weighted_set(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return weighted(shingle_hashes(word_hashes(text or b""), SHINGLE))
+
+
+def weighted_sets(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """weighted_set of each text; windows are hashed over all texts at once, and those across two texts left out."""
+    words = [word_hashes(t or b"") for t in texts]
+    windows, ends = shingle_hashes(np.concatenate(words), SHINGLE), np.cumsum([len(w) for w in words])
+    return [weighted(windows[end - len(w) : end - SHINGLE + 1] if len(w) >= SHINGLE else shingle_hashes(w, SHINGLE)) for w, end in zip(words, ends.tolist())]
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS) -> np.ndarray:
-    """len(sets) x m: for each component the element that arrives first. Sets must not be empty."""
+    """len(sets) x m: for each component the element that arrives first. Sets must not be empty.
+
+    Elements draw several arrivals at a time once many are past, so that a text of few elements takes few turns;
+    those drawn beyond the last component's first win nothing.
+    """
     sizes = [len(e) for e, _ in sets]
     element, weight = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     first, winner = np.full(len(sets) * m, np.inf), np.zeros(len(sets) * m, np.uint64)
-    time, arrival = np.zeros(len(element)), 0
+    time, arrival, latest = np.zeros(len(element)), 0, np.empty(len(sets))
     while len(element):
-        arrival += 1
-        h = mix(element + np.uint64((arrival * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
-        cell = row * m + (mix(h ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(m)).astype(np.int64)
-        early = time < first[cell]
-        at, t, e = cell[early], time[early], element[early]
+        n = max(1, min(arrival // 4, ARRIVALS // len(element)))
+        turns = np.arange(arrival + 1, arrival + n + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        arrival += n
+        h = mix(element + turns)
+        gaps = np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
+        times = np.subtract.accumulate(np.concatenate([time[None], gaps]))[1:]
+        component = mix(h ^ np.uint64(0xD6E8FEB86659FD93))
+        component -= component // np.uint64(m) * np.uint64(m)
+        cell = row * m + component.astype(np.int64)
+        early = times < first[cell]
+        at, t, e = cell[early], times[early], np.broadcast_to(element, cell.shape)[early]
         np.minimum.at(first, at, t)
         won = first[at] == t
         winner[at[won]] = e[won]
-        active = time < first.reshape(-1, m).max(1)[row]
+        time, live = times[-1], row[np.flatnonzero(np.diff(row, prepend=-1))]
+        latest[live] = first.reshape(-1, m)[live].max(1)
+        active = time < latest[row]
         if not active.all():
             element, weight, row, time = element[active], weight[active], row[active], time[active]
     return winner.reshape(-1, m)
@@ -138,23 +164,25 @@ def text_of(key: Column) -> Column:
 def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bands and low bytes of the signature; null for a text without words."""
     for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = [weighted_set(t) for t in texts_of(batch, "text")]
-            full = [i for i, s in enumerate(sets) if len(s[0])]
-            bands: list = [None] * len(sets)
-            low: list = [None] * len(sets)
+        bands, low = [], []
+        for batch in slices(whole, "text", SIGN_BYTES):
+            sets = weighted_sets(texts_of(batch, "text"))
+            full = [len(bands) + i for i, s in enumerate(sets) if len(s[0])]
+            bands += [None] * len(sets)
+            low += [None] * len(sets)
             if full:
-                signed = signatures([sets[i] for i in full])
+                signed = signatures([s for s in sets if len(s[0])])
                 for i, keys, data in zip(full, bucket_keys(signed), (signed & np.uint64(255)).astype(np.uint8)):
                     bands[i], low[i] = keys, data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "own", "bands", "signature"])
-            del sets, bands, low
+            del sets
+        yield pa.RecordBatch.from_arrays([whole.column("doc_id"), whole.column("own"), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "own", "bands", "signature"])
+        del bands, low
     trim()
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of signatures' low bytes."""
-    return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
+    """Estimated similarity of signatures' low bytes; fewer than 256 components, so that a byte counts them."""
+    return ((a == b).view(np.uint8).sum(-1, dtype=np.uint8) / COMPONENTS - 1 / 256) / (1 - 1 / 256)
 
 
 def likely_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,52 +247,101 @@ def neighbour_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     trim()
 
 
-def likely_pairs(bucket: int, i: int, j: int, members: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Of block i and block j of a bucket: each member with the members that are likely links to other classes, likeliest first. A pair comes in the bucket of the first band that it shares alone."""
-    low = np.frombuffer(b"".join(members["signature"]), np.uint8).reshape(-1, COMPONENTS)
-    bands = np.stack(members["bands"].to_numpy())
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
-    root, block = pd.factorize(members["root"])[0], members["block"].to_numpy()
-    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    for at, u in enumerate(first):
-        rest = second[at + 1 :] if i == j else second
-        rest = rest[root[rest] != root[u]]
-        close = agreement(low[rest], low[u])
-        rest = rest[np.argsort(-close, kind="stable")][: int((close >= ESTIMATE).sum())]
-        rest = rest[(bands[rest] == bands[u]).argmax(1) == band]
-        if len(rest):
-            yield int(u), rest
-
-
-def block_members(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """The members of one block or two that have a likely link to another class."""
-    named = np.zeros(len(members), bool)
-    for u, rest in likely_pairs(*key, members):
-        named[u] = True
-        named[rest] = True
-    return members[named]
-
-
-def block_links(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """Verified links that join the classes of one block or two: every likely pair is compared by its whole texts, unless links found before join its classes."""
-    root, node = pd.factorize(members["root"])[0], members["node"].tolist()
-    sets = [weighted_set(t.encode()) for t in members.pop("text")]
-    parent, found = list(range(len(members))), []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, rest in likely_pairs(*key, members):
-        for v in rest.tolist():
-            a, b = find(root[u]), find(root[v])
-            if a != b and similarity(sets[u], sets[v]) >= SIMILARITY:
-                parent[a] = b
-                found.append((max(node[u], node[v]), min(node[u], node[v])))
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of (bucket, i, j), as many whole groups at a time as end in a batch."""
+    rest, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in GROUP])
+        cuts = np.flatnonzero((key != np.column_stack([key[:, 0] if last is None else last, key[:, :-1]])).any(0))
+        last = key[:, -1]
+        if len(cuts):
+            cut = int(cuts[-1])
+            if rest or cut:
+                yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest, batch = [], batch.slice(cut)
+        rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+class Blocks:
+    """Members of whole groups, each group one block or two of a bucket, in their order."""
+
+    def __init__(self, members: pa.Table):
+        column = {c: members.column(c).combine_chunks() for c in (*GROUP, "block", "root", "bands", "signature")}
+        self.key = np.stack([column[c].to_numpy() for c in GROUP])
+        self.ends = [*(np.flatnonzero((self.key[:, 1:] != self.key[:, :-1]).any(0)) + 1).tolist(), members.num_rows]
+        self.block, self.root = column["block"].to_numpy(), column["root"].dictionary_encode().indices.to_numpy()
+        self.bands = column["bands"].flatten().to_numpy().reshape(-1, BANDS)
+        self.low = np.frombuffer(b"".join(column["signature"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        return zip([0, *self.ends], self.ends)
+
+    def likely_pairs(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the members of its group that are likely links to other classes, likeliest first. A pair comes in the bucket of the first band that it shares alone."""
+        (bucket, i, j), block = self.key[:, start], self.block[start:end]
+        band = int(np.flatnonzero(self.bands[start] == bucket)[0])
+        first, second = start + np.flatnonzero(block == i), start + np.flatnonzero(block == j)
+        for at, u in enumerate(first.tolist()):
+            rest = second[at + 1 :] if i == j else second
+            rest = rest[self.root[rest] != self.root[u]]
+            if not len(rest):
+                continue
+            close = agreement(self.low[rest], self.low[u])
+            rest = rest[np.argsort(-close, kind="stable")][: int((close >= ESTIMATE).sum())]
+            rest = rest[(self.bands[rest] == self.bands[u]).argmax(1) == band]
+            if len(rest):
+                yield u, rest
+
+
+def block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of blocks that have a likely link to another class."""
+    for members in whole_groups(batches):
+        blocks, named = Blocks(members), np.zeros(members.num_rows, bool)
+        for group in blocks.groups():
+            for u, rest in blocks.likely_pairs(*group):
+                named[u] = True
+                named[rest] = True
+        yield from members.filter(pa.array(named)).to_batches()
+        del members, blocks
+    trim()
+
+
+def class_of(joined: dict[int, int], root: int) -> int:
+    """The class that a root's class has been joined to."""
+    while root in joined:
+        up = joined[root]
+        joined[root] = joined.get(up, up)
+        root = up
+    return root
+
+
+def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links that join the classes of blocks: every likely pair is compared by its whole texts, unless links found before join its classes.
+
+    Memory is given back once a task and after large groups, since that takes longer than comparing a small one.
+    """
+    for members in whole_groups(batches):
+        blocks, node, size = Blocks(members), members.column("node").to_pylist(), members.nbytes
+        found: list[tuple[bytes, bytes]] = []
+        for start, end in blocks.groups():
+            sets = [weighted_set(t) for t in members.column("text").slice(start, end - start).cast(pa.large_binary()).to_pylist()]
+            joined: dict[int, int] = {}
+            for u, rest in blocks.likely_pairs(start, end):
+                for v in rest.tolist():
+                    a, b = class_of(joined, int(blocks.root[u])), class_of(joined, int(blocks.root[v]))
+                    if a != b and similarity(sets[u - start], sets[v - start]) >= SIMILARITY:
+                        joined[a] = b
+                        found.append((max(node[u], node[v]), min(node[u], node[v])))
+            del sets
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        del members, blocks, node
+        if size > 2 * BATCH_BYTES:
+            trim()
     trim()
-    return pd.DataFrame(found, columns=["u", "v"])
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -341,8 +418,9 @@ class Links:
         dealt = dealt.select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(self.nodes, "node")
         members = dealt.select("bucket", "i", "j", "block", "node", "root", "bands", "signature")
-        likely = self.scratch.keep(members.groupBy("bucket", "i", "j").applyInPandas(block_members, members.schema), "likely")
-        self.add(likely.join(self.texts, "node").groupBy("bucket", "i", "j").applyInPandas(block_links, "u binary, v binary").distinct())
+        grouped = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+        likely = self.scratch.keep(grouped(members).mapInArrow(block_members, members.schema), "likely")
+        self.add(grouped(likely.join(self.texts, "node")).select(*members.columns, "text").mapInArrow(block_links, "u binary, v binary").distinct())
 
 
 def classified(docs: DataFrame, exact: bool = False) -> DataFrame:

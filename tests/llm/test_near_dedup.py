@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from marginalia.llm import near_dedup as N
 from marginalia.llm.common import table
@@ -116,6 +117,59 @@ def test_pairs_grow_with_members(spark, monkeypatch):
     assert made[1] / 900 < 1.3 * made[0] / 300, made
 
 
+def test_short_texts_take_few_turns(monkeypatch):
+    """A text of one window draws over a thousand arrivals; each turn of one costs as much as a turn of many."""
+    turns, mix = [], N.mix
+    monkeypatch.setattr(N, "mix", lambda x: turns.append(1) or mix(x))
+    sets = [N.weighted_set(b"one two"), N.weighted_set(b"a b c d e f g"), N.weighted_set(b" ".join(b"w%d" % i for i in range(500)))]
+    together = N.signatures(sets)
+    assert len(turns) < 200
+    for one, row in zip(sets, together):  # the arrivals are the same ones, however many are drawn at a time
+        monkeypatch.setattr(N, "ARRIVALS", 1)
+        assert (N.signatures([one])[0] == row).all()
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    texts = [b"", None, b"a", b"a b c d", b"a b c d e", b" \n", b"x y x y x y x y x y", b"a b c d e f"]
+    for got_set, text in zip(N.weighted_sets(texts), texts, strict=True):
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(got_set, N.weighted_set(text)))
+
+
+def test_blocks_come_in_batches_and_give_memory_back_once(monkeypatch):
+    """Many small groups and one large one, whose rows come in several batches."""
+    trims = []
+    monkeypatch.setattr(N, "trim", lambda: trims.append(1))
+    rng, rows = random.Random(7), []
+    for g, n in enumerate([2] * 40 + [30] + [3] * 40):
+        texts = [t for _, t in edited(rng, n, 2)]
+        signed = N.signatures([N.weighted_set(t.encode()) for t in texts])
+        keys, low = N.bucket_keys(signed), (signed & np.uint64(255)).astype(np.uint8)
+        keys[:, 0] = g
+        blocks = 2 if g % 2 else 1
+        rows += [(g, 0, blocks - 1, at % blocks, b"%d-%d" % (g, at), b"%d-%d" % (g, at), keys[at].tolist(), low[at].tobytes(), t) for at, t in enumerate(texts)]
+    schema = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("node", pa.binary()), ("root", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("text", pa.string())])
+    members = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    want = set()
+    for g in {r[0] for r in rows}:
+        group = [r for r in rows if r[0] == g]
+        want |= {frozenset((a[4], b[4])) for a in group for b in group if a[4] < b[4] and (g % 2 == 0 or a[3] != b[3]) and N.similarity(N.weighted_set(a[8].encode()), N.weighted_set(b[8].encode())) >= N.SIMILARITY}
+
+    def classes(pairs):
+        least = {r[4]: r[4] for r in rows}
+        for _ in rows:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    for size in (1, 7, 1000):
+        del trims[:]
+        found = [pair for batch in N.block_links(iter(members.to_batches(max_chunksize=size))) for pair in zip(*(c.to_pylist() for c in batch.columns))]
+        assert {frozenset(p) for p in found} <= want and classes(found) == classes([tuple(w) for w in want])
+        assert len(trims) == 1
+        named = [n for batch in N.block_members(iter(members.to_batches(max_chunksize=size))) for n in batch.column("node").to_pylist()]
+        assert set().union(*want) <= set(named) and len(named) == len(set(named))
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
