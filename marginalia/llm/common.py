@@ -105,8 +105,13 @@ _HELD: dict = {}
 
 
 def trim() -> None:
-    """Gives freed memory back; else it stays with the worker. Every function of batches ends with it, so that a worker starts the next task small."""
+    """Gives freed memory back; else it stays with the worker. Every function of batches ends with it, so that a worker starts the next task small.
+
+    What a worker has imported stays: after the first time it isn't searched again, which would take longer than a small task.
+    """
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)

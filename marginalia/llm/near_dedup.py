@@ -363,7 +363,7 @@ class Links:
         # a text's own row is the least one that has it, so copies are left behind before anything is shuffled
         picked = docs.withColumn("node", own_key()).join(wanted, "node", "left_semi")
         self.texts = scratch.keep(picked.groupBy("node").agg(F.first("text").alias("text")), "texts")
-        self.links = self.roots = None
+        self.links = self.roots = self.open = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         low = self.nodes.select("node", "signature")
@@ -383,7 +383,7 @@ class Links:
             return 0
         self.links = found if self.links is None else self.links.union(found)
         known = found if self.roots is None else found.union(self.roots)
-        self.roots = self.scratch.keep(components(known, self.scratch), "roots")
+        self.roots, self.open = self.scratch.keep(components(known, self.scratch), "roots"), None
         return n
 
     def to_hubs(self) -> None:
@@ -392,10 +392,13 @@ class Links:
         self.verify(self.likely(stars))
 
     def unsettled(self) -> DataFrame:
-        """bucket, node, met, root: members of buckets that hold more than one class."""
+        """bucket, node, met, root: members of buckets that hold more than one class; made once for the same classes."""
+        if self.open is not None:
+            return self.open
         placed = self.met.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         still = self.scratch.keep(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket"), "open")
-        return self.scratch.keep(placed.select("bucket", "node", "met", "root").join(still, "bucket"), "unsettled")
+        self.open = self.scratch.keep(placed.select("bucket", "node", "met", "root").join(still, "bucket"), "unsettled")
+        return self.open
 
     def to_neighbours(self, turn: int) -> int:
         members, keep = self.unsettled(), self.scratch.keep

@@ -1,12 +1,13 @@
 """Near duplicates against all pairs."""
 
+import gc
 import random
 
 import numpy as np
 import pyarrow as pa
 
 from marginalia.llm import near_dedup as N
-from marginalia.llm.common import table
+from marginalia.llm.common import table, trim
 
 
 def brute(rows):
@@ -170,6 +171,20 @@ def test_blocks_come_in_batches_and_give_memory_back_once(monkeypatch):
         assert set().union(*want) <= set(named) and len(named) == len(set(named))
 
 
+def test_unsettled_members_are_made_once_for_the_same_classes(spark, monkeypatch):
+    made, keep = [], N.Scratch.keep
+    monkeypatch.setattr(N.Scratch, "keep", lambda self, df, name: made.append(name) or keep(self, df, name))
+    rows = edited(random.Random(5), 40, 30)  # they share buckets, but a round soon finds no more links
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), exact=True) == brute(rows)
+    assert made.count("unsettled") <= made.count("roots")
+
+
+def test_worker_searches_its_imports_once():
+    trim()
+    assert gc.get_freeze_count()
+    gc.unfreeze()
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
