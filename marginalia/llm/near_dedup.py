@@ -16,11 +16,11 @@ members of buckets:
 1. every member with its bucket's hub, the member that meets most others in all its buckets, as an original meets its copies;
 2. then, in buckets whose members are still in different classes, every member with the hub of the largest
    class beside the first hub's, and with its `NEIGHBOURS` neighbours of other classes in the order of their signatures,
-   each time from another component on; up to `ROUNDS` times, and only as long as a round finds links.
+   each time from another component on; up to `ROUNDS` times, and only as long as a round finds links (with `exact=True`, a share of `WORTH`).
 
 Proposed pairs whose signatures agree in less than `ESTIMATE` (four standard deviations under the threshold) are
 dropped; all others are verified on whole texts by exact J_P >= `SIMILARITY`. Classes are the connected components of
-verified links, by large-star and small-star rounds on tables. No bucket, class or row is capped. After the rounds alone a link can stay
+verified links, by rounds on tables (one aggregation each). No bucket, class or row is capped. After the rounds alone a link can stay
 unfound where its two texts meet in large buckets only and neither is near a hub. With `exact=True`, as the query and the pipeline have it, all pairs of
 different classes that share a bucket are then compared in blocks, so no likely pair is left out: texts go only where a member has a likely link, and a task holds two blocks.
 That is quadratic in the members that stay in different classes of one bucket (the tests compare both with brute force).
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +53,16 @@ COMPONENTS = BANDS * ROWS
 ESTIMATE = 0.7
 #: Members that each member is compared with in the order of signatures, and the rounds of it.
 NEIGHBOURS, ROUNDS = 3, 2
+#: With exact: the share of a round's pairs that must be links for another round before the blocks; fewer hardly spare them work.
+WORTH = 0.01
 #: With exact: members of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK = 1024
 #: Bytes of their texts.
 BLOCK_BYTES = 16 << 20
 #: What names one block or two.
 GROUP = ["bucket", "i", "j"]
-#: Keys of nodes or buckets (25 bytes, 16 with a size) that are broadcast; more are joined by a shuffle.
-BROADCAST_NODES = 500_000
+#: Keys of nodes (KEY bytes) that are broadcast, or fewer rows that are wider; more are joined by a shuffle.
+BROADCAST_NODES, KEY = 500_000, 25
 #: Rows of an Arrow batch; one of pairs holds two texts a row.
 BATCH_ROWS = 1000
 #: Bytes of text that are signed together, and arrivals that are drawn at a time: what a processor's own memory holds.
@@ -139,7 +142,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (xs[last[both]] / x[both] + ys[last[both]] / y[both])).sum())
 
 
-SIGNED = "doc_id long, own binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, own binary, bytes long, bands array<long>, signature binary"
 #: Bytes of a node's key: whether the id is null, the id in an order of bytes, the text's hash.
 HASH = 16
 _SIGN = -(1 << 63)
@@ -162,7 +165,7 @@ def text_of(key: Column) -> Column:
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands and low bytes of the signature; null for a text without words."""
+    """Bytes of the text, bands and low bytes of the signature; the last two null for a text without words."""
     for whole in batches:
         bands, low = [], []
         for batch in slices(whole, "text", SIGN_BYTES):
@@ -175,7 +178,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, keys, data in zip(full, bucket_keys(signed), (signed & np.uint64(255)).astype(np.uint8)):
                     bands[i], low[i] = keys, data.tobytes()
             del sets
-        yield pa.RecordBatch.from_arrays([whole.column("doc_id"), whole.column("own"), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "own", "bands", "signature"])
+        columns = {"doc_id": whole.column("doc_id"), "own": whole.column("own"), "bytes": pc.binary_length(whole.column("text")).cast(pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "signature": pa.array(low, pa.binary())}
+        yield pa.RecordBatch.from_pydict(columns)
         del bands, low
     trim()
 
@@ -209,23 +213,22 @@ def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root: for every node of edges (u, v) the least node of its component, by large-star and small-star rounds.
+    """node, root: for every node of edges (u, v) that isn't the least of its component the least one.
 
-    Edges point from the greater node to the lesser. Large-star points u past v to v's own least neighbour; small-star joins what u points to.
-    A node with many neighbours is a v, so the join by v is of two tables, whose shuffle Spark can split.
+    Edges point from the greater node to the lesser, and u's least v is its parent. In each round an edge to the parent moves on to the parent's parent,
+    and any other edge becomes one from v to that. So each edge stays one edge, components stay as they are, and paths to the roots shorten by half.
+    Only parents are aggregated; the joins by u are of two tables, of which one is broadcast or else shuffled, which Spark can split.
     """
-    edges = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    before = None
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = now
-        least = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m"), "least")
-        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        pointed = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = scratch.keep(small.select(pointed.alias("e")).select("e.u", "e.v").filter("u != v").distinct(), "edges")
+        parents = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("last")), "parents")
+        small = parents.count() <= BROADCAST_NODES * KEY // (3 * KEY)
+        near = F.broadcast if small else lambda df: df
+        up = parents.join(near(parents.select(F.col("u").alias("m"), F.col("m").alias("up"))), "m", "left")
+        if not up.filter("m != last or up is not null").limit(1).count():
+            return parents.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        up = up.select("u", "m", F.coalesce("up", "m").alias("up"))
+        edges = scratch.keep(edges.join(near(up), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("up").alias("v")), "edges")
 
 
 def neighbour_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,7 +308,7 @@ def block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for u, rest in blocks.likely_pairs(*group):
                 named[u] = True
                 named[rest] = True
-        yield from members.filter(pa.array(named)).to_batches()
+        yield from members.select([*GROUP, "block", "node", "root"]).filter(pa.array(named)).to_batches()
         del members, blocks
     trim()
 
@@ -344,9 +347,9 @@ def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+def sized(df: DataFrame, width: int = KEY) -> DataFrame:
+    """df, to be broadcast if its rows of so many bytes take no more than BROADCAST_NODES keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES * KEY // width else df
 
 
 class Links:
@@ -354,26 +357,35 @@ class Links:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch):
         self.scratch = scratch
-        members = nodes.select("node", F.explode("bands").alias("bucket"))
+        members = nodes.select("node", "bytes", F.explode("bands").alias("bucket"))
         sizes = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        self.shared = scratch.keep(members.join(sized(sizes), "bucket"), "buckets")
-        met = scratch.keep(self.shared.groupBy("node").agg(F.sum("n").alias("met")), "met")
-        self.met, wanted = self.shared.join(met, "node"), sized(met.select("node"))
+        shared = members.join(sized(sizes), "bucket")
+        met = scratch.keep(shared.groupBy("node").agg(F.sum("n").alias("met")), "met")
+        self.met, wanted = scratch.keep(shared.drop("n").join(sized(met, KEY + 8), "node"), "buckets"), sized(met.select("node"))
         self.nodes = scratch.keep(nodes.join(wanted, "node", "left_semi"), "members")
+        self.low = sized(self.nodes.select("node", "signature"), KEY + COMPONENTS)
         # a text's own row is the least one that has it, so copies are left behind before anything is shuffled
         picked = docs.withColumn("node", own_key()).join(wanted, "node", "left_semi")
         self.texts = scratch.keep(picked.groupBy("node").agg(F.first("text").alias("text")), "texts")
         self.links = self.roots = self.open = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        low = self.nodes.select("node", "signature")
-        with_low = pairs.join(low.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u").join(low.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
+        with_low = pairs
+        for node, low in (("u", "su"), ("v", "sv")):
+            with_low = with_low.join(self.low.select(F.col("node").alias(node), F.col("signature").alias(low)), node)
         return with_low.mapInPandas(likely_batches, "u binary, v binary")
 
     def verify(self, pairs: DataFrame) -> int:
         """Adds the pairs (u, v) with exact similarity of SIMILARITY or more, and joins classes by them; the number of them."""
-        pairs, texts = self.scratch.keep(pairs, "pairs"), self.texts
-        joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+        pairs = self.scratch.keep(pairs, "pairs")
+        self.compared = n = pairs.count()
+        if not n:
+            return self.add(pairs)
+        text_u, text_v = (self.texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("u", "v"))
+        if n <= BROADCAST_NODES // 2:  # then texts of other nodes stay where they are
+            pairs = F.broadcast(pairs)
+            text_v = text_v.join(pairs.select("v"), "v", "left_semi")
+        joined = text_u.join(pairs, "u").join(text_v, "v")
         return self.add(joined.select("u", "v", "text_u", "text_v").mapInArrow(verify_batches, "u binary, v binary"))
 
     def add(self, links: DataFrame) -> int:
@@ -388,42 +400,46 @@ class Links:
 
     def to_hubs(self) -> None:
         hubs = self.scratch.keep(self.met.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs")
-        stars = self.shared.join(hubs, "bucket").filter("node != hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        stars = self.met.join(sized(hubs, KEY + 8), "bucket").filter("node != hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
         self.verify(self.likely(stars))
 
     def unsettled(self) -> DataFrame:
-        """bucket, node, met, root: members of buckets that hold more than one class; made once for the same classes."""
+        """bucket, node, met, root, main, blocks: members of buckets that hold more than one class, made once for the same classes.
+
+        main is the class of the bucket's hub, blocks the number of blocks that hold its members.
+        """
         if self.open is not None:
             return self.open
-        placed = self.met.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        still = self.scratch.keep(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket"), "open")
-        self.open = self.scratch.keep(placed.select("bucket", "node", "met", "root").join(still, "bucket"), "unsettled")
+        placed = self.met.join(sized(self.roots, 2 * KEY), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+        buckets = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.struct("met", "node", "root"))["root"].alias("main"), blocks)
+        still = self.scratch.keep(buckets.filter("a != b").drop("a", "b"), "open")
+        self.open = self.scratch.keep(placed.drop("bytes").join(sized(still, KEY + 12), "bucket"), "unsettled")
         return self.open
 
     def to_neighbours(self, turn: int) -> int:
         members, keep = self.unsettled(), self.scratch.keep
-        classes = keep(members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(F.struct("met", "node")).alias("hub")), "classes")
-        main = classes.groupBy("bucket").agg(F.max(F.struct("hub", "root"))["root"].alias("main"))
-        second = keep(classes.join(main, "bucket").filter("root != main").groupBy("bucket").agg(F.max(F.struct("n", "hub", "root")).alias("x")).select("bucket", F.col("x.hub.node").alias("hub"), F.col("x.root").alias("hub_root")), "second")
-        stars = members.join(second, "bucket").filter("root != hub_root").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        classes = members.filter("root != main").groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max(F.struct("met", "node")).alias("hub"))
+        second = keep(classes.groupBy("bucket").agg(F.max(F.struct("n", "hub", "root")).alias("x")).select("bucket", F.col("x.hub.node").alias("hub"), F.col("x.root").alias("hub_root")), "second")
+        stars = members.join(sized(second, 2 * KEY + 8), "bucket").filter("root != hub_root").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
         start = turn * COMPONENTS // ROUNDS
-        ordered = members.select("bucket", "node", "root").join(self.nodes.select("node", "signature"), "node")
+        ordered = members.select("bucket", "node", "root").join(self.low, "node")
         ordered = ordered.withColumn("place", F.concat(F.substring("signature", start + 1, COMPONENTS - start), F.substring("signature", 1, start))).repartitionByRange("bucket", "place", "node").sortWithinPartitions("bucket", "place", "node")
         near = ordered.select("bucket", "node", "root", "signature").mapInPandas(neighbour_batches, "u binary, v binary")
-        return self.verify(self.likely(stars).union(near).distinct())
+        return self.verify(self.likely(stars.union(near).distinct()))
 
     def to_all(self) -> None:
         """Every pair of different classes that shares a bucket, block by block; texts go only to blocks in which they may have links."""
-        lengths = self.texts.select("node", F.octet_length("text").alias("bytes"))
-        rest = self.scratch.keep(self.unsettled().join(lengths, "node"), "rest")
-        blocks = rest.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-        dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        dealt = self.unsettled().withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(self.nodes, "node")
-        members = dealt.select("bucket", "i", "j", "block", "node", "root", "bands", "signature")
+        dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+        signed = sized(self.nodes.select("node", "bands", "signature"), KEY + 8 * BANDS + COMPONENTS)
         grouped = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-        likely = self.scratch.keep(grouped(members).mapInArrow(block_members, members.schema), "likely")
-        self.add(grouped(likely.join(self.texts, "node")).select(*members.columns, "text").mapInArrow(block_links, "u binary, v binary").distinct())
+        columns = [*dealt.columns, "bands", "signature"]
+        likely = self.scratch.keep(grouped(dealt.join(signed, "node")).select(columns).mapInArrow(block_members, dealt.schema), "likely")
+        if likely.count():
+            texts = self.texts.join(sized(likely, 3 * KEY), "node").join(signed, "node")
+            self.add(grouped(texts).select(*columns, "text").mapInArrow(block_links, "u binary, v binary"))
 
 
 def classified(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -437,17 +453,19 @@ def _classified(docs: DataFrame, exact: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.keep(docs.select("doc_id", own_key().alias("own"), "text").mapInArrow(sign_batches, SIGNED), "signed")
     by_text = signed.filter("bands is not null").groupBy(text_of(F.col("own")).alias("text_hash"))
-    nodes = scratch.keep(by_text.agg(F.min("own").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).drop("text_hash"), "nodes")
+    nodes = scratch.keep(by_text.agg(F.min("own").alias("node"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).drop("text_hash"), "nodes")
     found = Links(docs, nodes, scratch)
     found.to_hubs()
     for turn in range(ROUNDS):
-        if not found.to_neighbours(turn):
+        n = found.to_neighbours(turn)
+        if not n or exact and n < WORTH * found.compared:  # the blocks compare all that is left
             break
     if exact:
         found.to_all()
-    degree = found.links.distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    roots = found.roots.join(degree, "node", "left")
-    placed = scratch.keep(nodes.select("node").join(roots, "node", "left").select(text_of(F.col("node")).alias("text_hash"), F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "placed")
+    # a pair becomes a link once: only members of different classes are paired, and a link makes them one
+    degree = found.links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = sized(scratch.keep(degree, "degree"), KEY + 8)
+    placed = scratch.keep(nodes.select("node").join(sized(found.roots, 2 * KEY), "node", "left").join(degree, "node", "left").select(text_of(F.col("node")).alias("text_hash"), F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "placed")
     # a text without words is no node: it keeps its row as a class
     rows = signed.select("doc_id", "own", text_of(F.col("own")).alias("text_hash")).join(placed, "text_hash", "left")
     out = result.keep(rows.select("doc_id", "own", F.coalesce("root", "own").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "rows")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from marginalia.llm import near_dedup as N
-from marginalia.llm.common import table, trim
+from marginalia.llm.common import Scratch, table, trim
 
 
 def brute(rows):
@@ -179,6 +179,57 @@ def test_unsettled_members_are_made_once_for_the_same_classes(spark, monkeypatch
     assert made.count("unsettled") <= made.count("roots")
 
 
+def stages_with_tasks(spark, run):
+    """Stages of a run that had tasks."""
+    context, group = spark.sparkContext, f"stages-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+        status = context.statusTracker()
+        infos = [status.getStageInfo(k) for job in status.getJobIdsForGroup(group) for k in status.getJobInfo(job).stageIds]
+        return sum(bool(i and i.numCompletedTasks) for i in infos)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_tables_take_few_stages(spark):
+    """Each stage with a shuffle costs as many tasks as there are partitions, however few rows it has."""
+    rows = [(100 * g + i, text) for g in range(8) for i, text in edited(random.Random(g), 12, 4)]
+    df, result = spark.createDataFrame(rows, "doc_id long, text string"), []
+    assert stages_with_tasks(spark, lambda: result.extend(got(df, exact=True))) < 125
+    assert result == brute(rows)
+
+
+def test_components_are_those_of_union_find(spark, tmp_path, monkeypatch):
+    """Also joined by shuffles, with edges given twice, long paths and a greatest node that all others meet."""
+    rng, edges = random.Random(2), [(99_999, i) for i in range(40)]
+    path = rng.sample(range(1000, 1200), 200)
+    edges += list(zip(path, path[1:])) + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)]
+    edges += edges[::7]
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (N.BROADCAST_NODES, 0):
+        monkeypatch.setattr(N, "BROADCAST_NODES", most)
+        found = [tuple(r) for r in N.components(df, Scratch(spark, "components")).collect()]
+        assert sorted(found) == sorted((n, root) for n, root in least.items() if n != root)
+
+
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rows = edited(random.Random(11), 40, 3) + [(100 + i, t) for i, t in edited(random.Random(12), 10, 2)] + [(200, None), (201, "a b"), (202, "a b")]
+    df, results = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for most in (N.BROADCAST_NODES, 0):
+        monkeypatch.setattr(N, "BROADCAST_NODES", most)
+        results.append(sorted(map(tuple, N.near_duplicates(df, exact=True).collect())))
+    assert results[0] == results[1] and [(r[0], r[1]) for r in results[0]] == brute(rows)
+
+
 def test_worker_searches_its_imports_once():
     trim()
     assert gc.get_freeze_count()
