@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import pages as P
+from marginalia.operators.numbering import sized
+from marginalia.sources.tables import kept
 
 # Limits, headings of bibliographies and what may end one, and messages.
 MAX_PAGES, MAX_OCR_PAGES, MAX_OUTLINE, SHOWN_PAGES, SHOWN_HEADINGS, SHOWN_OCR = 300, 60, 200, 15, 40, 20
@@ -70,9 +72,11 @@ def with_ocr(pages: DataFrame, most: int = MAX_OCR_PAGES) -> DataFrame:
     """pages (doc, page_no, text, ocr_text) with the text to use, ocr and still_bad.
 
     ocr_text is what OCR gave, null where it failed or wasn't there. Of a document's unreadable pages the first `most` may take theirs, if that can be read.
+    Pages are scored once; documents' values meet them by a broadcast, if they are few.
     """
-    scored = P.scored(pages.withColumn("text", F.coalesce("text", F.lit(""))))  # a page that couldn't be read has none
-    tried = scored.filter("not readable").groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("page_no")), 1, most).alias("tried"))
+    rows = kept(pages.withColumn("text", F.coalesce("text", F.lit(""))).withColumns(P.scores()), "scored-pages")  # a page that couldn't be read has none
+    scored = P.judged(rows, sized(kept(P.doc_qualities(rows), "doc-qualities")))
+    tried = sized(kept(scored.filter("not readable").groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("page_no")), 1, most).alias("tried")), "ocr-tried"))
     good = (F.length(T.stripped(F.col("ocr_text"))) >= P.MIN_CHARS) & (T.text_quality(F.col("ocr_text")) >= P.GARBLED_PAGE)
     done = ~F.col("readable") & F.coalesce(F.array_contains("tried", F.col("page_no")) & good, F.lit(False))
     rows = scored.join(tried, "doc", "left").withColumn("ocr", done)
@@ -81,7 +85,8 @@ def with_ocr(pages: DataFrame, most: int = MAX_OCR_PAGES) -> DataFrame:
 
 def final_pages(pages: DataFrame) -> DataFrame:
     """pages of with_ocr() cleaned, without running headers and footers, with has_text."""
-    cleaned = P.strip_repeated_lines(pages.withColumn("text", T.tidy_column(F.col("text"))))
+    tidied = pages.withColumn("text", T.page_tidy("text"))
+    cleaned = P.strip_known_edges(kept(tidied.withColumn("edges", P.edge_keys(F.col("text"))), "clean-pages"))
     return cleaned.withColumn("has_text", (F.length("text") >= P.MIN_CHARS) & ~F.col("still_bad"))
 
 
@@ -128,10 +133,11 @@ def bibliography_spans(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """
     text = pages.filter("has_text").select("doc", "page_no", "text")
     numbers = text.groupBy("doc").agg(F.array_sort(F.collect_list("page_no")).alias("p")).filter(F.size("p") >= 3)
-    half = numbers.select("doc", F.element_at("p", F.floor(F.size("p") / 2).cast("int") + 1).alias("half"))
+    half = sized(kept(numbers.select("doc", F.element_at("p", F.floor(F.size("p") / 2).cast("int") + 1).alias("half")), "halves"))
     last = F.length(F.regexp_extract("text", rf"(?s)\A(.*)(?-s:{BIBLIOGRAPHY})", 1))  # the greedy part ends at the last match
     begun = text.join(half, "doc").filter((F.col("page_no") >= F.col("half") - 1) & F.col("text").rlike(BIBLIOGRAPHY))
     starts = begun.groupBy("doc").agg(F.max(F.struct("page_no", last.alias("at"))).alias("x")).select("doc", F.col("x.page_no").alias("first"), F.col("x.at").alias("at"))
+    starts = sized(kept(starts, "bibliography-starts"))
     spanned = text.join(starts, "doc").filter("page_no >= first").withColumn("begin", F.when(F.col("page_no") == F.col("first"), F.col("at")).otherwise(F.lit(0)))
     appendix = F.regexp_instr(hidden_before(F.col("text"), F.col("begin")), F.lit(BIBLIOGRAPHY_END))
     title = F.trim("heading")
@@ -147,7 +153,7 @@ def bibliography_spans(pages: DataFrame, headings: DataFrame) -> DataFrame:
 
 def without_bibliography(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """pages with analysis_text: what goes to the analysis."""
-    spans = bibliography_spans(pages, headings)
+    spans = sized(kept(bibliography_spans(pages, headings), "bibliography"))
     left = F.concat(F.substring("text", F.lit(1), F.col("begin")), F.substring("text", F.col("end") + 1, F.length("text")))
     joined = pages.join(spans, ["doc", "page_no"], "left")
     return joined.withColumn("analysis_text", F.when(F.col("begin").isNull(), F.col("text")).otherwise(T.stripped(left))).drop("begin", "end")

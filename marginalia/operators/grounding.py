@@ -14,12 +14,12 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from marginalia.functions import text as T
 from marginalia.operators.numbering import sized
-from marginalia.sources.tables import kept
+from marginalia.sources.tables import kept, kept_once
 
 
 def page_index(pages: DataFrame) -> DataFrame:
     """doc, page_no, norm of pages with text."""
-    return pages.select("doc", "page_no", T.match_form(F.col("text")).alias("norm")).filter("norm != ''")
+    return pages.select("doc", "page_no", T.page_match_form("text").alias("norm")).filter("norm != ''")
 
 
 def locate_quotes(index: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def verify_evidence(index: DataFrame, evidence: DataFrame) -> DataFrame:
     The declared page goes first, then the section's, then any. The pages that a quote names are met by their number; only what none of these
     holds is looked for in its whole document, by first_pages(). So the work grows with quotes and with text, not with their product.
     """
-    index = kept(index, "index")
+    index = kept_once(index, "index")
     needles = evidence.select("doc", "quote_id", "declared", "section_pages", T.match_form(F.substring("quote", 1, T.MAX_QUOTE)).alias("needle")).filter(F.length("needle") >= T.MIN_QUOTE)
     needles = kept(needles, "quote-needles")
     own = F.array_distinct(F.filter(F.concat(F.array("declared"), F.coalesce("section_pages", F.array().cast("array<int>"))), lambda p: p.isNotNull()))
@@ -216,7 +216,7 @@ def verify_metrics(index: DataFrame, metrics: DataFrame) -> DataFrame:
     then all; four pages are kept at most, and an unverified metric keeps what it cited. A value that is a number is looked for in the pages'
     numbers alone, the numbers of others in an inverted index, and only values with words in the whole text.
     """
-    index, metrics = kept(index, "index"), kept(metrics, "metrics")  # both are read several times
+    index, metrics = kept_once(index, "index"), kept(metrics, "metrics")  # both are read several times
     needle = T.match_form(F.col("value"))
     wanted = metrics.withColumns({"needle": needle, "numbers": T.number_tokens(needle)}).filter("needle != ''")
     sought = kept(wanted.select("doc", "needle", "numbers").distinct(), "values")  # equal values of a document are looked for once
