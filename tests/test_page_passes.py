@@ -1,5 +1,6 @@
 """Pages are scored, cleaned and indexed once each, by the same rules as the columns that built-ins make."""
 
+import os
 import random
 import re
 
@@ -62,3 +63,14 @@ def test_texts_are_scored_cleaned_and_indexed_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(shared, "kept", lambda df, kind: (seen.append(kind), write(df, kind))[1])
     assert catalogue.QUERIES["corpus_reports"](spark, sf_dir).count()
     assert seen.count("index") == 1 and seen.count("scored-pages") == 1 and seen.count("clean-pages") == 1
+
+
+def test_tables_of_texts_go_when_they_are_used(spark, sf_dir, monkeypatch):
+    gone, forget = [], shared.forget
+    table = shared.kept(spark.range(3), "of-a-test")
+    files = table.inputFiles()
+    forget(spark.read.parquet(f"{sf_dir}/documents.parquet"), table)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files) and os.path.exists(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(catalogue, "forget", lambda *tables: (gone.extend(f.split("/marginalia-")[1].rpartition("-")[0] for df in tables for f in df.inputFiles()), forget(*tables)))
+    assert catalogue.QUERIES["corpus_reports"](spark, sf_dir).count()
+    assert {"pages", "scored-pages", "clean-pages", "final-pages", "told", "chunk-blocks", "chunks"} <= set(gone)
