@@ -71,6 +71,6 @@ def test_tables_of_texts_go_when_they_are_used(spark, sf_dir, monkeypatch):
     files = table.inputFiles()
     forget(spark.read.parquet(f"{sf_dir}/documents.parquet"), table)
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files) and os.path.exists(f"{sf_dir}/documents.parquet")
-    monkeypatch.setattr(catalogue, "forget", lambda *tables: (gone.extend(f.split("/marginalia-")[1].rpartition("-")[0] for df in tables for f in df.inputFiles()), forget(*tables)))
+    monkeypatch.setattr(catalogue, "forget", lambda *tables: (gone.extend(f.split("/marginalia-")[1].split("/")[0].rpartition("-")[0] for df in tables for f in df.inputFiles()), forget(*tables)))
     assert catalogue.QUERIES["corpus_reports"](spark, sf_dir).count()
     assert {"pages", "scored-pages", "clean-pages", "final-pages", "told", "chunk-blocks", "chunks"} <= set(gone)
